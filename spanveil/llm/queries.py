@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from spanveil.llm import license_scan, quality_rules
+from spanveil.llm import decontaminate, host_reputation, license_scan, quality_rules, secret_scan
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op3_host_reputation": host_reputation.op3_host_reputation,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_license_scan": license_scan.op9_license_scan,
 }
 
-ORACLE_SQL = {"op9_license_scan": license_scan.oracle()}
+ORACLE_SQL = {
+    "op3_host_reputation": host_reputation.oracle(),
+    "op6_decontamination": decontaminate.ORACLE,
+    "op9_license_scan": license_scan.oracle(),
+}
