@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanveil.llm.fm_index import FMIndex
+from spanveil.llm.fm_index import FMIndex, ranges
 from spanveil.session import ship, table
 
 WINDOW = 13
@@ -70,12 +70,6 @@ class Phrases:
         self.size = len(self.vocabulary) + 2
 
 
-def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for count values, for each pair."""
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
-
-
 def search_shard(texts: list[str | None], p: Phrases) -> list[tuple[int, list[str], np.ndarray]]:
     """For each text: number of words, items with an occurring window, and which words are hit (as sorted positions)."""
     ids, sizes = [np.zeros(0, np.int64)], []
