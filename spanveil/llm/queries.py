@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from spanveil.llm import decontaminate, host_reputation, license_scan, packing, quality_classifier, quality_rules, secret_scan
+from spanveil.llm import decontaminate, host_reputation, html_extract, language_id, license_scan, packing, quality_classifier, quality_rules, secret_scan
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op3_host_reputation": host_reputation.op3_host_reputation,
     "op4_packing": packing.op4_packing,
+    "op5_language_id": language_id.op5_language_id,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op10_html_extract": html_extract.op10_html_extract,
     "op9_license_scan": license_scan.op9_license_scan,
 }
 
 ORACLE_SQL = {
     "op3_host_reputation": host_reputation.oracle(),
     "op4_packing": packing.op4_packing,
+    "op5_language_id": language_id.op5_language_id,
     "op6_decontamination": decontaminate.ORACLE,
+    "op10_html_extract": html_extract.op10_html_extract,
     "op9_license_scan": license_scan.oracle(),
 }
