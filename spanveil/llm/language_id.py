@@ -298,6 +298,12 @@ def annotate(docs: DataFrame, crf: Crf, name: str = "language") -> DataFrame:
     return docs.withColumn(name, detector(docs.sparkSession.sparkContext.broadcast(crf))("text"))
 
 
+def keep_identified(docs: DataFrame, crf: Crf, least_score: float = 0.4) -> DataFrame:
+    """docs without rows of unknown language, or whose best language holds less than `least_score` of the words."""
+    found = annotate(docs, crf, "__language")
+    return found.where((F.col("__language.lang") != UNKNOWN) & (F.col("__language.score") >= least_score)).drop("__language")
+
+
 def held_out(doc_id):
     """crc32 of the id as text leaves 1 when divided by 3."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spanveil.llm import decontaminate, host_reputation, html_extract, language_id, license_scan, packing, quality_classifier, quality_rules, secret_scan
+from spanveil.llm import decontaminate, host_reputation, html_extract, language_id, license_scan, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op3_host_reputation": host_reputation.op3_host_reputation,
     "op4_packing": packing.op4_packing,
     "op5_language_id": language_id.op5_language_id,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op3_host_reputation": host_reputation.oracle(),
     "op4_packing": packing.op4_packing,
     "op5_language_id": language_id.op5_language_id,
