@@ -38,8 +38,8 @@ TEXT_BYTES = 2_000_000
 #: Tokens of padding that a cut is worth: at a sentence end, elsewhere in a document, and for one more, smaller window.
 SENTENCE, ANYWHERE, SMALL_WINDOW = 2, 16, 16
 LEAST_POWER = 256
-#: The cache of chunk encodings starts anew beyond so many chunks or tokens.
-CACHE_CHUNKS, CACHE_TOKENS = 300_000, 4_000_000
+#: Beyond so many chunks or tokens the cache of encodings forgets the chunks met once only, or all if that is not enough.
+CACHE_CHUNKS, CACHE_TOKENS = 1_000_000, 8_000_000
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -62,29 +62,71 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.sentence_ends = np.array(sorted(i for t in (".</w>", "!</w>", "?</w>") if (i := self.tokenizer.token_to_id(t)) is not None), np.uint32)
+        self.fence = self.tokenizer.token_to_id("|</w>")
+        self.marks = {m: np.uint32(i) for m in ".,;:!?" if (i := self.tokenizer.token_to_id(m + "</w>")) is not None}
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {"": 0}
         self.starts, self.lengths, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
-
-    def _add(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        self.met = np.zeros(1024, np.int64)
+
+    def shrink(self) -> None:
+        """Forget what was met once; then the rest is told apart anew."""
+        again = [(c, k) for c, k in self.index.items() if c and self.met[k] > 1]
+        if 2 * len(again) > CACHE_CHUNKS or 2 * self.lengths[[k for _, k in again]].sum() > CACHE_TOKENS:
+            again = []
+        found = [self.flat[self.starts[k] : self.starts[k] + self.lengths[k]] for _, k in again]
+        self.clear()
+        if again:
+            self._store([c for c, _ in again], found)
+
+    def _ids(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of each chunk. Chunks go through the tokenizer in one text, fenced by a mark that is one token of its own."""
+        fenced = [c for c in chunks if "|" not in c]
+        ids = np.array(self.tokenizer.encode(" | ".join(fenced), add_special_tokens=False).ids, np.uint32)
+        parts = np.split(ids, np.flatnonzero(ids == self.fence))
+        if len(parts) != max(1, len(fenced)):  # a chunk that yields the mark by some other spelling
+            fenced, parts = [], []
+        known = {c: p[1:] if k else p for k, (c, p) in enumerate(zip(fenced, parts))}
+        alone = [c for c in chunks if c not in known]
+        known |= {c: np.array(e.ids, np.uint32) for c, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False))}
+        return [known[c] for c in chunks]
+
+    def _store(self, chunks: list[str], found: list[np.ndarray]) -> None:
         n, lengths = len(self.index), np.fromiter(map(len, found), np.int64, len(found))
         total = int(lengths.sum())
-        for name, need in (("starts", n + len(found)), ("lengths", n + len(found)), ("flat", self.used + total)):
+        for name, need in (("starts", n + len(found)), ("lengths", n + len(found)), ("met", n + len(found)), ("flat", self.used + total)):
             if need > len(getattr(self, name)):
                 setattr(self, name, np.concatenate((getattr(self, name), np.zeros(need, getattr(self, name).dtype))))
         self.starts[n : n + len(found)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[n : n + len(found)] = lengths
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.concatenate(found)
         self.used += total
         self.index.update(zip(chunks, range(n, n + len(found))))
 
+    def _add(self, chunks: list[str]) -> None:
+        """Encode new chunks. The tokenizer lower-cases, and parts ASCII letters from the mark behind them, so such
+        chunks are put together from the lower-case word and the mark."""
+        split = {c: (c[:-1].lower(), c[-1]) for c in chunks if c.isascii() and c[-1] in self.marks and c[:-1].isalpha()}
+        split |= {c: (c.lower(), "") for c in chunks if c.isascii() and c.isalpha() and not c.islower()}
+        bases = list(dict.fromkeys(x for c in chunks if (x := split[c][0] if c in split else c) not in self.index))
+        if bases:
+            self._store(bases, self._ids(bases))
+        rest = [c for c in chunks if c in split]
+        if rest:
+            found = []
+            for c in rest:
+                base, mark = split[c]
+                k = self.index[base]
+                own = self.flat[self.starts[k] : self.starts[k] + self.lengths[k]]
+                found.append(np.append(own, self.marks[mark]) if mark else own)
+            self._store(rest, found)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
         if len(self.index) > CACHE_CHUNKS or self.used > CACHE_TOKENS:
-            self.clear()
+            self.shrink()
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         words = list(chain.from_iterable(parts))
@@ -93,6 +135,8 @@ class ChunkEncoder:
         if new:
             self._add(list(dict.fromkeys(words[k] for k in new)))
             at[new] = [self.index[words[k]] for k in new]
+        counts = np.bincount(at)
+        self.met[: len(counts)] += counts
         lengths = self.lengths[at]
         ids = self.flat[ranges(self.starts[at], lengths)]
         edges = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))]
