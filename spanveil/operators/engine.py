@@ -112,7 +112,7 @@ def collect_seeds(hits: DataFrame, lines: DataFrame | None = None, custom: DataF
         words = custom.where(F.length("word") >= 2).select("doc_id", F.col("word").alias("value")).distinct()
         both = both.unionByName(words.select("doc_id", "value", F.lit("CUSTOM").alias("type"), F.lit(0).alias("ord"), F.lit(2).alias("tier")))
     one = both.groupBy("doc_id", "value").agg(F.min_by("type", F.struct("tier", "ord")).alias("type"), F.min(F.struct("tier", "ord", "value")).alias("o"))
-    out = one.select("doc_id", "value", "type", F.row_number().over(Window.partitionBy("doc_id").orderBy("o")).alias("ord"))
+    out = one.select("doc_id", "value", "type", F.row_number().over(Window.partitionBy("doc_id").orderBy("o")).cast("long").alias("ord"))
     return out.where(F.col("type").isin(*enabled)) if enabled is not None else out
 
 

@@ -1,0 +1 @@
+"""Queries over literal cases."""

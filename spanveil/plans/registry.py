@@ -32,3 +32,10 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["redact_label"](spark, sf_dir)
+
+
+def _load() -> None:
+    from spanveil.plans import fixtures, tables  # noqa: F401
+
+
+_load()
