@@ -1 +1,571 @@
-"""Queries over literal cases."""
+"""Queries over literal cases whose right results are stated as rows; all values are invented."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanveil import catalog
+from spanveil.functions import geometry as g
+from spanveil.functions import text as tx
+from spanveil.functions import validators as v
+from spanveil.operators import anchors, engine, jobs, lines, metrics, ner, regions, review, rules, templates
+from spanveil.plans.registry import query
+from spanveil.sources import files
+
+
+def _sql(x) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return "TRUE" if x else "FALSE"
+    if isinstance(x, float):
+        return f"CAST({x!r} AS DOUBLE)"
+    if isinstance(x, int):
+        return f"CAST({x} AS BIGINT)"
+    return "'" + x.replace("'", "''") + "'"
+
+
+def case(name: str, columns: str, expected: list[tuple]):
+    """Register f(spark) under a name with its expected rows; integers are compared as BIGINT."""
+    names = columns.split()
+    oracle = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in expected) + ") t(" + ", ".join(f'"{n}"' for n in names) + ")"
+
+    def register(f: Callable[[SparkSession], DataFrame]):
+        @query(name, oracle)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark)
+            return df.select(*[F.col(c).cast("long").alias(c) if df.schema[c].dataType.typeName() in ("integer", "short", "byte") else F.col(c) for c in names])
+
+        return f
+
+    return register
+
+
+RULE_LINES = [
+    (1, "电话13800138000身份证11010519491231002X"),
+    (2, "入院时间2025年08月02日09时18分"),
+    (3, "转入上级医院治疗，本院为某某市第一人民医院"),
+    (4, "患者在我院住院期间如需转往上级医院"),
+    (5, "本人同意在澄岚市第一人民医院接受手术治疗"),
+    (6, "北京协和医院"),
+    (7, "转入向阳医院治疗"),
+    (8, "患者同意由澄岚晨星科技有限公司支付费用"),
+    (9, "地址：某路30号电话：0522.3964869"),
+    (10, "金额 010.12345678元"),
+    (11, "编码0571 88886666"),
+    (12, "车牌号：京E·31979"),
+    (13, "单位电话：0539-8591248转7774"),
+    (14, "患者持护照（P99768653）办理入院"),
+    (15, "检验编码E12345678"),
+    (16, "银行卡6222 0212 3456 7890 128缴纳"),
+    (17, "编号6222 0212 3456 7890 127"),
+    (18, "原路退回银行卡"),
+    (19, "4111111111111111@example.com"),
+    (20, "身份证11010519491231002X"),
+    (21, "代码91350100M000100Y43。"),
+    (22, "2025/8/2 12:03:39"),
+    (23, "mail a.b@example.com or c@example.org"),
+    (24, "20250802"),
+    (25, None),
+    (26, ""),
+]
+RULE_HITS = [
+    (1, "PHONE", 2, 13, "13800138000"), (1, "ID_CARD", 16, 34, "11010519491231002X"), (3, "ORG", 11, 21, "为某某市第一人民医院"), (5, "ORG", 5, 14, "澄岚市第一人民医院"),
+    (6, "ORG", 0, 6, "北京协和医院"), (7, "ORG", 2, 6, "向阳医院"), (8, "ORG", 5, 15, "澄岚晨星科技有限公司"), (9, "PHONE", 11, 23, "0522.3964869"),
+    (12, "PLATE", 4, 12, "京E·31979"), (13, "PHONE", 5, 22, "0539-8591248转7774"), (14, "ID_CARD", 6, 15, "P99768653"), (16, "BANK_CARD", 3, 26, "6222 0212 3456 7890 128"),
+    (19, "BANK_CARD", 0, 16, "4111111111111111"), (20, "ID_CARD", 3, 21, "11010519491231002X"), (21, "USCC", 2, 20, "91350100M000100Y43"),
+    (23, "EMAIL", 5, 20, "a.b@example.com"), (23, "EMAIL", 24, 37, "c@example.org"),
+]
+
+
+@case("rules_fixture", "id type start end value", RULE_HITS)
+def rules_fixture(spark):
+    df = spark.createDataFrame(RULE_LINES, "id int, text string")
+    return df.select("id", F.explode(rules.find(F.col("text"))).alias("h")).select("id", "h.type", "h.start", "h.end", "h.value")
+
+
+ID_CASES = [("11010519491231002X", True), ("11010519491231002x", True), ("110105194912310021", False), ("110105194913310021", False), ("11010519490230002X", False), ("", False), (None, False)]
+
+
+@case("id_card_ok", "value ok", ID_CASES)
+def id_card_ok(spark):
+    return spark.createDataFrame(ID_CASES, "value string, want boolean").select("value", v.id_card_ok(F.col("value")).alias("ok"))
+
+
+LUHN_CASES = [("4111111111111111", True), ("4111111111111112", False), ("6222021234567890128", True), ("", False), (None, False)]
+
+
+@case("luhn_ok", "value ok", LUHN_CASES)
+def luhn_ok(spark):
+    return spark.createDataFrame(LUHN_CASES, "value string, want boolean").select("value", v.luhn_ok(F.col("value")).alias("ok"))
+
+
+USCC_CASES = [("91350100M000100Y43", True), ("91350100M000100Y44", False), ("91350100I000100Y43", False), (None, False)]
+
+
+@case("uscc_ok", "value ok", USCC_CASES)
+def uscc_ok(spark):
+    return spark.createDataFrame(USCC_CASES, "value string, want boolean").select("value", v.uscc_ok(F.col("value")).alias("ok"))
+
+
+VALID_CASES = [
+    ("PERSON", "阿依古丽·买买提", True), ("PERSON", "Li Wei", True), ("PERSON", "LiWei", True), ("PERSON", "张小明", True), ("STAFF", "查房记录", False), ("PERSON", "姓名", False),
+    ("ID_CARD", "军字第3768545号", True), ("ID_CARD", "11010519491231002X", True), ("PHONE", "wxid_cne0bahbaq", True), ("PHONE", "无", False), ("PHONE", "0539-8591248", True),
+    ("BANK_CARD", "6222 0212 3456 7890 128", True), ("BANK_CARD", "1234", False), ("MEDICAL_ID", "ZY2025123456", True), ("MEDICAL_ID", "无", False), ("ADDRESS", "某某省某某市东路1号", True),
+    ("ADDRESS", "某某某某", False), ("ORG", "向阳医院", True), ("USCC", "anything", True), ("PERSON", "", False), ("PERSON", None, False),
+]
+
+
+@case("valid_values", "kind value ok", VALID_CASES)
+def valid_values(spark):
+    df = spark.createDataFrame(VALID_CASES, "kind string, value string, want boolean")
+    return df.select("kind", "value", v.valid(F.col("kind"), F.col("value")).alias("ok"))
+
+
+NAME_CASES = [("李建国", True, True), ("欧阳晓", True, True), ("李", False, False), ("秀英", False, False), ("王Ab", False, False), ("张明/李晓红", False, True), ("王芳", True, True), ("静脉输液通畅", False, False), ("体温正常", False, False)]
+
+
+@case("name_tests", "value is_name names_only", NAME_CASES)
+def name_tests(spark):
+    df = spark.createDataFrame(NAME_CASES, "value string, a boolean, b boolean")
+    return df.select("value", v.is_name(F.col("value")).alias("is_name"), v.names_only(F.col("value")).alias("names_only"))
+
+
+MISC_CASES = [("a/b\\c\x07.pdf", "c.pdf", False), ("job_0123456789abcdefghij", "job_0123456789abcdefghij", True), ("../", None, False)]
+
+
+@case("clean_names", "value name job", MISC_CASES)
+def clean_names(spark):
+    df = spark.createDataFrame(MISC_CASES, "value string, a string, b boolean")
+    return df.select("value", v.clean_name(F.col("value")).alias("name"), v.is_job_id(F.col("value")).alias("job"))
+
+
+ANGLES = [(0.0, False), (15.0, True), (75.0, True), (76.0, False), (-45.0, True), (120.0, True), (170.0, False), (210.0, True)]
+
+
+@case("slanted_angles", "angle slanted", ANGLES)
+def slanted_angles(spark):
+    return spark.createDataFrame(ANGLES, "angle double, s boolean").select("angle", v.is_slanted(F.col("angle")).alias("slanted"))
+
+
+STYLE_CASES = [("PERSON", None, None, "label"), ("SEAL", None, None, "background"), ("SIGNATURE", "", "", "hatch"), ("PERSON", "black", "hatch", "black"), ("PERSON", None, "hatch", "hatch"), ("PERSON", "nope", None, "label"), ("OTHER", None, None, "label"), ("QRCODE", None, "nope", "label")]
+
+
+@case("style_resolution", "code chosen default style", STYLE_CASES)
+def style_resolution(spark):
+    df = spark.createDataFrame(STYLE_CASES, "code string, chosen string, default string, want string")
+    return df.select("code", "chosen", "default", catalog.resolve_style(F.col("code"), F.col("chosen"), F.col("default")).alias("style"))
+
+
+@case("preset_styles", "preset style n", [("audit", "label", 18), ("public", "background", 18), ("print", "hatch", 18), ("classic", "black", 18)])
+def preset_styles(spark):
+    return catalog.presets(spark).groupBy("preset", "style").agg(F.count("*").alias("n"))
+
+
+FILES = [
+    (1, b"%PDF-1.7 x", "txt", "pdf"), (2, b"\xff\xd8\xff\xe0abcd", "png", "jpg"), (3, b"\x89PNG\r\n\x1a\nzz", None, "png"), (4, b"II*\x00aaaa", "", "tif"), (5, b"BMxxxx", "", "bmp"),
+    (6, b"RIFF\x00\x00\x00\x00WEBPVP8 ", "", "webp"), (7, b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1zz", "xls", "xls"), (8, b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1zz", "pdf", "doc"),
+    (9, b"PK\x03\x04............[Content_Types].xml....word/document.xml", "", "docx"), (10, b"PK\x03\x04....................mimetypeapplication/vnd.oasis.opendocument.textPK", "", "odt"),
+    (11, b"{\\rtf1 x}", "", "rtf"), (12, "你好".encode(), "txt", "txt"), (13, "你好".encode("gb18030"), "md", "md"), (14, b"a\x00b", "txt", "INVALID_FILE"), (15, b"hello", "exe", "INVALID_FILE"), (16, b"", "", "INVALID_FILE"),
+]
+
+
+@case("sniff_kind", "id kind", [(i, k) for i, _, _, k in FILES])
+def sniff_kind(spark):
+    df = spark.createDataFrame([(i, bytearray(b), h) for i, b, h, _ in FILES], "id int, content binary, hint string")
+    return df.select("id", files.sniff(F.col("content"), F.col("hint")).alias("kind"))
+
+
+@case("decode_files", "id text", [(1, "你好"), (2, "你好"), (3, "hi"), (4, "")])
+def decode_files(spark):
+    rows = [(1, "你好".encode("utf-8-sig")), (2, "你好".encode("gb18030")), (3, b"hi"), (4, b"")]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id int, content binary")
+    return df.select("id", files.decode_text("content").alias("text"))
+
+
+@case("manifest_check", "name status", [("a.onnx", "ok"), ("b.onnx", "mismatch"), ("c.onnx", "missing"), ("d.onnx", "unlisted"), ("../e", "bad_name")])
+def manifest_check(spark):
+    import hashlib
+
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    found = spark.createDataFrame([(n, bytearray(b)) for n, b in (("a.onnx", b"a"), ("b.onnx", b"b"), ("d.onnx", b"d"))], "name string, content binary")
+    listed = spark.createDataFrame([("a.onnx", digest(b"a").upper()), ("b.onnx", digest(b"x")), ("c.onnx", digest(b"c")), ("../e", digest(b"e"))], "name string, sha256 string")
+    return files.verify_manifest(found, listed)
+
+
+@case("rotate_rect", "rotation x0 y0 x1 y1", [(0, 10.0, 20.0, 50.0, 60.0), (90, 20.0, 149.0, 60.0, 189.0), (180, 49.0, 239.0, 89.0, 279.0), (270, 39.0, 10.0, 79.0, 50.0)])
+def rotate_rect(spark):
+    df = spark.createDataFrame([(r,) for r in (0, 90, 180, 270)], "rotation int")
+    box = g.unrotate(g.rect(10, 20, 50, 60), F.col("rotation"), F.lit(100.0), F.when(F.col("rotation") == 180, 300.0).otherwise(200.0))
+    return df.select("rotation", *[box[k].alias(k) for k in g.KEYS])
+
+
+@case("image_size_pt", "px dpi points", [(1654, 200.0, 595.44), (100, 0.0, 36.0), (100, 72.0, 100.0), (100, 5000.0, 36.0), (100, None, 36.0)])
+def image_size_pt(spark):
+    df = spark.createDataFrame([(1654, 200.0), (100, 0.0), (100, 72.0), (100, 5000.0), (100, None)], "px int, dpi double")
+    return df.select("px", "dpi", F.round(g.points(F.col("px"), F.col("dpi")), 6).alias("points"))
+
+
+@case("pixel_limit", "w h refused", [(8000, 10000, False), (8001, 10000, True), (100000, 100000, True)])
+def pixel_limit(spark):
+    df = spark.createDataFrame([(8000, 10000), (8001, 10000), (100000, 100000)], "w int, h int")
+    return df.select("w", "h", files.too_large(F.col("w"), F.col("h")).alias("refused"))
+
+
+@case("plausible_codes", "side w ok", [(120.0, 120.0, True), (720.0, 720.0, False), (90.0, 300.0, False), (40.0, 40.0, False)])
+def plausible_codes(spark):
+    df = spark.createDataFrame([(120.0, 120.0), (720.0, 720.0), (90.0, 300.0), (40.0, 40.0)], "side double, w double")
+    return df.select("side", "w", g.plausible_code(g.rect(F.lit(0.0), F.lit(0.0), F.col("w"), F.col("side")), F.lit(200.0)).alias("ok"))
+
+
+@case("pad_boxes", "x0 y0 x1 y1", [(6.0, 16.0, 54.0, 64.0)])
+def pad_boxes(spark):
+    box = g.padded(g.rect(10, 20, 50, 60), F.lit(100.0), F.lit(100.0))
+    return spark.range(1).select(*[box[k].alias(k) for k in g.KEYS])
+
+
+@case("split_tokens", "ch x0 x1", [("a", 0.0, 10.0), ("b", 20.0, 30.0)])
+def split_tokens(spark):
+    chars = g.token_boxes(F.lit("a b"), g.rect(0, 0, 30, 10))
+    return spark.range(1).select(F.explode(chars).alias("c")).select("c.ch", "c.x0", "c.x1")
+
+
+@case("order_runs", "id text", [(1, "三级手术王小红"), (2, "甲乙")])
+def order_runs(spark):
+    one = [(1, i, c, 100.0 + 10 * i) for i, c in enumerate("三级手术")] + [(1, 4 + i, c, 125.0 + 10 * i) for i, c in enumerate("王小红")]
+    two = [(2, 0, "乙", 20.0), (2, 1, "甲", 10.0)]
+    df = spark.createDataFrame(one + two, "id int, ord int, ch string, x0 double")
+    placed = lines.order_runs(df, ["id"])
+    return placed.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "ch"))), lambda x: x["ch"]), "").alias("text"))
+
+
+@case("group_lines", "line text", [(0, "ab"), (1, "cd")])
+def group_lines(spark):
+    rows = [(1, 0, 0, "b", 10.0, 1.0, 20.0, 11.0), (1, 0, 1, "a", 0.0, 0.0, 10.0, 10.0), (1, 0, 2, "d", 12.0, 15.0, 20.0, 25.0), (1, 0, 3, "c", 0.0, 16.0, 10.0, 26.0)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, ord bigint, ch string, x0 double, y0 double, x1 double, y1 double")
+    out = lines.group_lines(df)
+    return out.groupBy("line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "ch"))), lambda x: x["ch"]), "").alias("text"))
+
+
+@case("slanted_runs", "text x0 x1", [("ab", 0.0, 20.0), ("c", 90.0, 100.0)])
+def slanted_runs(spark):
+    rows = [(1, 0, 0, "a", 0.0, 10.0, 45.0), (1, 0, 2, "b", 10.0, 20.0, 45.0), (1, 0, 3, "x", 50.0, 60.0, 0.0), (1, 0, 6, "c", 90.0, 100.0, 30.0)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, ord int, ch string, x0 double, x1 double, angle double").withColumns({"y0": F.lit(0.0), "y1": F.lit(10.0)})
+    return lines.slanted_runs(df)
+
+
+@case("orientation_votes", "page tall wide sideways", [(1, 9, 1, True), (2, 3, 9, False)])
+def orientation_votes(spark):
+    rows = [(1, 10.0, 40.0)] * 9 + [(1, 40.0, 10.0)] + [(2, 40.0, 10.0)] * 9 + [(2, 10.0, 40.0)] * 3
+    df = spark.createDataFrame(rows, "page int, w double, h double").withColumn("doc_id", F.lit(1))
+    return lines.orientation(df)
+
+
+@case("upper_median", "n m", [(1, 5.0), (2, 9.0), (3, 5.0), (4, 7.0)])
+def upper_median(spark):
+    df = spark.createDataFrame([(1, [5.0]), (2, [9.0, 1.0]), (3, [9.0, 5.0, 1.0]), (4, [9.0, 7.0, 5.0, 1.0])], "n int, xs array<double>")
+    return df.select("n", tx.upper_median(F.col("xs")).alias("m"))
+
+
+REGIONS = [("SEAL", None, 0.0, 0.0, 20.0, 20.0, "color"), ("SEAL", None, 2.0, 2.0, 22.0, 22.0, "visual-model"), ("PERSON", "姓名1", 0.0, 0.0, 30.0, 10.0, "rule"), ("PERSON", "姓名1", 32.0, 1.0, 50.0, 11.0, "anchor"), ("PERSON", "姓名2", 33.0, 1.0, 60.0, 11.0, "rule"), ("PERSON", "姓名1", 0.0, 40.0, 30.0, 50.0, "rule")]
+
+
+@case("merge_regions", "type alias x0 y0 x1 y1 sources", [("SEAL", None, 0.0, 0.0, 22.0, 22.0, "color,visual-model"), ("PERSON", "姓名1", 0.0, 0.0, 50.0, 11.0, "anchor,rule"), ("PERSON", "姓名2", 33.0, 1.0, 60.0, 11.0, "rule"), ("PERSON", "姓名1", 0.0, 40.0, 30.0, 50.0, "rule")])
+def merge_regions(spark):
+    df = spark.createDataFrame(REGIONS, "type string, alias string, x0 double, y0 double, x1 double, y1 double, source string")
+    own = df.select(F.lit(1).alias("doc_id"), F.lit(0).alias("page"), "type", "alias", g.rect(*[F.col(k) for k in g.KEYS]).alias("rect"), "source")
+    return regions.merge(own).select("type", "alias", "rect.*", F.array_join("sources", ",").alias("sources"))
+
+
+@case("interval_union", "k lo hi", [(1, 0, 15), (1, 20, 30), (2, 0, 5)])
+def interval_union(spark):
+    df = spark.createDataFrame([(1, 0, 10), (1, 10, 15), (1, 20, 30), (1, 22, 24), (2, 0, 5)], "k int, lo int, hi int")
+    return regions.interval_union(df, ["k"])
+
+
+@case("verify_strips", "lo hi", [(0.0, 210.0), (360.0, 450.0)])
+def verify_strips(spark):
+    rows = [(1, 0, 10.0, 30.0), (1, 0, 110.0, 160.0), (1, 0, 400.0, 410.0)]
+    own = spark.createDataFrame(rows, "doc_id int, page int, a double, b double").select("doc_id", "page", g.rect(F.lit(0.0), F.col("a"), F.lit(10.0), F.col("b")).alias("rect"))
+    own = own.unionByName(spark.createDataFrame([(1, 0, 60.0, 130.0)], "doc_id int, page int, a double, b double").select("doc_id", "page", g.rect(F.lit(0.0), F.col("a"), F.lit(10.0), F.col("b")).alias("rect")))
+    return regions.verify_strips(own, spark.createDataFrame([(1, 0, 1000.0)], "doc_id int, page int, height double")).select("lo", "hi")
+
+
+@case("strip_layout", "lo hi whole offset canvas", [(0.0, 100.0, False, 0.0, 768), (300.0, 400.0, False, 148.0, 768)])
+def strip_layout(spark):
+    strips = spark.createDataFrame([(1, 0, 0.0, 100.0), (1, 0, 300.0, 400.0)], "doc_id int, page int, lo double, hi double")
+    return regions.strip_layout(strips, spark.createDataFrame([(1, 0, 1000.0)], "doc_id int, page int, height double"))
+
+
+@case("nms", "page type score", [(1, "SEAL", 0.9), (1, "SIGNATURE", 0.8), (2, "SEAL", 0.9), (2, "SIGNATURE", 0.8)])
+def nms(spark):
+    rows = [(1, "SEAL", 0.9, 10.0, 10.0, 80.0, 80.0), (1, "SIGNATURE", 0.7, 11.0, 11.0, 79.0, 79.0), (1, "SIGNATURE", 0.8, 100.0, 100.0, 150.0, 140.0), (2, "SEAL", 0.9, 10.0, 10.0, 110.0, 110.0), (2, "SIGNATURE", 0.8, 40.0, 10.0, 140.0, 110.0)]
+    df = spark.createDataFrame(rows, "page int, type string, score double, x0 double, y0 double, x1 double, y1 double")
+    return regions.suppress(df.select(F.lit(1).alias("doc_id"), "page", "type", "score", g.rect(*[F.col(k) for k in g.KEYS]).alias("rect")))
+
+
+@case("model_classes", "id type", [(1, "SIGNATURE"), (2, None), (3, "SEAL"), (4, None)])
+def model_classes(spark):
+    df = spark.createDataFrame([(1, [2.0, 4.0, -20.0, -20.0]), (2, [2.0, 1.0, 8.0, -20.0]), (3, [3.0, 1.0, 0.0, 0.0]), (4, [0.1, 0.0, 0.0, 0.0])], "id int, logits array<double>")
+    return df.select("id", regions.pick_class(F.col("logits"), ["SEAL", "SIGNATURE"], 0.6)["type"].alias("type"))
+
+
+@case("protect_dates", "id outcome", [(1, "concern"), (2, "accepted")])
+def protect_dates(spark):
+    boxes = spark.createDataFrame([(1, 5.0, 15.0, 100.0, 40.0), (2, 5.0, 60.0, 100.0, 90.0)], "id int, x0 double, y0 double, x1 double, y1 double")
+    boxes = boxes.select(F.lit(1).alias("doc_id"), F.lit(0).alias("page"), "id", g.rect(*[F.col(k) for k in g.KEYS]).alias("rect"))
+    dates = spark.range(1).select(F.lit(1).alias("doc_id"), F.lit(0).alias("page"), g.rect(0, 10, 60, 30).alias("rect"))
+    good, bad = regions.protect_dates(boxes, dates)
+    return good.select("id", F.lit("accepted").alias("outcome")).unionByName(bad.select("id", F.lit("concern").alias("outcome")))
+
+
+@case("image_objects", "id kind", [(1, "SIGNATURE"), (2, "LOGO"), (3, "LOGO"), (4, "keep"), (5, None), (6, None), (7, None)])
+def image_objects(spark):
+    rows = [(1, 0, 100.0, 100.0, 168.0, 140.0, "s"), (2, 0, 100.0, 300.0, 300.0, 500.0, "l"), (3, 1, 100.0, 300.0, 300.0, 500.0, "l"), (4, 0, 400.0, 300.0, 700.0, 600.0, "k"), (5, 0, 0.0, 0.0, 10.0, 10.0, "t"), (6, 2, 0.0, 0.0, 1654.0, 2300.0, "p"), (7, 2, 100.0, 100.0, 168.0, 140.0, "q")]
+    df = spark.createDataFrame(rows, "id int, page int, x0 double, y0 double, x1 double, y1 double, digest string")
+    own = df.select(F.lit(1).alias("doc_id"), "id", "page", "digest", g.rect(*[F.col(k) for k in g.KEYS]).alias("rect"), F.lit(200.0).alias("dpi"), F.lit(1654.0).alias("width"), F.lit(2339.0).alias("height"))
+    return regions.classify_images(own).select("id", "kind")
+
+
+@case("repeated_graphics", "id", [(1,), (2,)])
+def repeated_graphics(spark):
+    rows = [(1, 1, 0.50, 0.50, 0.1, 0.1, [1.0, 1.0]), (2, 2, 0.52, 0.49, 0.1, 0.11, [1.0, 0.9]), (3, 3, 0.70, 0.50, 0.1, 0.1, [1.0, 1.0]), (4, 4, 0.51, 0.50, 0.2, 0.1, [1.0, 1.0]), (5, 5, 0.50, 0.50, 0.1, 0.1, [-1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id int, page int, cx double, cy double, w double, h double, thumb array<double>").withColumn("doc_id", F.lit(1))
+    return regions.repeated_graphics(df).select("id")
+
+
+TRUTH = [(1, 1, "PERSON", "redact", "f", [0.1, 0.1, 0.3, 0.2]), (2, 1, "PERSON", "redact", "f", [0.1, 0.3, 0.3, 0.4]), (3, 1, "PHONE", "redact", "f", [0.1, 0.5, 0.3, 0.6]), (4, 1, "DATE", "keep", "f", [0.5, 0.1, 0.7, 0.2]), (5, 1, "DATE", "keep", "f", [0.5, 0.3, 0.7, 0.4]), (6, 2, "PHONE", "redact", "f", [0.1, 0.1, 0.3, 0.2])]
+PREDICTED = [(1, "rule", [0.1, 0.1, 0.2, 0.2]), (1, "rule", [0.2, 0.1, 0.3, 0.2]), (1, "rule", [0.1, 0.3, 0.2, 0.4]), (1, "rule", [0.6, 0.1, 0.7, 0.2]), (1, "watermark", [0.5, 0.3, 0.7, 0.4]), (1, "rule", [0.8, 0.8, 0.9, 0.9])]
+
+
+def _evaluation(spark):
+    truth = spark.createDataFrame(TRUTH, "item int, page int, type string, role string, form string, box array<double>").withColumn("doc_id", F.lit(1))
+    predicted = spark.createDataFrame(PREDICTED, "page int, source string, box array<double>").withColumn("doc_id", F.lit(1))
+    return truth, predicted
+
+
+@case("coverage_status", "item status", [(1, "full"), (2, "partial"), (3, "miss"), (4, "over"), (5, "ok"), (6, "miss")])
+def coverage_status(spark):
+    return metrics.score(*_evaluation(spark)).select("item", "status")
+
+
+@case("extras", "page source x0", [(1, "rule", 0.8)])
+def extras(spark):
+    return metrics.extras(*_evaluation(spark)).select("page", "source", F.col("box")[0].alias("x0"))
+
+
+@case("recall_table", "type redact full partial miss keep over recall", [("PERSON", 2, 1, 1, 0, 0, 0, 0.5), ("PHONE", 2, 0, 0, 2, 0, 0, 0.0), ("DATE", 0, 0, 0, 0, 2, 1, None)])
+def recall_table(spark):
+    return metrics.summarise(metrics.score(*_evaluation(spark)), "type")
+
+
+ITEM = "page int, type string, box array<double>, style string"
+OLD = [(1, "PERSON", [0.1, 0.1333, 0.4, 0.2], "black"), (1, "PERSON", [0.1, 0.1333, 0.4, 0.2], "black"), (2, "ORG", [0.0, 0.0, 0.5, 0.5], "label")]
+NEW = [(1, "PERSON", [0.1, 0.1333, 0.4, 0.2], "black"), (2, "ORG", [0.0, 0.0, 0.5, 0.5], "label"), (3, "PHONE", [0.5, 0.5, 0.9, 0.6], "label")]
+
+
+@case("review_added", "page type", [(3, "PHONE")])
+def review_added(spark):
+    return review.difference(spark.createDataFrame(OLD, ITEM), spark.createDataFrame(NEW, ITEM))[1].select("page", "type")
+
+
+@case("review_removed", "page type", [(1, "PERSON")])
+def review_removed(spark):
+    return review.difference(spark.createDataFrame(OLD, ITEM), spark.createDataFrame(NEW, ITEM))[0].select("page", "type")
+
+
+@case("changed_pages", "page", [(1,), (3,)])
+def changed_pages(spark):
+    return review.changed_pages(*review.difference(spark.createDataFrame(OLD, ITEM), spark.createDataFrame(NEW, ITEM)))
+
+
+@case("review_checks", "id problem x0", [(1, None, 0.0), (2, "page", 0.1), (3, "type", 0.1), (4, "size", 0.1), (5, "style", 0.1), (6, None, 0.1), (7, "box", 0.1)])
+def review_checks(spark):
+    rows = [(1, 1, "PERSON", [-0.5, 0.1, 0.4, 0.2], "black"), (2, 2, "PERSON", [0.1, 0.1, 0.4, 0.2], "black"), (3, 1, "NOPE", [0.1, 0.1, 0.4, 0.2], "black"), (4, 1, "PERSON", [0.1, 0.1, 0.1, 0.2], "black"), (5, 1, "PERSON", [0.1, 0.1, 0.4, 0.2], "x"), (6, 1, "WATERMARK", [0.1, 0.1, 0.4, 0.2], "x"), (7, 1, "PERSON", [0.1], "black")]
+    df = spark.createDataFrame(rows, "id int, " + ITEM).withColumns({"sources": F.array(F.lit("rule")), "alias": F.lit("a")})
+    return review.check_items(df, F.lit(1)).select("id", "problem", F.get("box", F.lit(0)).alias("x0"))
+
+
+@case("coco_export", "image_id category_id x y w h", [(1, 2, 20.0, 40.0, 60.0, 20.0), (1, 1, 0.0, 0.0, 100.0, 150.0)])
+def coco_export(spark):
+    items = spark.createDataFrame([(1, "PERSON", [0.1, 0.1333, 0.4, 0.2], "black"), (1, "ORG", [0.0, 0.0, 0.5, 0.5], "label"), (1, "WATERMARK", [0.0, 0.0, 1.0, 1.0], "label")], ITEM)
+    pages = spark.createDataFrame([(1, 200.0, 300.0)], "page int, width double, height double")
+    notes = review.coco(items, pages)[1]
+    b = F.col("bbox")
+    return notes.select("image_id", "category_id", *[b[i].alias(n) for i, n in enumerate("xywh")])
+
+
+@case("coco_load", "image_id n cls cx", [(1, 1, 1, 0.25), (2, 0, None, None)])
+def coco_load(spark):
+    images = spark.createDataFrame([(1, 200.0, 300.0), (2, 10.0, 10.0)], "image_id int, width double, height double")
+    notes = spark.createDataFrame([(1, 7, [20.0, 40.0, 60.0, 20.0]), (1, 8, [0.0, 0.0, 1.0, 1.0])], "image_id int, category_id int, bbox array<double>")
+    names = spark.createDataFrame([(7, "SIGNATURE"), (8, "OTHER")], "category_id int, name string")
+    out = review.load_coco(images, notes, names, ["SEAL", "SIGNATURE"])
+    return out.select("image_id", F.size("labels").alias("n"), F.get("labels", F.lit(0))["cls"].alias("cls"), F.get("labels", F.lit(0))["cx"].alias("cx"))
+
+
+@case("bio_tags", "pos ch tag", [(0, "由", "O"), (1, "张", "B-PER"), (2, "三", "I-PER"), (3, "陪", "O")])
+def bio_tags(spark):
+    df = spark.createDataFrame([(1, "由张三陪", [(1, 3, "PER")])], "id int, text string, entities array<struct<start:int,end:int,label:string>>")
+    return files.bio_tags(df).select("pos", "ch", "tag")
+
+
+@case("ner_windows", "n start", [(10, 0), (200, 0), (201, 0), (201, 160), (400, 0), (400, 160), (400, 320)])
+def ner_windows(spark):
+    df = spark.createDataFrame([(10,), (200,), (201,), (400,)], "n int")
+    return df.select("n", F.explode(ner.windows(F.col("n"))).alias("start"))
+
+
+@case("ner_segments", "first_line text", [(1, "由家属张秀英（患者之女）陪同就诊，张秀英表示理解病情并同意治疗方案。")])
+def ner_segments(spark):
+    rows = [(0, "姓名：王五", 100.0), (1, "由家属张秀英（患者之女）陪同就诊，张秀", 400.0), (2, "英表示理解病情并同意治疗方案。", 320.0)]
+    df = spark.createDataFrame(rows, "line int, text string, width double").withColumns({"doc_id": F.lit(1), "page": F.lit(0)})
+    return ner.segments(df).select("first_line", "text")
+
+
+@case("ner_decode", "start end score", [(1, 3, 0.9), (3, 5, 0.8)])
+def ner_decode(spark):
+    rows = [(0, "O", 0.0, 0.1), (1, "B", 0.9, 0.0), (2, "I", 0.0, 0.9), (3, "B", 0.8, 0.0), (4, "I", 0.1, 0.7), (5, "O", 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "pos int, tag string, b double, i double").withColumn("id", F.lit(1))
+    return ner.decode(df).select("start", "end", F.round("score", 6).alias("score"))
+
+
+@case("ner_roles", "id start type", [(1, 1, "STAFF"), (1, 5, "STAFF"), (1, 19, "PERSON"), (2, 2, "PERSON"), (2, 6, "PERSON")])
+def ner_roles(spark):
+    texts = {1: "经张三丰、李四光两位医师共同讨论，由家属王五陪同。", 2: "患者赵六家属钱七要求转院。"}
+    spans = [(1, 1, 4), (1, 5, 8), (1, 19, 21), (2, 2, 4), (2, 6, 8)]
+    df = spark.createDataFrame([(i, a, b, texts[i]) for i, a, b in spans], "id int, start int, end int, text string")
+    return ner.roles(df).select("id", "start", "type")
+
+
+def _form_lines(spark, rows: list[tuple]) -> DataFrame:
+    """(doc_id, text, source, {index: extra gap}): characters ten pixels wide and high, on one line each."""
+    out = []
+    for doc, text, source, gaps in rows:
+        x, x0s = 0.0, []
+        for k in range(len(text)):
+            x += gaps.get(k, 0)
+            x0s.append(x)
+            x += 10.0
+        out.append((doc, 0, 0, text, source, x0s, [a + 10.0 for a in x0s], 0.0, 10.0))
+    return spark.createDataFrame(out, "doc_id int, page int, line int, text string, source string, x0s array<double>, x1s array<double>, y0 double, y1 double")
+
+
+ALL = ["PERSON", "STAFF", "ORG", "ADDRESS", "ID_CARD", "PHONE", "BANK_CARD", "USCC", "PLATE", "MEDICAL_ID", "SIGNATURE"]
+FORMS = [
+    (1, "姓名：张小明性别：女", "text", {6: 20}), (2, "主治医师王一住院医师李二", "text", {4: 12, 6: 30, 10: 12}), (3, "患者无腹痛，大便正常", "text", {}), (4, "由家属陪同就诊（患者", "text", {}),
+    (5, "签名", "text", {}), (6, "医生：郑杰雪", "ocr", {}), (7, "主管医师☑主管护士☑", "text", {}), (8, "定点医疗机构代码：H12345678901", "text", {}), (9, "经办机构经办人：王小明", "text", {}), (10, "联系电话：13912345678某某省某某市", "text", {}),
+]
+
+
+@case("anchor_hits", "doc_id type start end value seed", [(1, "PERSON", 3, 6, "张小明", True), (2, "STAFF", 4, 6, "王一", True), (2, "STAFF", 10, 12, "李二", True), (6, "STAFF", 3, 6, "郑杰雪", True), (8, "USCC", 9, 21, "H12345678901", True), (9, "STAFF", 8, 11, "王小明", True), (10, "PHONE", 5, 16, "13912345678", True)])
+def anchor_hits(spark):
+    return anchors.anchor(_form_lines(spark, FORMS), ALL)[0].select("doc_id", "type", "start", "end", "value", "seed")
+
+
+@case("anchor_fields", "doc_id type label", [(5, "SIGNATURE", "签名")])
+def anchor_fields(spark):
+    return anchors.anchor(_form_lines(spark, [r for r in FORMS if r[0] in (3, 4, 5, 7)]), ALL)[1].select("doc_id", "type", "label")
+
+
+@case("date_signatures", "doc_id label", [(1, "日期"), (2, "日期"), (3, "日期缺日")])
+def date_signatures(spark):
+    rows = [(1, "2025.10.04王宇", "ocr", {}), (2, "2025-08-02", "ocr", {}), (3, "2025.10双宇娜", "ocr", {}), (4, "2025.10.04入院记录", "ocr", {}), (5, "2025.10.04", "text", {}), (6, "2025.10.04患者无不适继续观察", "ocr", {})]
+    return anchors.date_signatures(_form_lines(spark, rows)).select("doc_id", "label")
+
+
+@case("round_names", "doc_id value", [(1, "蔡小明"), (2, "张三")])
+def round_names(spark):
+    rows = [(1, "蔡小明主治医师查房记录", "text", {}), (2, "2025年09月02日 张三主任医师查房记录", "text", {}), (3, "上级医师查房记录", "text", {})]
+    return anchors.round_names(_form_lines(spark, rows)).select("doc_id", "value")
+
+
+HITS = "doc_id int, page int, line int, type string, source string, seed boolean, start int, end int, value string, ord int"
+SEED_HITS = [
+    (1, 0, 0, "PERSON", "anchor", True, 3, 5, "乜翀", 1), (1, 0, 1, "STAFF", "anchor", True, 4, 6, "乜翀", 2), (1, 0, 2, "STAFF", "anchor", False, 3, 5, "王一", 3), (1, 0, 3, "STAFF", "anchor", True, 3, 7, "康复治疗", 4),
+    (2, 0, 0, "PERSON", "ner", True, 1, 4, "黄小萍", 1), (2, 0, 1, "PERSON", "ner", True, 1, 4, "黄小萍", 2), (2, 0, 1, "PERSON", "ner", True, 5, 8, "何其多", 3), (3, 0, 0, "PERSON", "ner", True, 0, 3, "林小慧", 1),
+    (4, 0, 0, "BANK_CARD", "rule", True, 0, 16, "4111111111111111", 1), (4, 0, 0, "EMAIL", "rule", True, 20, 30, "a@b.example", 2), (4, 0, 1, "ORG", "rule", True, 0, 4, "向阳医院", 3), (4, 0, 1, "ADDRESS", "anchor", True, 5, 9, "某市东路", 4),
+]
+
+
+@case("seed_rules", "doc_id value type ord", [(1, "乜翀", "STAFF", 1), (2, "黄小萍", "PERSON", 1), (3, "林小慧", "PERSON", 1), (4, "4111111111111111", "BANK_CARD", 1), (4, "向阳医院", "ORG", 2), (4, "甲乙丙", "CUSTOM", 3)])
+def seed_rules(spark):
+    own = spark.createDataFrame([(3, 0, 0, "林小慧"), (3, 0, 1, "林小慧"), (2, 0, 0, "x")], "doc_id int, page int, line int, text string")
+    custom = spark.createDataFrame([(4, "甲乙丙"), (4, "丁")], "doc_id int, word string")
+    return engine.collect_seeds(spark.createDataFrame(SEED_HITS, HITS), own, custom).select("doc_id", "value", "type", "ord")
+
+
+@case("propagate_rules", "line start end type value", [(0, 0, 3, "PERSON", "王小明"), (0, 4, 7, "PERSON", "王小朋"), (1, 0, 8, "ORG", "澄岚市第二人民院"), (2, 2, 5, "PERSON", "王小明")])
+def propagate_rules(spark):
+    own = [(1, 0, 0, "王小明和王小朋、李小明"), (1, 0, 1, "澄岚市第二人民院，王大明天来"), (1, 0, 2, "患者王小明王小明")]
+    df = spark.createDataFrame(own, "doc_id int, page int, line int, text string")
+    seeds = spark.createDataFrame([(1, "王小明", "PERSON", 1), (1, "澄岚市第一人民院", "ORG", 2)], "doc_id int, value string, type string, ord int")
+    covered = spark.createDataFrame([(1, 0, 2, 5, 8, "PERSON", "王小明"), (1, 0, 1, 9, 12, "PERSON", "王大明")], "doc_id int, page int, line int, start int, end int, type string, value string")
+    return engine.propagate(df, seeds, covered).select("line", "start", "end", "type", "value")
+
+
+@case("hit_guard", "source start", [("rule", 0), ("anchor", 5), ("ner", 9)])
+def hit_guard(spark):
+    schema = "doc_id int, page int, line int, source string, start int, end int"
+    one = lambda rows: spark.createDataFrame(rows, schema)
+    return engine.page_hits(one([(1, 0, 0, "rule", 0, 4)]), one([(1, 0, 0, "anchor", 3, 6), (1, 0, 0, "anchor", 5, 8)]), one([(1, 0, 0, "ner", 7, 9), (1, 0, 0, "ner", 9, 11)])).select("source", "start")
+
+
+@case("type_override", "value type", [("张三", "STAFF"), ("李四", "PERSON")])
+def type_override(spark):
+    schema = "doc_id int, value string, type string, seed boolean, ord int"
+    names = spark.createDataFrame([(1, "张三", "PERSON", False, 3), (1, "李四", "PERSON", False, 4)], schema)
+    anchored = spark.createDataFrame([(1, "张三", "PERSON", True, 1), (1, "张三", "STAFF", True, 2), (1, "李四", "STAFF", False, 2)], schema)
+    return engine.override_types(names, anchored).select("value", "type")
+
+
+TEMPLATE = [("t", "姓名", "PERSON", [0.05, 0.05, 0.10, 0.06]), ("t", "性别", "PLAIN", [0.45, 0.05, 0.50, 0.06]), ("t", "身份证号", "ID_CARD", [0.05, 0.10, 0.15, 0.11]), ("t", "电话", "PHONE", [0.05, 0.15, 0.10, 0.16]), ("t", "住院号", "MEDICAL_ID", [0.45, 0.15, 0.52, 0.16])]
+
+
+def _template_page(spark):
+    own = spark.createDataFrame(TEMPLATE, "name string, text string, type string, box array<double>")
+    seen = []
+    for _, text, _, (a, b, c, d) in TEMPLATE:
+        if text != "身份证号":
+            seen.append((1, 0, text, 1050.0 * a + 20, 2100.0 * b + 35, 1050.0 * c + 20, 2100.0 * d + 35))
+            seen.append((2, 0, text, 1000.0 * b * 9, 2000.0 * a, 1000.0 * b * 9 + 50, 2000.0 * a + 20))
+    df = spark.createDataFrame(seen, "doc_id int, page int, text string, x0 double, y0 double, x1 double, y1 double")
+    return df.select("doc_id", "page", "text", g.rect(*[F.col(k) for k in g.KEYS]).alias("rect"), F.lit(1000.0).alias("width"), F.lit(2000.0).alias("height")), own
+
+
+@case("regr_template_fit", "doc_id name n ax bx ay by", [(1, "t", 4, 1.05, 20.0, 1.05, 35.0)])
+def regr_template_fit(spark):
+    fit = templates.fit(*_template_page(spark))
+    return fit.select("doc_id", "name", "n", *[F.round(c, 6).alias(c) for c in ("ax", "bx", "ay", "by")])
+
+
+@case("template_recovery", "doc_id text type x0 y0", [(1, "身份证号", "ID_CARD", 72.5, 245.0)])
+def template_recovery(spark):
+    found = templates.recover(*_template_page(spark))
+    return found.select("doc_id", "text", "type", F.round("rect.x0", 4).alias("x0"), F.round("rect.y0", 4).alias("y0"))
+
+
+@case("job_states", "job_id status code", [("a", "succeeded", None), ("b", "failed", "INTERRUPTED"), ("c", "failed", "INVALID_FILE")])
+def job_states(spark):
+    events = [("a", 1, "queued", None), ("a", 2, "running", None), ("a", 3, "succeeded", None), ("b", 1, "queued", None), ("c", 1, "queued", None), ("c", 2, "failed", "INVALID_FILE")]
+    return jobs.interrupted(jobs.states(spark.createDataFrame(events, "job_id string, seq int, status string, code string")))
+
+
+@case("key_checks", "request_id key_id", [(1, "k1"), (2, None), (3, None)])
+def key_checks(spark):
+    keys = spark.createDataFrame([("k1", "alpha", None), ("k2", "beta", 5.0)], "id string, secret string, revoked double").select("id", jobs.hash_key(F.col("secret")).alias("key_hash"), "revoked")
+    return jobs.verify_keys(spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "gamma")], "request_id int, key string"), keys)
+
+
+@case("stale_files", "name", [("a.upload",), ("tmpx",), ("sync-1",)])
+def stale_files(spark):
+    rows = [("a.upload", 0.0), ("tmpx", 0.0), ("sync-1", 0.0), ("b.upload", 9000.0), ("keep.pdf", 0.0)]
+    return jobs.stale_files(spark.createDataFrame(rows, "name string, modified double"), F.lit(7200.0)).select("name")
+
+
+@case("retention", "hours kept", [(0.0, 0.1), (24.0, 24.0), (500.0, 168.0)])
+def retention(spark):
+    return spark.createDataFrame([(0.0,), (24.0,), (500.0,)], "hours double").select("hours", jobs.retention_hours(F.col("hours")).alias("kept"))

@@ -279,11 +279,11 @@ def jobs_per_owner(spark, sf_dir):
     return owners.join(per, "owner", "left").select("owner", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("expired_jobs", "SELECT o_orderkey AS id FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' AND o_orderstatus NOT IN ('O', 'P')")
+@query("expired_jobs", "SELECT o_orderkey AS id FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' AND o_orderstatus NOT IN ('O', 'P')")
 def expired_jobs(spark, sf_dir):
     status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("succeeded")
     own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("expires"), status.alias("status"))
-    return jobs.expired(own, F.to_timestamp(F.lit("1995-01-01"))).select("id")
+    return jobs.expired(own, F.to_timestamp(F.lit("2000-01-01"))).select("id")
 
 
 _SCORED_SQL = """SELECT l.doc_id, d.lang AS variant, d.source AS type, CASE WHEN l.toxic = 1 THEN 'redact' ELSE 'keep' END AS role,

@@ -25,7 +25,7 @@ def sniff(content: Column, hint: Column) -> Column:
     Containers are told by the names of their parts, which stand in their bytes uncompressed.
     """
     head = F.hex(F.substring(content, 1, 16))
-    body = F.decode(F.substring(content, 1, 65536), F.lit("ISO-8859-1"))
+    body = F.decode(F.substring(content, 1, 65536), "ISO-8859-1")
     out = F.when(F.startswith(head, F.lit("52494646")) & (F.substring(head, 17, 8) == "57454250"), "webp")
     for kind, magic in MAGIC:
         out = out.when(F.startswith(head, F.lit(magic)), kind)
