@@ -2,7 +2,8 @@
 
 Outcomes are labelled pages, bad or good. Every level of the name hierarchy shrinks towards the next:
 a host's rate towards its registered domain's, a domain's towards its suffix's, a suffix's towards the overall rate, each
-through a beta prior whose strength is estimated from the over-dispersion of that level's beta-binomial counts. A page
+through a beta prior whose strength is estimated from the over-dispersion of that level's beta-binomial counts, and is never
+more than the evidence behind the parent's rate. A page
 is blocked when the lower bound of its host's posterior bad rate exceeds `block_above`.
 
 Defined cases: a null url, or one without "://", has an empty host and path; all such pages share the empty host. Hosts
@@ -118,12 +119,12 @@ def host_posteriors(outcomes: DataFrame) -> DataFrame:
     overall = ((total["bad"] or 0) + 1.0) / ((total["n"] or 0) + 2.0)
 
     def shrink(counts: DataFrame) -> DataFrame:
-        s = F.lit(_strength(counts))
+        s = F.least(F.lit(_strength(counts)), F.col("behind"))
         return counts.withColumns({"a": F.col("bad") + s * F.col("prior"), "total": F.col("n") + s}).withColumn("rate", F.col("a") / F.col("total"))
 
-    suffixes = shrink(suffixes.withColumn("prior", F.lit(overall)))
-    domains = shrink(domains.join(suffixes.select("suffix", F.col("rate").alias("prior")), "suffix"))
-    hosts = shrink(hosts.join(domains.select("domain", F.col("rate").alias("prior")), "domain"))
+    suffixes = shrink(suffixes.withColumns({"prior": F.lit(overall), "behind": F.lit((total["n"] or 0) + 2.0)}))
+    domains = shrink(domains.join(suffixes.select("suffix", F.col("rate").alias("prior"), F.col("total").alias("behind")), "suffix"))
+    hosts = shrink(hosts.join(domains.select("domain", F.col("rate").alias("prior"), F.col("total").alias("behind")), "domain"))
     rate = F.col("rate")
     return hosts.select("host", "n", "bad", "rate", (rate - F.lit(Z) * F.sqrt(rate * (1 - rate) / (F.col("total") + 1))).alias("lower"))
 
@@ -155,7 +156,7 @@ def oracle() -> str:
 {name}_s AS (SELECT CASE WHEN coalesce(sum(n*(n-1)*prior*(1-prior)),0)=0 THEN {high}
    WHEN sum((bad-n*prior)**2-n*prior*(1-prior))/sum(n*(n-1)*prior*(1-prior)) <= {1 / (high + 1)} THEN {high}
    ELSE greatest({low}, 1/(sum((bad-n*prior)**2-n*prior*(1-prior))/sum(n*(n-1)*prior*(1-prior)))-1) END AS s FROM {source}),
-{name} AS (SELECT *, (bad+s*prior)/(n+s) AS rate, n+s AS total FROM {source}, {name}_s)"""
+{name} AS (SELECT *, (bad+least(s,behind)*prior)/(n+least(s,behind)) AS rate, n+least(s,behind) AS total FROM {source}, {name}_s)"""
 
     return rf"""
 WITH rules(len, rule, verdict, rhost, rpath) AS (VALUES {rules}),
@@ -168,10 +169,10 @@ l AS (SELECT p.*, m.rule, m.verdict AS listed FROM p LEFT JOIN m USING (rid)),
 h0 AS (SELECT host, count(listed) AS n, count(*) FILTER (listed = 'block') AS bad, string_split(host, '.') AS labels FROM l GROUP BY host),
 h1 AS (SELECT *, CASE WHEN len(labels) > 1 AND length(labels[-1]) = 2 AND labels[-2] IN ({second}) THEN 2 ELSE 1 END AS k FROM h0),
 h2 AS (SELECT host, n, bad, array_to_string(labels[-k:], '.') AS suffix, array_to_string(labels[greatest(len(labels) - k, 1):], '.') AS domain FROM h1),
-tot AS (SELECT (coalesce(sum(bad),0)+1.0)/(coalesce(sum(n),0)+2.0) AS prior FROM h2),
-s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(prior) AS prior FROM h2, tot GROUP BY suffix),{level("s1", "s0")},
-d0 AS (SELECT domain, h2.suffix, sum(h2.n) AS n, sum(h2.bad) AS bad, any_value(rate) AS prior FROM h2 JOIN s1 ON h2.suffix = s1.suffix GROUP BY ALL),{level("d1", "d0")},
-q0 AS (SELECT host, h2.n, h2.bad, rate AS prior FROM h2 JOIN d1 ON h2.domain = d1.domain),{level("q1", "q0")},
+tot AS (SELECT (coalesce(sum(bad),0)+1.0)/(coalesce(sum(n),0)+2.0) AS prior, coalesce(sum(n),0)+2.0 AS behind FROM h2),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(prior) AS prior, any_value(behind) AS behind FROM h2, tot GROUP BY suffix),{level("s1", "s0")},
+d0 AS (SELECT domain, h2.suffix, sum(h2.n) AS n, sum(h2.bad) AS bad, any_value(rate) AS prior, any_value(total) AS behind FROM h2 JOIN s1 ON h2.suffix = s1.suffix GROUP BY ALL),{level("d1", "d0")},
+q0 AS (SELECT host, h2.n, h2.bad, rate AS prior, total AS behind FROM h2 JOIN d1 ON h2.domain = d1.domain),{level("q1", "q0")},
 v AS (SELECT host, rate - {Z} * sqrt(rate*(1-rate)/(total+1)) > {BLOCK_ABOVE} AS bad_host FROM q1)
 SELECT page_id, l.host, path, rule, coalesce(listed, CASE WHEN bad_host THEN 'block' ELSE 'allow' END) AS verdict
 FROM l LEFT JOIN v ON l.host = v.host"""

@@ -1,10 +1,10 @@
 """Secrets in texts: three patterns, and strings that a battery of randomness tests tells from text.
 
 The base patterns find assigned values, access keys and long hexadecimal runs. Beyond them, every run of
-16 or more characters of the base64 alphabets is a candidate. Its encoding is inferred from its characters (hex, base32,
-base36, base64) and three tests are made against what text-like strings would show:
+16 or more characters of the base64 alphabets is a candidate. Its encoding is inferred from its characters (hex, letters of
+one case, base32, base36, base64) and three tests are made against what text-like strings would show:
   chi-squared   how uniform the encoding's alphabet is used (text is far from uniform);
-  runs          how often neighbours differ in class - digit, lower, upper, other (text rarely changes);
+  runs          how often neighbours differ in class - digit, lower, upper, other signs passed over (text rarely changes);
   serial        lag-one correlation of the characters' ranks (sequences and patterns correlate).
 Fisher's method combines the three p-values. Length strata then get their own Benjamini-Hochberg cut-off over all
 candidates of the corpus, so that the many short strings don't pay for the few long ones, nor the reverse. The only
@@ -47,6 +47,8 @@ TEXT_MASS, TEXT_CHANGES, STRUCTURE = 0.065, 0.2, 0.5
 ENCODINGS = (
     ("hex", "0123456789abcdef", re.compile("[0-9a-f]+")),
     ("HEX", "0123456789ABCDEF", re.compile("[0-9A-F]+")),
+    ("letters", "abcdefghijklmnopqrstuvwxyz", re.compile("[a-z]+")),
+    ("LETTERS", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", re.compile("[A-Z]+")),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", re.compile("[A-Z2-7]+")),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", re.compile("[0-9a-z]+")),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", re.compile("[A-Za-z0-9+/]+")),
@@ -84,7 +86,7 @@ def evidence(s: str) -> float:
     # Under a text-like source X2 is about a non-central chi-squared variable with this non-centrality.
     away = n * max(0.5, size * TEXT_MASS - 1)
     p_chi = _normal_tail((x2 - (size - 1 + away)) / math.sqrt(2 * (size - 1 + 2 * away)))
-    kinds = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in s]
+    kinds = [0 if c.isdigit() else 1 if c.islower() else 2 for c in s if c.isalnum()]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
     mean, sd = (n - 1) * TEXT_CHANGES, math.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES))
     p_runs = _normal_tail(-(changes - 0.5 - mean) / sd)
