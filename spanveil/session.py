@@ -29,9 +29,17 @@ def local_session(cpus: int = 8, name: str = "spanveil") -> SparkSession:
     )
 
 
+#: Bytes of an Arrow batch. Texts differ in length a thousandfold, so batches of a number of rows have no bound.
+BATCH_BYTES = "4m"
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors once per application, for the Arrow functions."""
+    """Prepare a session for the Arrow functions: bounded batches, unless the session sets its own bound, and, once per
+    application, the package's source for the executors."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH_CONF, "67108864b") == "67108864b":  # Spark's default
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
     if getattr(sc, "_spanveil_shipped", False):
         return
     data = io.BytesIO()
