@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "\x01"
@@ -14,6 +14,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with one more column that later filters and projections read but never repeat: its expression stays where it is."""
+    return df.withColumn(name, F.explode_outer(F.array(value)))
+
+
 def find_all(text: Column, pattern: str, before: str | None = None) -> Column:
     """Non-overlapping matches with code point offsets, leftmost first: array<struct<start, end, value>>.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanveil import lexicon
 from spanveil.functions.geometry import rect
-from spanveil.functions.text import find_all, let
+from spanveil.functions.text import bind, find_all, let
 from spanveil.functions.validators import surname_start, valid
 from spanveil.operators.engine import KEY
 
@@ -56,39 +56,52 @@ def gap(i: Column) -> Column:
 def _candidate(i: Column) -> Column:
     """The label that starts at i (from 0), how the scan goes on from it, and whether it counts."""
     text = F.col("text")
-    rest = F.substring(text, i + 1, F.length(text))
-    lab0 = F.regexp_extract(rest, "^" + ANY_LABEL, 0)
+    part = lambda s, n: F.substring(s, n + 1, F.length(text))
 
-    def judge(lab0: Column) -> Column:
+    def judge(rest: Column, lab0: Column, after: Column, suffix: Column, rest_j: Column, kind: Column, chain: Column, stop: Column, tail: Column) -> Column:
         j0 = i + F.length(lab0)
-        after = F.substring(rest, F.length(lab0) + 1, F.length(text))
-        signs = F.contains(lab0, F.lit("签"))
-        suffix = F.when(signs, F.lit("")).otherwise(F.regexp_extract(after, "^" + _any(SIGN_SUFFIX), 0))
         label, j = F.concat(lab0, suffix), j0 + F.length(suffix)
-        rest_j = F.substring(after, F.length(suffix) + 1, F.length(text))
-        stop = F.regexp_extract(rest, "^" + ANY_STOP, 0)
         plain_stop = (F.length(stop) > F.length(lab0)) & ~stop.isin(*LABELS)
-        tail = F.regexp_extract(after, f"^({ANY_LABEL})[：:]", 1)
         passes_on = F.rlike(after, F.lit(f"^[{CHECKBOX}]")) | ((tail != "") & ~tail.isin(*SIGN_SUFFIX))
-        kind = kind_of(lab0)
-        generic = label.isin(*lexicon.GENERIC)
+        generic, signs = label.isin(*lexicon.GENERIC), F.contains(label, F.lit("签"))
         person = kind.isin("PERSON", "STAFF")
-        sep = F.rlike(rest_j, F.lit("^[：:]"))
         pre = (i == 0) | F.rlike(F.substring(text, i, F.lit(1)), F.lit(rf"[{_PUNCT}0-9]")) | F.coalesce(gap(i) > 0.4, F.lit(False))
-        pre = pre | (sep & (F.contains(label, F.lit("签")) | label.isin(*ROLE_TAILS) | (person & ~generic)))
-        chain = F.regexp_extract(rest_j, f"^(?:[/／、（）()或及和 ]|{ANY_LABEL}|{_any(SIGN_NOTES)})+[：:]", 0)
+        pre = pre | (F.rlike(rest_j, F.lit("^[：:]")) & (signs | label.isin(*ROLE_TAILS) | (person & ~generic)))
         chained = (chain != "") & F.rlike(chain, F.lit(f"{ANY_LABEL}|{_any(SIGN_NOTES)}")) & (F.length(chain) <= 25)
-        at_end = (j == F.length(text)) & (~generic | (i == 0) | F.contains(label, F.lit("签")))
-        post = at_end | chained | ((F.rlike(rest_j, F.lit(f"^[{_SEPS}]")) | F.coalesce(gap(j) > 0.4, F.lit(False))) & ~(~chained & generic & F.rlike(rest_j, F.lit("^[（(]"))))
+        at_end = (j == F.length(text)) & (~generic | (i == 0) | signs)
+        post = at_end | chained | ((F.rlike(rest_j, F.lit(f"^[{_SEPS}]")) | F.coalesce(gap(j) > 0.4, F.lit(False))) & ~(generic & F.rlike(rest_j, F.lit("^[（(]"))))
         post = post | ((i == 0) & ~generic & (F.col("source") == "ocr"))
-        name = F.regexp_extract(rest_j, "^[一-龥]{2,4}$", 0)
-        weak = ~post & pre & person & (F.col("source") == "ocr") & (name != "") & surname_start(name)
-        ok = pre & (post | weak) & ~passes_on & ~plain_stop
-        end = F.when(chained, j + F.length(chain)).otherwise(j)
-        onward = F.when(passes_on, j0).when(plain_stop, i + F.length(stop)).when(ok, end).otherwise(i + 1)
-        return F.struct(i.cast("int").alias("start"), end.cast("int").alias("end"), onward.cast("int").alias("next"), label.alias("label"), kind.alias("type"), weak.alias("weak"), ok.alias("ok"))
-
-    return let(lab0, lambda v: F.when(v != "", judge(v)))
+        named = F.rlike(rest_j, F.lit("^[一-龥]{2,4}$")) & surname_start(rest_j)
+
+        def outcome(pre: Column, post: Column, chained: Column, skips: Column) -> Column:
+            weak = ~post & pre & person & (F.col("source") == "ocr") & named
+            ok = pre & (post | weak) & ~skips
+            end = F.when(chained, j + F.length(chain)).otherwise(j)
+            onward = F.when(passes_on, j0).when(plain_stop, i + F.length(stop)).when(ok, end).otherwise(i + 1)
+            return F.struct(i.cast("int").alias("start"), end.cast("int").alias("end"), onward.cast("int").alias("next"), label.alias("label"), kind.alias("type"), weak.alias("weak"), ok.alias("ok"))
+
+        tests = F.struct(pre.alias("pre"), post.alias("post"), chained.alias("chained"), (passes_on | plain_stop).alias("skips"))
+        return let(tests, lambda t: outcome(t["pre"], t["post"], t["chained"], t["skips"]))
+
+    def parts(rest: Column, lab0: Column, after: Column, suffix: Column) -> Column:
+        def more(rest_j: Column) -> Column:
+            own = F.struct(
+                kind_of(lab0).alias("kind"),
+                F.regexp_extract(rest_j, f"^(?:[/／、（）()或及和 ]|{ANY_LABEL}|{_any(SIGN_NOTES)})+[：:]", 0).alias("chain"),
+                F.regexp_extract(rest, "^" + ANY_STOP, 0).alias("stop"),
+                F.regexp_extract(after, f"^({ANY_LABEL})[：:]", 1).alias("tail"),
+            )
+            return let(own, lambda o: judge(rest, lab0, after, suffix, rest_j, o["kind"], o["chain"], o["stop"], o["tail"]))
+
+        return let(part(after, F.length(suffix)), more)
+
+    def labelled(rest: Column, lab0: Column) -> Column:
+        suffix = lambda after: F.when(F.contains(lab0, F.lit("签")), F.lit("")).otherwise(F.regexp_extract(after, "^" + _any(SIGN_SUFFIX), 0))
+        return let(part(rest, F.length(lab0)), lambda after: let(suffix(after), lambda x: parts(rest, lab0, after, x)))
+
+    return let(
+        part(text, i), lambda rest: let(F.regexp_extract(rest, "^" + ANY_LABEL, 0), lambda lab0: F.when(lab0 != "", labelled(rest, lab0)))
+    )
 
 
 def find_labels(lines: DataFrame) -> DataFrame:
@@ -155,14 +168,14 @@ def anchor(lines: DataFrame, enabled: list[str]) -> tuple[DataFrame, DataFrame]:
     on = on.where(F.col("type").isin(*enabled) | (sig & F.lit("SIGNATURE" in enabled)))
     taken = take_value(F.substring(F.col("text"), F.col("end") + 1, F.length("text")), F.col("type"))
     h, lab_x1 = height(F.col("y0"), F.col("y1")), F.get("x1s", F.col("end") - 1)
-    on = on.withColumn("t", taken).withColumn("k", F.col("end") + F.col("t.skip"))
-    on = on.withColumn("v", _cut_at_gap(F.col("k"), F.col("t.value"), F.col("type"))).withColumns({"h": h, "lab_x1": F.coalesce(lab_x1, F.lit(0.0))})
+    on = bind(on, "t", taken).withColumn("k", F.col("end") + F.col("t.skip"))
+    on = bind(on, "v0", _cut_at_gap(F.col("k"), F.col("t.value"), F.col("type"))).withColumns({"h": h, "lab_x1": F.coalesce(lab_x1, F.lit(0.0))})
     far = (F.get("x0s", F.col("k")) - F.col("lab_x1")) / F.col("h")
-    alone = F.length("v").between(2, 4) & (F.col("k") + F.length("v") == F.length("text"))
+    alone = F.length("v0").between(2, 4) & (F.col("k") + F.length("v0") == F.length("text"))
     person = F.col("type").isin("PERSON", "STAFF")
-    too_far = person & F.coalesce((far > FAR_NAME) | ((far > FAR_VALUE) & ~(alone | surname_start(F.col("v")))), F.lit(False))
-    on = on.withColumn("v", F.when(too_far, F.lit("")).otherwise(F.col("v"))).where(~_no_field(F.col("v")))
-    on = on.withColumn("good", valid(F.col("type"), F.col("v")) & F.col("type").isin(*enabled))
+    too_far = person & F.coalesce((far > FAR_NAME) | ((far > FAR_VALUE) & ~(alone | surname_start(F.col("v0")))), F.lit(False))
+    on = bind(on, "v", F.when(too_far, F.lit("")).otherwise(F.col("v0"))).where(~_no_field(F.col("v")))
+    on = bind(on, "good", valid(F.col("type"), F.col("v")) & F.col("type").isin(*enabled))
     hit = lambda df, line, k, v, seed: df.select(
         "doc_id", "page", F.col(line).alias("line"), "type", F.lit("anchor").alias("source"), F.lit(0).alias("prio"),
         F.col(k).cast("int").alias("start"), (F.col(k) + F.length(v)).cast("int").alias("end"), F.col(v).alias("value"), seed.alias("seed"),
@@ -176,7 +189,7 @@ def anchor(lines: DataFrame, enabled: list[str]) -> tuple[DataFrame, DataFrame]:
     )
     key = [*KEY, "start", "label", "type", "weak"]
     nearest = band.groupBy(*key).agg(F.min_by(F.struct("o_line", "o_text"), F.struct("o_x0", "o_line")).alias("o"))
-    side = nearest.withColumn("t", take_value(F.col("o.o_text"), F.col("type"))).withColumns({"o_line": F.col("o.o_line"), "k": F.col("t.skip"), "v": F.col("t.value")})
+    side = bind(nearest, "t", take_value(F.col("o.o_text"), F.col("type"))).withColumns({"o_line": F.col("o.o_line"), "k": F.col("t.skip"), "v": F.col("t.value")})
     side = side.where(valid(F.col("type"), F.col("v")) & F.col("type").isin(*enabled))
     beside = hit(side, "o_line", "k", "v", ~F.col("weak") & surname_start(F.col("v")))
     left = open_.join(side.select(*KEY, "start"), [*KEY, "start"], "left_anti").withColumn("below", F.lit(True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanveil.functions.text import find_all, first_come
+from spanveil.functions.text import find_all, first_come, let
 from spanveil.functions.validators import id_card_ok, luhn_ok, uscc_ok
 
 # Patterns of the number formats, and words around organisation names. Digits are ASCII.
@@ -47,9 +47,9 @@ def _digits(v: Column) -> Column:
 
 def _cut(span: Column, suffix: str) -> Column:
     """The span without what stands before the name: after the last boundary word or character ahead of the suffix."""
-    head = F.regexp_extract(span["value"], f"^(.*?){suffix}", 1)
-    after = [F.length(F.regexp_extract(head, f"^.*{w}", 0)) for w in [*BOUNDARY_WORDS, f"[{BOUNDARY_CHARS}]"]]
-    return _drop(span, F.greatest(*after))
+    # All boundary words are of one length, so the last to start is the last to end.
+    ends = lambda head: F.greatest(*[F.length(F.regexp_extract(head, f"^.*{w}", 0)) for w in ("(?:" + "|".join(BOUNDARY_WORDS) + ")", f"[{BOUNDARY_CHARS}]")])
+    return let(F.regexp_extract(span["value"], f"^(.*?){suffix}", 1), lambda head: _drop(span, ends(head)))
 
 
 def _drop(span: Column, n: Column) -> Column:
