@@ -117,3 +117,39 @@ def clean_name(name: Column) -> Column:
 
 def is_job_id(s: Column) -> Column:
     return F.rlike(s, F.lit(r"\Ajob_[0-9a-z]{20}\z"))
+
+
+def id_check_character(body: Column) -> Column:
+    """Check character of the 17 digits before it."""
+    total = _weighted(body, ID_WEIGHTS, lambda c: F.coalesce(c.try_cast("int"), F.lit(0)))
+    return F.substring(F.lit(ID_CHECK), F.pmod(total, F.lit(11)).cast("int") + 1, F.lit(1))
+
+
+def luhn_digit(body: Column) -> Column:
+    """The digit that makes body + digit pass the Luhn test."""
+    tries = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string"))
+    return F.filter(tries, lambda d: F.call_function("luhn_check", F.concat(body, d)))[0]
+
+
+# Numerals and units of amounts in words.
+NUMERALS, UNITS = "零壹贰叁肆伍陆柒捌玖", ["", "拾", "佰", "仟", "万", "拾", "佰", "仟"]
+
+
+def amount_in_words(cents: Column) -> Column:
+    """An amount below 100 million, in cents, in formal numerals: 1230268 is 壹万贰仟叁佰零贰元陆角捌分."""
+    yuan, jiao, fen = F.floor(cents / 100).cast("string"), F.floor(F.pmod(cents, F.lit(100)) / 10).cast("int"), F.pmod(cents, F.lit(10)).cast("int")
+    word = lambda d: F.substring(F.lit(NUMERALS), d + 1, F.lit(1))
+    n = F.length(yuan)
+    units = F.array(*[F.lit(u) for u in UNITS])
+    kind = "struct<zero:boolean,out:string>"
+    start = F.struct(F.lit(False).alias("zero"), F.lit("").alias("out")).cast(kind)
+
+    def step(s: Column, i: Column) -> Column:
+        d, place = F.substring(yuan, i, F.lit(1)).cast("int"), n - i
+        spoken = F.concat(s["out"], F.when(s["zero"], F.lit("零")).otherwise(F.lit("")), word(d), F.get(units, place))
+        skipped = F.concat(s["out"], F.when(place == 4, F.lit("万")).otherwise(F.lit("")))
+        return F.when(d == 0, F.struct(F.lit(True).alias("zero"), skipped.alias("out"))).otherwise(F.struct(F.lit(False).alias("zero"), spoken.alias("out"))).cast(kind)
+
+    whole = F.concat(F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["out"]), F.lit("元"))
+    small = F.concat(F.when(jiao > 0, F.concat(word(jiao), F.lit("角"))).otherwise(F.lit("零")), F.when(fen > 0, F.concat(word(fen), F.lit("分"))).otherwise(F.lit("")))
+    return F.concat(whole, F.when((jiao == 0) & (fen == 0), F.lit("整")).otherwise(small))

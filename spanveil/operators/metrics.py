@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FULL, PARTIAL, OVER, EXTRA, GROW = 0.8, 0.3, 0.15, 0.2, 0.006
@@ -93,3 +93,44 @@ def summarise_sets(scored: DataFrame, sets: list[list[str]]) -> DataFrame:
     """The same for several groupings in one pass, absent keys null."""
     keys = list(dict.fromkeys(k for s in sets for k in s))
     return scored.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(*_counts())
+
+
+def score_prose(names: DataFrame, hits: DataFrame) -> DataFrame:
+    """names (doc_id, start, end, role) with `covered` and `got`: whether the union of hits holds every character of a name, and the
+    type found at its first. hits: doc_id, start, end, type.
+
+    Overlapping or touching hits are joined to islands first, so a name is covered if one island holds it.
+    """
+    by = Window.partitionBy("doc_id").orderBy("start", "end")
+    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hits.withColumn("run", F.sum(F.coalesce((F.col("start") > before).cast("int"), F.lit(1))).over(by))
+    islands = runs.groupBy("doc_id", "run").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
+    n = names.alias("n")
+    whole = n.join(islands.alias("i"), (F.col("n.doc_id") == F.col("i.doc_id")) & (F.col("lo") <= F.col("n.start")) & (F.col("hi") >= F.col("n.end")), "left_semi")
+    first = hits.select("doc_id", F.col("start").alias("a"), F.col("end").alias("b"), "type").alias("h")
+    typed = n.join(first, (F.col("n.doc_id") == F.col("h.doc_id")) & (F.col("a") <= F.col("n.start")) & (F.col("b") > F.col("n.start")))
+    got = typed.groupBy(*[F.col("n." + c).alias(c) for c in ("doc_id", "start")]).agg(F.max_by("type", F.col("a")).alias("got"))
+    flagged = names.join(whole.select("doc_id", "start", F.lit(True).alias("covered")), ["doc_id", "start"], "left").join(got, ["doc_id", "start"], "left")
+    return flagged.withColumn("covered", F.coalesce("covered", F.lit(False)))
+
+
+def prose_summary(scored: DataFrame) -> DataFrame:
+    """names, recall and the share of covered names whose type is right."""
+    covered = F.count_if("covered")
+    return scored.agg(
+        F.count("*").alias("names"), F.round(covered / F.greatest(F.count("*"), F.lit(1)), 4).alias("recall"),
+        F.round(F.count_if(F.col("covered") & (F.col("got") == F.col("role"))) / F.greatest(covered, F.lit(1)), 4).alias("type_accuracy"),
+    )
+
+
+def confusion(scored: DataFrame) -> DataFrame:
+    return scored.where("covered").groupBy("role", "got").agg(F.count("*").alias("n"))
+
+
+def false_runs(chars: DataFrame, top: int = 12) -> DataFrame:
+    """The most frequent runs of characters that were hit and must not have been. chars: doc_id, pos, ch, hit, allowed."""
+    wrong = chars.where(F.col("hit") & ~F.col("allowed") & (F.col("ch") != "\n"))
+    by = Window.partitionBy("doc_id").orderBy("pos")
+    runs = wrong.withColumn("run", F.sum(F.coalesce((F.col("pos") != F.lag("pos").over(by) + 1).cast("int"), F.lit(1))).over(by))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ch"))), lambda x: x["ch"]), "")
+    return runs.groupBy("doc_id", "run").agg(text.alias("text")).groupBy("text").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "text").limit(top)

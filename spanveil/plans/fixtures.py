@@ -569,3 +569,59 @@ def stale_files(spark):
 @case("retention", "hours kept", [(0.0, 0.1), (24.0, 24.0), (500.0, 168.0)])
 def retention(spark):
     return spark.createDataFrame([(0.0,), (24.0,), (500.0,)], "hours double").select("hours", jobs.retention_hours(F.col("hours")).alias("kept"))
+
+
+@case("check_digits", "body id luhn", [("11010519491231002", "X", None), ("411111111111111", None, "1")])
+def check_digits(spark):
+    df = spark.createDataFrame([("11010519491231002",), ("411111111111111",)], "body string")
+    b = F.col("body")
+    return df.select("body", F.when(F.length(b) == 17, v.id_check_character(b)).alias("id"), F.when(F.length(b) == 15, v.luhn_digit(b)).alias("luhn"))
+
+
+@case("amounts_in_words", "cents words", [(1230268, "壹万贰仟叁佰零贰元陆角捌分"), (100, "壹元整"), (1005, "壹拾元零伍分"), (10000000, "壹拾万元整"), (12030, "壹佰贰拾元叁角")])
+def amounts_in_words(spark):
+    df = spark.createDataFrame([(1230268,), (100,), (1005,), (10000000,), (12030,)], "cents bigint")
+    return df.select("cents", v.amount_in_words(F.col("cents")).alias("words"))
+
+
+def _prose(spark):
+    names = spark.createDataFrame([(1, 0, 3, "PERSON"), (1, 10, 12, "STAFF"), (1, 20, 23, "PERSON")], "doc_id int, start int, end int, role string")
+    hits = spark.createDataFrame([(1, 0, 2, "PERSON"), (1, 2, 5, "STAFF"), (1, 10, 12, "PERSON"), (1, 20, 22, "PERSON")], "doc_id int, start int, end int, type string")
+    return metrics.score_prose(names, hits)
+
+
+@case("prose_summary", "names recall type_accuracy", [(3, 0.6667, 0.5)])
+def prose_summary(spark):
+    return metrics.prose_summary(_prose(spark))
+
+
+@case("prose_confusion", "role got n", [("PERSON", "PERSON", 1), ("STAFF", "PERSON", 1)])
+def prose_confusion(spark):
+    return metrics.confusion(_prose(spark))
+
+
+@case("prose_false_runs", "text n", [("ab", 2), ("c", 1)])
+def prose_false_runs(spark):
+    rows = [(1, 0, "a", True, False), (1, 1, "b", True, False), (1, 2, "x", True, True), (1, 3, "c", True, False), (2, 5, "a", True, False), (2, 6, "b", True, False), (2, 7, "\n", True, False)]
+    return metrics.false_runs(spark.createDataFrame(rows, "doc_id int, pos int, ch string, hit boolean, allowed boolean"))
+
+
+@case("evidence_states", "id status", [(1, "disabled"), (2, "not_applicable"), (3, "error"), (4, "review"), (5, "passed")])
+def evidence_states(spark):
+    from spanveil.operators import redact
+
+    rows = [(1, False, True, 1, 1, 0), (2, True, False, 1, 1, 0), (3, True, True, 2, 1, 0), (4, True, True, 1, 1, 1), (5, True, True, 1, 1, 0)]
+    df = spark.createDataFrame(rows, "id int, enabled boolean, applicable boolean, a int, b int, residual int")
+    return df.select("id", redact.evidence_status(*[F.col(c) for c in ("enabled", "applicable", "a", "b", "residual")]).alias("status"))
+
+
+@case("printed_text", "id printed", [(1, True), (2, False), (3, False)])
+def printed_text(spark):
+    df = spark.createDataFrame([(1, "四个字呢", [0.9, 0.95, 0.9, 0.9]), (2, "四个字呢", [0.5, 0.95, 0.9, 0.9]), (3, "三个字", [1.0, 1.0, 1.0])], "id int, text string, scores array<double>")
+    return df.select("id", v.looks_printed(F.col("text"), F.col("scores")).alias("printed"))
+
+
+@case("beside_names", "x0 beside", [(110.0, True), (400.0, False), (-60.0, True)])
+def beside_names(spark):
+    df = spark.createDataFrame([(110.0,), (400.0,), (-60.0,)], "x0 double")
+    return df.select("x0", g.beside(g.rect(0, 0, 100, 20), g.rect(F.col("x0"), F.lit(2.0), F.col("x0") + 50, F.lit(18.0))).alias("beside"))
