@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanveil.llm.fm_index import FMIndex, ranges
+from spanveil.llm.memory import give_back
 from spanveil.session import ship, table
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 #: Bytes of UTF-8 that belong to words; A-Z fall to lower case, all others to a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -148,7 +149,9 @@ def searcher(phrases):
                 flush()
                 size = 0
         flush()
-        return pa.array(rows, type=_ARROW)
+        out = pa.array(rows, type=_ARROW)
+        give_back()
+        return out
 
     return search
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanveil.llm.fm_index import ranges
+from spanveil.llm.memory import give_back
 from spanveil.session import ship, table
 
 UNKNOWN = "und"
@@ -36,8 +38,8 @@ FEATURES = 1 << 16
 LEXICON = 200
 CHAIN, EPOCHS, RATE = 48, 40, 0.3
 CHUNK = 32
-BATCH_CHARS = 4_000_000
-CACHE_WORDS = 400_000
+BATCH_CHARS = 2_000_000
+CACHE_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -278,16 +280,23 @@ def detector(model):
     """Arrow function text -> struct<lang, score> for a broadcast model."""
 
     @F.arrow_udf(RESULT)
-    def detect(texts: pa.Array) -> pa.Array:
-        crf, rows, part, size = model.value, [], [], 0
-        for t in texts:
-            s = t.as_py()
-            part.append(s)
-            size += len(s) if s else 0
-            if size >= BATCH_CHARS:
-                rows += detect_all(part, crf)
-                part, size = [], 0
-        return pa.array(rows + detect_all(part, crf), type=_ARROW)
+    def detect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        crf = model.value
+        for texts in batches:
+            rows, part, size = [], [], 0
+            for t in texts:
+                s = t.as_py()
+                part.append(s)
+                size += len(s) if s else 0
+                if size >= BATCH_CHARS:
+                    rows += detect_all(part, crf)
+                    part, size = [], 0
+            out = pa.array(rows + detect_all(part, crf), type=_ARROW)
+            del rows, part
+            give_back()
+            yield out
+        crf.forget()
+        give_back()
 
     return detect
 

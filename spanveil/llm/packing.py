@@ -29,17 +29,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanveil.llm.fm_index import ranges
+from spanveil.llm.memory import give_back
 from spanveil.session import ship, table
 
 LENGTH = 2048
 END = 1
 BLOCK_TOKENS = 400_000
-TEXT_BYTES = 2_000_000
+TEXT_BYTES = 1_000_000
 #: Tokens of padding that a cut is worth: at a sentence end, elsewhere in a document, and for one more, smaller window.
 SENTENCE, ANYWHERE, SMALL_WINDOW = 2, 16, 16
 LEAST_POWER = 256
-#: Beyond so many chunks or tokens the cache of encodings forgets the chunks met once only, or all if that is not enough.
-CACHE_CHUNKS, CACHE_TOKENS = 1_000_000, 8_000_000
+#: Beyond so many chunks or tokens the cache of encodings keeps the more frequent half; a task ends with an empty one.
+CACHE_CHUNKS, CACHE_TOKENS = 400_000, 4_000_000
+#: So many chunks go through the tokenizer at once; its results take much room.
+ENCODE_CHUNKS = 4000
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -71,15 +74,17 @@ class ChunkEncoder:
         self.starts, self.lengths, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
         self.met = np.zeros(1024, np.int64)
 
-    def shrink(self) -> None:
-        """Forget what was met once; then the rest is told apart anew."""
-        again = [(c, k) for c, k in self.index.items() if c and self.met[k] > 1]
-        if 2 * len(again) > CACHE_CHUNKS or 2 * self.lengths[[k for _, k in again]].sum() > CACHE_TOKENS:
-            again = []
-        found = [self.flat[self.starts[k] : self.starts[k] + self.lengths[k]] for _, k in again]
+    def shrink(self, most: int) -> None:
+        """Keep the chunks met most often, at most `most` of them and none that was met once only."""
+        order = np.argsort(-self.met[: len(self.index)], kind="stable")[:most]
+        stay = set(order[self.met[order] > 1].tolist())
+        again = [(c, k) for c, k in self.index.items() if c and k in stay]
+        found = [self.flat[self.starts[k] : self.starts[k] + self.lengths[k]].copy() for _, k in again]
+        counts = self.met[[k for _, k in again]]
         self.clear()
-        if again:
+        if again and sum(map(len, found)) <= CACHE_TOKENS // 2:
             self._store([c for c, _ in again], found)
+            self.met[1 : len(again) + 1] = counts
 
     def _ids(self, chunks: list[str]) -> list[np.ndarray]:
         """Ids of each chunk. Chunks go through the tokenizer in one text, fenced by a mark that is one token of its own."""
@@ -111,8 +116,9 @@ class ChunkEncoder:
         split = {c: (c[:-1].lower(), c[-1]) for c in chunks if c.isascii() and c[-1] in self.marks and c[:-1].isalpha()}
         split |= {c: (c.lower(), "") for c in chunks if c.isascii() and c.isalpha() and not c.islower()}
         bases = list(dict.fromkeys(x for c in chunks if (x := split[c][0] if c in split else c) not in self.index))
-        if bases:
-            self._store(bases, self._ids(bases))
+        for k in range(0, len(bases), ENCODE_CHUNKS):
+            part = bases[k : k + ENCODE_CHUNKS]
+            self._store(part, self._ids(part))
         rest = [c for c in chunks if c in split]
         if rest:
             found = []
@@ -126,7 +132,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
         if len(self.index) > CACHE_CHUNKS or self.used > CACHE_TOKENS:
-            self.shrink()
+            self.shrink(CACHE_CHUNKS // 2)
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         words = list(chain.from_iterable(parts))
@@ -295,6 +301,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
         feed()
         if (out := packer.flush(True)) is not None:
             yield out
+        enc.clear()  # the worker goes on to other tasks, maybe of other operators
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanveil.llm.memory import give_back
 from spanveil.session import ship, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -124,7 +125,9 @@ def scan(text: str | None) -> list[tuple[str, int, int, int, int]]:
 @F.arrow_udf(SPANS)
 def scan_spans(texts: pa.Array) -> pa.Array:
     names = ("kind", "start", "end", "stratum", "bucket")
-    return pa.array([[dict(zip(names, x)) for x in scan(t.as_py())] for t in texts], type=_ARROW)
+    out = pa.array([[dict(zip(names, x)) for x in scan(t.as_py())] for t in texts], type=_ARROW)
+    give_back()
+    return out
 
 
 def cut_offs(candidates: DataFrame, fdr: float = FDR) -> list[int]:
@@ -157,27 +160,35 @@ def annotate(docs: DataFrame, fdr: float = FDR, name: str = "secret_spans") -> D
     return docs.withColumn(name, F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
 
 
-@F.arrow_udf(T.StringType())
-def _masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for t, found in zip(texts, spans):
-        s, found = t.as_py(), found.as_py()
-        if found:
-            parts, at = [], 0
-            for x in found:
-                if x["end"] > at:
-                    if x["start"] >= at:
-                        parts += [s[at : x["start"]], "[SECRET]"]
-                    at = x["end"]
-            s = "".join(parts) + s[at:]
-        out.append(s)
-    return pa.array(out, type=pa.string())
+def masker(cuts: list[int]):
+    """Arrow function text -> text with accepted spans replaced; the spans never leave the worker."""
+
+    @F.arrow_udf(T.StringType())
+    def masked(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            s = t.as_py()
+            found = sorted((a, b) for _, a, b, stratum, bucket in scan(s) if stratum < 0 or bucket >= cuts[stratum])
+            if found:
+                parts, at = [], 0
+                for a, b in found:
+                    if a >= at:
+                        parts += [s[at:a], "[SECRET]"]
+                    at = max(at, b)
+                s = "".join(parts) + s[at:]
+            out.append(s)
+        result = pa.array(out, type=pa.string())
+        give_back()
+        return result
+
+    return masked
 
 
 def mask(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """docs with every secret in text replaced by [SECRET]; null texts stay null, n_chars follows where there is one."""
-    found = annotate(docs, fdr, "__secret_spans")
-    out = found.withColumn("text", _masked("text", "__secret_spans")).drop("__secret_spans")
+    ship(docs.sparkSession)
+    cuts = cut_offs(docs.select(scan_spans("text").alias("spans")), fdr)
+    out = docs.withColumn("text", masker(cuts)("text")).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanveil.llm.fm_index import ranges
+from spanveil.llm.memory import give_back
 from spanveil.session import keep, ship, table
 
 SHINGLE = 3
@@ -60,7 +61,9 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
 
 @F.arrow_udf(T.LongType())
 def simhash(texts: pa.Array) -> pa.Array:
-    return pa.array(np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64))
+    out = pa.array(np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64))
+    give_back()
+    return out
 
 
 def gray_rank(fp: Column) -> Column:
