@@ -39,8 +39,8 @@ TEXT_BYTES = 1_000_000
 #: Tokens of padding that a cut is worth: at a sentence end, elsewhere in a document, and for one more, smaller window.
 SENTENCE, ANYWHERE, SMALL_WINDOW = 2, 16, 16
 LEAST_POWER = 256
-#: Beyond so many chunks or tokens the cache of encodings keeps the more frequent half; a task ends with an empty one.
-CACHE_CHUNKS, CACHE_TOKENS = 400_000, 4_000_000
+#: Beyond so many chunks or tokens the cache of encodings keeps the more frequent half.
+CACHE_CHUNKS, CACHE_TOKENS = 400_000, 8_000_000
 #: So many chunks go through the tokenizer at once; its results take much room.
 ENCODE_CHUNKS = 4000
 
@@ -60,6 +60,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str):
+        self.most = CACHE_CHUNKS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
@@ -131,8 +132,8 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
-        if len(self.index) > CACHE_CHUNKS or self.used > CACHE_TOKENS:
-            self.shrink(CACHE_CHUNKS // 2)
+        if len(self.index) > self.most or self.used > CACHE_TOKENS:
+            self.shrink(self.most // 2)
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         words = list(chain.from_iterable(parts))
@@ -270,12 +271,17 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
-    """Pieces of the packed sequences; ids are little-endian unsigned 32-bit. Needs doc_id and text."""
+def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, cache_chunks: int = CACHE_CHUNKS, keep_cache: bool = False) -> DataFrame:
+    """Pieces of the packed sequences; ids are little-endian unsigned 32-bit. Needs doc_id and text.
+
+    cache_chunks bounds a worker's cache of encodings, at some 200 bytes each. keep_cache leaves it for the worker's next task:
+    faster where workers do nothing else, but room that other operators of the same application lack.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
+        enc.most = cache_chunks
         packer = Packer(enc.sentence_ends, TaskContext.get().partitionId() << 40, length)
         doc_ids: list = []
         texts: list[str] = []
@@ -301,8 +307,9 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
         feed()
         if (out := packer.flush(True)) is not None:
             yield out
-        enc.clear()  # the worker goes on to other tasks, maybe of other operators
-        give_back()
+        if not keep_cache:
+            enc.clear()
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
@@ -311,5 +318,5 @@ def op4_packing(spark, sf_dir: str) -> DataFrame:
     """Pieces of all documents, in sequences of 2048 tokens."""
     import public_tokenizers
 
-    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache_chunks=1_000_000, keep_cache=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
