@@ -5,7 +5,10 @@ both neighbours, whether it is a heading, and whether an open container marks it
 The tree is grown from LABELLED, a small table of typical blocks, by Gini impurity.
 
 Defined cases: a null or empty page has no text. Unclosed and stray tags are tolerated: an end tag closes the
-nearest open container of its name, or nothing. White space is what Unicode calls so. A page of furniture only has an empty text. Repeated rows each get a result.
+nearest open container of its name, or nothing. Of a raw element such as <script> only its own end tag is read. A silent element
+that is never closed hides what comes before the next block-level tag; only <script> hides all that follows, as in browsers.
+A page's html and body are never furniture; main, article and what is around the article aren't by one part of a compound
+name, nor is a form around it. White space is what Unicode calls so. A page of furniture only has an empty text. Repeated rows each get a result.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 
 #: Elements whose content is never text of the page.
 SILENT = frozenset("script style noscript template svg math iframe object select textarea button title canvas audio video".split())
+#: Those whose content is no markup, and those that may hold one of their own name.
+RAW = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>?", re.I) for t in ("script", "style", "noscript", "iframe", "textarea", "title")}
+NESTING = frozenset("template svg math object".split())
 #: Elements that start and end a block.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -87,13 +93,123 @@ def decide(x: tuple, tree=TREE) -> int:
     return tree
 
 
-def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether a container is part of the article, and whether it is furniture."""
-    names = {w for m in _NAMES.finditer(attributes) for v in m.groups() if v for w in v.lower().split()} if attributes else set()
-    parts = {p for n in names for p in re.split(r"[-_]+", n)}
-    article = tag in ("article", "main") or bool(names & ARTICLE_WORDS)
-    furniture = (tag in FURNITURE and not (tag == "header" and in_article)) or bool((names | parts) & FURNITURE_WORDS)
-    return article and not furniture, furniture
+def _names(attributes: str) -> set[str]:
+    return {w for m in _NAMES.finditer(attributes) for v in m.groups() if v for w in v.lower().split()} if attributes else set()
+
+
+def _article(tag: str, names: set[str]) -> bool:
+    return tag in ("article", "main") or bool(names & ARTICLE_WORDS)
+
+
+def _marks(tag: str, attributes: str, in_article: bool, around: bool) -> tuple[bool, bool]:
+    """Whether a container is part of the article, and whether it is furniture; `around`: the article is in it."""
+    names = _names(attributes)
+    named = names if around or tag in ("main", "article") else names | _split(names)
+    furniture = (tag in FURNITURE and not (tag == "header" and in_article) and not (tag == "form" and around)) or bool(named & FURNITURE_WORDS)
+    furniture = furniture and tag not in ("html", "body")
+    return _article(tag, names) and not furniture, furniture
+
+
+def _split(names: set[str]) -> set[str]:
+    return {p for n in names for p in re.split(r"[-_]+", n)}
+
+
+def _raw_end(html: str, at: int, tag: str) -> int | None:
+    """Where a raw element that starts before `at` ends; None if another one starts first or none ends."""
+    for m in RAW[tag].finditer(html, at):
+        if m[1]:
+            return m.end()
+        if tag != "script":
+            return None
+    return len(html) if tag == "script" else None
+
+
+def _parts(html: str) -> list[tuple[str | None, str | None, str | None, str | None]]:
+    """(closing, tag, attributes, text) of tags and texts in order, without comments and closed raw elements."""
+    out: list[tuple[str | None, str | None, str | None, str | None]] = []
+    at: int | None = 0
+    while at is not None:
+        start, at = at, None
+        for m in _PART.finditer(html, start):
+            closing, tag, attributes, chars = m.groups()
+            if tag is None:
+                if chars is not None or m[0] == "<":
+                    out.append((None, None, None, unescape(chars) if chars is not None and "&" in chars else chars or "<"))
+                continue
+            tag = tag.lower()
+            if tag in RAW and not closing and not attributes.endswith("/"):
+                at = _raw_end(html, m.end(), tag)
+                if at is not None:
+                    break
+            out.append((closing, tag, attributes, None))
+    return out
+
+
+def _outline(parts: list[tuple[str | None, str | None, str | None, str | None]]) -> tuple[dict[int, int], set[int]]:
+    """Where each closed silent element ends, by its start; and the starts of the containers around the article.
+
+    The article is every article or main element whose names have no part of furniture, and whatever marks itself as
+    article and has at least half as many words as the largest of them.
+    """
+    silent_ends: dict[int, int] = {}
+    ends: dict[int, int] = {}
+    stack: list[tuple[str | None, int]] = []
+    opened: dict[str, int] = {}  # open elements of each name
+    last: dict[str, int] = {}  # place on the stack of a silent element that can't hold its own kind
+    for i, (closing, tag, attributes, _) in enumerate(parts):
+        if tag is None or not (tag in CONTAINERS or tag in SILENT and tag not in RAW):
+            continue
+        if closing:
+            if opened.get(tag):
+                while True:
+                    name, start = stack.pop()
+                    if name is not None:
+                        opened[name] -= 1
+                        if name in CONTAINERS:
+                            ends[start] = i
+                    if name == tag:
+                        break
+                if tag in SILENT:
+                    silent_ends[start] = i
+            continue
+        if tag in SILENT:
+            if attributes.endswith("/"):
+                continue
+            if tag not in NESTING:
+                if opened.get(tag):
+                    stack[last[tag]] = (None, stack[last[tag]][1])
+                    opened[tag] -= 1
+                last[tag] = len(stack)
+        opened[tag] = opened.get(tag, 0) + 1
+        stack.append((tag, i))
+    before, n, until = [], 0, -1  # words before each part
+    marked: list[tuple[int, bool]] = []
+    for i, (closing, tag, attributes, chars) in enumerate(parts):
+        before.append(n)
+        if i <= until:
+            continue
+        until = silent_ends.get(i, until)
+        if chars is not None:
+            n += len(chars.split())
+        elif tag in CONTAINERS and not closing:
+            names = _names(attributes)
+            if _article(tag, names) and not names & FURNITURE_WORDS:
+                marked.append((i, tag in ("article", "main") and not _split(names) & FURNITURE_WORDS))
+    before.append(n)
+    size = {i: before[ends.get(i, len(parts))] - before[i] for i, _ in marked}
+    most = max(size.values(), default=0)
+    article = [i for i, plain in marked if plain or 2 * size[i] >= most]
+    around = set(article)
+    held = [0] * (len(parts) + 1)  # articles that start before each part
+    for i in article:
+        held[i + 1] += 1
+    for i in range(len(parts)):
+        held[i + 1] += held[i]
+    if article:
+        for i, (closing, tag, _, _) in enumerate(parts):
+            if tag in CONTAINERS and not closing and held[ends.get(i, len(parts))] > held[i]:
+                around.add(i)
+    return silent_ends, around
 
 
 def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
@@ -102,7 +218,9 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     stack: list[tuple[str, bool, bool]] = [("", False, False)]
     text: list[str] = []
     linked: list[str] = []
-    in_link, heading, silent = False, False, ""
+    in_link, heading, until, hidden = False, False, -1, False
+    parts = _parts(html)
+    silent_ends, around = _outline(parts)
 
     def end_block() -> None:
         if text:
@@ -113,21 +231,15 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             text.clear()
             linked.clear()
 
-    for m in _PART.finditer(html):
-        closing, tag, attributes, chars = m.groups()
-        if silent:
-            if tag and closing and tag.lower() == silent:
-                silent = ""
-            continue
-        if chars is not None or m[0] == "<":
-            s = unescape(chars) if chars is not None and "&" in chars else chars or "<"
-            text.append(s)
-            if in_link:
-                linked.append(s)
+    for i, (closing, tag, attributes, chars) in enumerate(parts):
+        if i <= until:
             continue
         if tag is None:
+            if not hidden:
+                text.append(chars)
+                if in_link:
+                    linked.append(chars)
             continue
-        tag = tag.lower()
         if tag == "a":
             in_link = not closing
             linked.append(" ")
@@ -135,15 +247,17 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             text.append(" ")
         if tag in SILENT and not closing:
             if not attributes.endswith("/"):
-                silent = tag
+                until = silent_ends.get(i, until)
+                hidden = hidden or i not in silent_ends
             continue
         if tag in BLOCKS:
             end_block()
+            hidden = False
             heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
             if tag in CONTAINERS:
                 in_link = False
                 if not closing:
-                    article, furniture = _marks(tag, attributes, stack[-1][1])
+                    article, furniture = _marks(tag, attributes, stack[-1][1], i in around)
                     stack.append((tag, stack[-1][1] or article, stack[-1][2] or furniture))
                 elif any(t == tag for t, _, _ in stack):
                     while stack.pop()[0] != tag:

@@ -21,6 +21,30 @@ def test_broken_pages():
     assert len(x.main_text("<article>" + "<p>word word word</p>" * 20000).split("\n")) == 20000
 
 
+STORY = "<article><p>one two three four five six seven</p><p>eight nine ten eleven twelve more</p></article>"
+STORY_TEXT = "one two three four five six seven\neight nine ten eleven twelve more"
+
+
+def test_scripts_and_unclosed_silent_elements_hide_no_article():
+    for loop in ("for(i=0;i<n;i++){x+=i}", "if(a<b&&c>d){}", "s='<p>no</p><!--'", 'q="<script>"'):
+        assert x.main_text(f"<body><script>{loop}</script>{STORY}<SCRIPT>{loop}</SCRIPT ></body>") == STORY_TEXT, loop
+    for tag in sorted(x.SILENT - {"script"}):
+        assert x.main_text(f"<div><{tag} id=a>Menu</div>{STORY}") == STORY_TEXT, tag
+        assert x.main_text(f"<div><{tag}>Menu</div>{STORY}<div><{tag}>More</{tag}></div>") == STORY_TEXT, tag
+        assert x.main_text(STORY.replace("<article>", f"<article><{tag}>Share")) == STORY_TEXT, tag
+        assert x.main_text(STORY.replace("</p>", f" <{tag}><b>Share</b> it</{tag}></p>")) == STORY_TEXT, tag
+    assert x.main_text("<article><object><object>a</object>b</object><button><div>c</div>d</button><p>one two three four five six seven</p></article>") == "one two three four five six seven"
+
+
+def test_compound_names_and_forms_around_the_article():
+    for around in ("<html class='no-cookie'>", "<body class='page has-sidebar'>", "<body class='modal'>", "<div class='with-sidebar'>", "<form id=page>", "<div class='comments-open'><form>"):
+        assert x.main_text(around + STORY) == STORY_TEXT, around
+    assert x.main_text(STORY.replace("<article>", "<article class='post tag-ads'>")) == STORY_TEXT
+    assert x.main_text(f"<div class=has-sidebar><div class=content>{STORY[9:-10]}</div></div>") == STORY_TEXT
+    assert x.main_text(f"{STORY}<div class='sidebar'><article><p>other words that are not part of this</p></article></div>") == STORY_TEXT
+    assert x.main_text(f"{STORY}<div class='cookie-bar'><div class=content><p>we use cookies here today</p></div></div>") == STORY_TEXT
+
+
 def test_tree_fits_its_table():
     assert all(x.decide(r[:-1]) == r[-1] for r in x.LABELLED)
 
