@@ -1,7 +1,9 @@
 """Secrets in texts: three patterns, and strings that a battery of randomness tests tells from text.
 
 The base patterns find assigned values, access keys and long hexadecimal runs. Beyond them, every run of
-16 or more characters of the base64 alphabets is a candidate. Its encoding is inferred from its characters (hex, letters of
+16 or more characters of the base64 alphabets is a candidate. A run that fits no encoding is split at its inner `=`. A part that
+still fits none is read three ways, as pieces between all of its signs, between `_-` and between `+/`; of overlapping
+pieces the one with most evidence stays, less READINGS for the choice. Parts have 16 characters at least. A candidate's encoding is inferred from its characters (hex, letters of
 one case, base32, base36, base64) and three tests are made against what text-like strings would show:
   chi-squared   how uniform the encoding's alphabet is used (text is far from uniform);
   runs          how often neighbours differ in class - digit, lower, upper, other signs passed over (text rarely changes);
@@ -55,6 +57,10 @@ ENCODINGS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", re.compile("[A-Za-z0-9+/]+")),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", re.compile("[A-Za-z0-9_-]+")),
 )
+#: Parts between inner `=`, with the padding at their end; and the readings of a part that fits no encoding.
+_BETWEEN = re.compile(r"[^=]+(?:=+\Z)?")
+_READINGS = [re.compile(rf"{x}+(?:=+\Z)?") for x in ("[A-Za-z0-9]", "[A-Za-z0-9+/]", "[A-Za-z0-9_-]")]
+READINGS, WIDER = math.log(len(_READINGS)), 4.0
 _RANKS = {name: {c: i for i, c in enumerate(letters)} for name, letters, _ in ENCODINGS}
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("start", "end", "stratum", "bucket"))]))
@@ -71,6 +77,30 @@ def encoding_of(s: str) -> str | None:
     return next((name for name, _, fits in ENCODINGS if fits.fullmatch(s)), None)
 
 
+def candidates(text: str, start: int, end: int) -> list[tuple[int, int, float]]:
+    """Spans to test in a run and their evidence, in order; they don't overlap."""
+    s = text[start:end]
+    if encoding_of(s.rstrip("=")):
+        return [(start, end, evidence(s))]
+    out: list[tuple[int, int, float]] = []
+    for m in _BETWEEN.finditer(text, start, end):
+        a, b = m.span()
+        if b - a < LEAST:
+            continue
+        if encoding_of(m[0].rstrip("=")):
+            out.append((a, b, evidence(m[0])))
+            continue
+        pieces = {x.span(): k for k, reading in reversed([*enumerate(_READINGS)]) for x in reading.finditer(text, a, b) if len(x[0]) >= LEAST}
+        # A wider piece has to say clearly more than the one between all signs: a directory before a value is no part of it.
+        rated = sorted((-(e := evidence(text[x:y])) + (WIDER if k else 0), x, y, e) for (x, y), k in pieces.items())
+        own: list[tuple[int, int, float]] = []
+        for _, x, y, e in rated:
+            if not any(x < d and c < y for c, d, _ in own):
+                own.append((x, y, max(0.0, e - READINGS)))
+        out += sorted(own)
+    return out
+
+
 def evidence(s: str) -> float:
     """-ln of the combined p-value against the string being text-like; 0 if no encoding fits."""
     s = s.rstrip("=")
@@ -115,10 +145,10 @@ def scan(text: str | None) -> list[tuple[str, int, int, int, int]]:
         if b - a >= 32:
             out += [("hex", m.start(), m.end(), -1, 0) for m in HEX.finditer(text, a, b)]
     base = list(out)
-    for a, b in runs:
-        if not any(a < e and s < b for _, s, e, _, _ in base):
-            stratum = sum(b - a >= x for x in STRATA) - 1
-            out.append(("random", a, b, stratum, min(BUCKETS - 1, int(evidence(text[a:b]) / STEP))))
+    for run in runs:
+        for a, b, e in candidates(text, *run):
+            if not any(a < y and x < b for _, x, y, _, _ in base):
+                out.append(("random", a, b, sum(b - a >= x for x in STRATA) - 1, min(BUCKETS - 1, int(e / STEP))))
     return out
 
 

@@ -42,6 +42,26 @@ def test_random_strings_stand_out_from_words():
     assert max(s.evidence(x) for x in wordy) < 6
 
 
+def test_values_glued_to_names_and_paths_are_tested(spark):
+    rng = random.Random(11)
+    plain, url = BASE64[:62], BASE64[:62] + "-_"
+    rand = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    shapes = [("AWS_SECRET_ACCESS_KEY=", rand(BASE64, 40)), ("AUTH=", rand(plain, 40)), ("?sig=", rand(plain, 43) + "="), ("GITHUB_PAT=", "ghp_" + rand(plain, 36)), ("https://host/a_b/", rand(plain, 40)), ("==", rand(plain, 48)), ("a/b=c_d/", rand(plain, 48))]
+    for before, value in shapes:
+        text = f"{before}{value} end"
+        assert [(a, b) for _, a, b, _, bucket in s.scan(text) if bucket * s.STEP > 7] == [(len(before), len(before) + len(value))], text
+    # A value with signs of its own stays whole.
+    value = "aB3-dE5_" + rand(url, 56)
+    assert any(a <= 17 and b == 17 + len(value) and k * s.STEP > 7 for _, a, b, _, k in s.scan(f"https://host/a_b/{value}"))
+    # The part beside a base match is still tested.
+    value = rand(plain, 40)
+    assert [x[:3] for x in s.scan(f"AUTH={value}=token=abcdefgh12")] == [("assign", 46, 62), ("random", 5, 45)]
+    docs = documents(spark, [(100 + i, f"set {before}{value} end", "en", "c", None) for i, (before, value) in enumerate(shapes)])
+    masked = {r["doc_id"]: r["text"] for r in s.mask(docs).where("doc_id >= 100").collect()}
+    assert masked == {100 + i: f"set {before}[SECRET] end" for i, (before, _) in enumerate(shapes)}
+    assert all(k * s.STEP < 6 for t in ("path/to_the/directory-of/many_words/and-more", "user_name=administrator-of_this/machine") for *_, k in s.scan(t))
+
+
 def test_query_columns_and_false_discovery(spark):
     rng = random.Random(5)
     key = "".join(rng.choice(BASE64) for _ in range(48))
