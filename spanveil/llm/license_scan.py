@@ -1,16 +1,19 @@
 """Licence notices by Dice similarity of word bigrams (native DataFrame functions only).
 
-Every line of a text is normalised (A-Z lower-cased, everything but ASCII letters, digits and points inside numbers
-becomes a space) and its set of word bigrams is compared with each template's set. Dice >= threshold is only
-possible when the sizes of the sets differ by a factor of at most (2 - t) / t, so a line is compared with the templates
-inside these bounds only.
-
-Defined cases: null or empty text: no notices. A tie in Dice goes to the licence first in alphabetical order. Repeated
-rows each get their own result. Other columns of the input are not read, so their names cannot clash.
+A text is normalised (A-Z lower-cased, everything but ASCII letters, digits and points inside numbers becomes a space) to
+one run of words across its lines. Each window of it that begins and ends with a bigram of a template is compared, as a set
+of word bigrams, with the template's set: windows cut anywhere else have less Dice. Dice >= threshold is only possible when the
+sizes differ by a factor of at most (2 - t) / t and the window holds t / (2 - t) of the template's bigrams; texts without the
+words that this takes are passed over. Of each template and start the best window counts; of windows that share a word, the
+one with more Dice. Full licences are found by their headings and opening paragraphs, not compared to their end.
+
+Defined cases: null or empty text: no notices. A notice's line is the one it begins on. A tie in Dice goes to the licence first
+in alphabetical order. Repeated rows each get their own result. Other columns of the input are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +44,16 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
+#: Headings and opening passages of full licences, and the notice of an older version that a newer one's would be taken for.
+FULL: list[tuple[str, str]] = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity"),
+]
+
 
 def template_bigrams(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[str, list[str]]]:
     """(licence, distinct word bigrams) of each template that has a bigram."""
@@ -53,57 +66,115 @@ def template_bigrams(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple
     return out
 
 
-def line_bigrams(line: Column) -> Column:
-    """Distinct word bigrams of a line, as an array of strings."""
-    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.array_remove(F.split(F.regexp_replace(low, r"\.(?![0-9])|[^a-z0-9.]", " "), " "), "")
-    return F.transform(
-        F.array(words),
-        lambda w: F.when(
-            F.size(w) >= 2,
-            F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))),
-        ).otherwise(F.array().cast("array<string>")),
-    )[0]
+#: Words of templates that much other text holds; gates are made of them last.
+COMMON = frozenset("a and any are as be by following for free in is it may no not of or other person provided public that the this to under use version with work you 2 2.0 3 4.0".split())
 
 
-def notices(text: Column, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> Column:
-    """array<struct<line int, license string, dice double>>: the best template of each line that reaches the threshold."""
-    sets = template_bigrams(templates)
-    least = min(len(b) for _, b in sets) * threshold / (2 - threshold)
-    most = max(len(b) for _, b in sets) * (2 - threshold) / threshold
-
-    def dice(b: Column, name: str, pairs: list[str]) -> Column:
-        n = len(pairs)
-        inside = (F.size(b) >= n * threshold / (2 - threshold)) & (F.size(b) <= n * (2 - threshold) / threshold)
-        shared = F.size(F.array_intersect(b, F.array(*[F.lit(p) for p in pairs])))
-        d = F.lit(2.0) * shared / (F.size(b) + F.lit(n))
-        return F.when(inside, d).otherwise(F.lit(0.0))
-
-    def best(b: Column) -> Column:
-        by_name: dict[str, list[Column]] = {}
-        for name, pairs in sets:
-            by_name.setdefault(name, []).append(dice(b, name, pairs))
-        scores = [
-            F.struct((-(F.greatest(*ds) if len(ds) > 1 else ds[0])).alias("minus"), F.lit(name).alias("license"))
-            for name, ds in sorted(by_name.items())
-        ]
-        return F.array_min(F.array(*scores))
-
-    # A line of k bigrams has more than k blanks or punctuation marks between words; words are at least one character.
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s, i: F.struct((i + 1).alias("line"), s.alias("s")))
-    long_enough = F.filter(lines, lambda x: F.length(x["s"]) >= 2 * int(least) + 1)
-    sized = F.filter(
-        F.transform(long_enough, lambda x: F.struct(x["line"].alias("line"), line_bigrams(x["s"]).alias("b"))),
-        lambda x: (F.size(x["b"]) >= least) & (F.size(x["b"]) <= most),
-    )
-    scored = F.transform(sized, lambda x: F.struct(x["line"].alias("line"), best(x["b"]).alias("best")))
-    return F.transform(
-        F.filter(scored, lambda x: -x["best"]["minus"] >= threshold),
-        lambda x: F.struct(x["line"].alias("line"), x["best"]["license"].alias("license"), (-x["best"]["minus"]).alias("dice")),
-    )
+def gate_words(sets: list[tuple[str, list[str]]], threshold: float) -> list[str]:
+    """Words of which every window that reaches the threshold holds one: those of so many bigrams of each template that it can't miss all."""
+    chosen: set[str] = set()
+    for _, pairs in sets:
+        spare = len(pairs) - _least(len(pairs), threshold)
+        count = {w: sum(w in p.split(" ") for p in pairs) for p in pairs for w in p.split(" ")}
+        ranked = sorted(count, key=lambda w: (w not in chosen, w in COMMON, -len(w), w))
+        own: set[str] = set()
+        while sum(bool(own & set(p.split(" "))) for p in pairs) <= spare:
+            own.add(ranked[len(own)])
+        chosen |= own
+    return sorted(chosen)
+
+
+def _least(n: int, threshold: float) -> int:
+    return max(1, math.ceil(n * threshold / (2 - threshold) - 1e-9))
+
+
+def words_of(s: Column) -> Column:
+    low = F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.array_remove(F.split(F.regexp_replace(low, r"\.(?![0-9])|[^a-z0-9.]", " "), " "), "")
 
 
-def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+def _bind(value: Column, f) -> Column:
+    """f(value), with value worked out once."""
+    return F.transform(F.array(value), f)[0]
+
+
+_WINDOW = "struct<a:int,b:int,line:int,minus:double,license:string>"
+
+
+def _apart(own: Column) -> Column:
+    """Windows ordered by start: of those that share a word the better stays; what it displaced comes back if it is displaced itself."""
+    none = F.array().cast(f"array<{_WINDOW}>")
+    state = lambda done, last, was: F.struct(done.alias("done"), last.alias("last"), was.alias("was"))
+    rank = lambda x: F.struct(x["minus"], x["license"])
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc["last"], F.lit(0))
+        back = F.filter(acc["was"], lambda w: (w["b"] + 1 < x["a"]) & ((F.size(acc["done"]) == 0) | (F.get(acc["done"], F.size(acc["done"]) - 1)["b"] + 1 < w["a"])))
+        return (
+            F.when((F.size(acc["last"]) == 0) | (last["b"] + 1 < x["a"]), state(F.concat(acc["done"], acc["last"]), F.array(x), none))
+            .when(rank(x) < rank(last), state(F.concat(acc["done"], back), F.array(x), acc["last"]))
+            .otherwise(state(acc["done"], acc["last"], acc["was"]))
+        )
+
+    return F.aggregate(own, state(none, none, none), step, lambda acc: F.concat(acc["done"], acc["last"]))
+
+
+def notices(text: Column, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES + FULL) -> Column:
+    """array<struct<line int, license string, dice double>>: the best windows that reach the threshold and share no word."""
+    sets = template_bigrams(templates)
+    owners: dict[str, list[int]] = {}
+    for k, (_, pairs) in enumerate(sets):
+        for pair in pairs:
+            owners.setdefault(pair, []).append(k)
+    # Literal tables: bigram -> templates; template -> licence and bounds.
+    lookup = F.create_map(*[c for pair, ks in owners.items() for c in (F.lit(pair), F.array(*[F.lit(k) for k in ks]))])
+    shapes = F.array(*[
+        F.struct(F.lit(k).alias("k"), F.lit(name).alias("license"), F.lit(len(pairs)).alias("n"), F.lit(_least(len(pairs), threshold)).alias("least"), F.lit(math.floor(len(pairs) * (2 - threshold) / threshold + 1e-9)).alias("most"))
+        for k, (name, pairs) in enumerate(sets)
+    ])
+
+    def of_start(shape: Column, own: Column, bigrams: Column, i: Column) -> Column:
+        """The best window from the template's hit number i, as an array of one or none."""
+        a = F.get(own, i)["p"]
+        ends = F.slice(own, i + shape["least"], shape["most"] - shape["least"] + 1)
+        ends = F.filter(F.transform(ends, lambda h, j: F.struct(h["p"].alias("p"), (j + shape["least"]).alias("hits"))), lambda h: h["p"] - a < shape["most"])
+
+        def window(h: Column) -> Column:
+            size = F.size(F.array_distinct(F.slice(bigrams, a + 1, h["p"] - a + 1)))
+            shared = F.size(F.array_distinct(F.slice(own["pair"], i + 1, h["hits"])))
+            return F.struct((F.lit(-2.0) * shared / (size + shape["n"])).alias("minus"), h["p"].alias("b"))
+
+        best = F.array_min(F.transform(ends, window))
+        return F.when(F.size(ends) == 0, F.array().cast(f"array<{_WINDOW}>")).otherwise(
+            F.filter(F.array(F.struct(a.alias("a"), best["b"].alias("b"), F.get(own, i)["line"].alias("line"), best["minus"].alias("minus"), shape["license"].alias("license"))), lambda w: -w["minus"] >= threshold)
+        )
+
+    def of_template(shape: Column, hits: Column, bigrams: Column) -> Column:
+        none = F.array().cast(f"array<{_WINDOW}>")
+        return _bind(
+            F.filter(hits, lambda h: F.array_contains(h["ks"], shape["k"])),
+            lambda own: F.when(F.size(own) < shape["least"], none).otherwise(
+                F.flatten(F.transform(F.sequence(F.lit(0), F.size(own) - shape["least"]), lambda i: of_start(shape, own, bigrams, i)))
+            ),
+        )
+
+    def of_words(ws: Column) -> Column:
+        pairs = F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws) - 1), lambda x, y: F.struct(x["line"].alias("line"), F.concat_ws(" ", x["w"], y["w"]).alias("pair")))
+        hit = lambda x, i: F.struct(i.alias("p"), x["line"].alias("line"), x["pair"].alias("pair"), F.try_element_at(lookup, x["pair"]).alias("ks"))
+        found = lambda g: _bind(
+            F.filter(F.transform(g, hit), lambda h: h["ks"].isNotNull()),
+            lambda hits: F.flatten(F.transform(shapes, lambda shape: of_template(shape, hits, g["pair"]))),
+        )
+        return F.when(F.size(ws) < 2, F.array().cast(f"array<{_WINDOW}>")).otherwise(_bind(pairs, lambda g: _apart(F.array_sort(found(g)))))
+
+    some = F.coalesce(text, F.lit(""))
+    gate = F.arrays_overlap(words_of(some), F.array(*[F.lit(w) for w in gate_words(sets, threshold)]))
+    ws = F.flatten(F.transform(F.split(some, "\n"), lambda s, i: F.transform(words_of(s), lambda w: F.struct((i + 1).alias("line"), w.alias("w")))))
+    kept = F.when(gate, _bind(ws, of_words)).otherwise(F.array().cast(f"array<{_WINDOW}>"))
+    return F.transform(kept, lambda x: F.struct(x["line"].alias("line"), x["license"].alias("license"), (-x["minus"]).alias("dice")))
+
+
+def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES + FULL) -> DataFrame:
     """doc_id and the notices of each text; no shuffle."""
     return docs.select("doc_id", notices(F.col("text"), threshold, templates).alias("notices"))
 
@@ -128,7 +199,7 @@ def _sql_list(items: list[str]) -> str:
 
 
 def oracle() -> str:
-    """DuckDB SQL of op9_license_scan: the same definition over unnested lines."""
+    """DuckDB SQL of op9_license_scan for texts whose notices fill a line each: TEMPLATES against unnested lines."""
     sets = template_bigrams()
     values = ",".join(f"('{name}',{_sql_list(pairs)})" for name, pairs in sets)
     return rf"""

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from spanveil.llm import host_reputation as h
@@ -99,6 +101,38 @@ def test_licence_notices(spark):
     assert l.scan_licenses(documents(spark).where(F.lit(False))).count() == 0
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software."
+GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+
+
+def slow_windows(text):
+    """(first word, dice) of the best window of each licence, over all windows."""
+    ws, best = " ".join(" ".join(re.sub(r"\.(?![0-9])|[^a-z0-9.]", " ", x.lower()).split()) for x in text.split("\n")).split(), {}
+    for name, pairs in l.template_bigrams(l.TEMPLATES + l.FULL):
+        for a in range(len(ws)):
+            for b in range(a + 2, min(len(ws), a + 2 * len(pairs) + 2) + 1):
+                own = {f"{x} {y}" for x, y in zip(ws[a:b], ws[a + 1 : b])}
+                best[name] = max(best.get(name, 0), 2 * len(own & set(pairs)) / (len(own) + len(pairs)))
+    return best
+
+
+def test_wrapped_and_embedded_licences(spark):
+    texts = {
+        30: "x y\n" + MIT, 31: MIT.replace("\n", " "), 32: "Copyright X. Released under the MIT License. All rights reserved by its authors.", 33: f"# {GPL}", 34: f"{BSD}\n1. Redistributions of source code",
+        35: "Released under the MIT\nLicense. Licensed under CC BY 4.0. " * 3, 36: f"{BSD}\n{MIT}\n{GPL}", 37: "licence of the work under the license, version 2.0 of this software " * 20, 38: "license",
+        39: "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.\n Everyone is permitted", 40: GPL.replace("version 3", "version 2"),
+    }
+    rows = {r["doc_id"]: r["notices"] for r in l.scan_licenses(documents(spark, [(i, t, None, None, None) for i, t in texts.items()])).collect()}
+    got = {i: [(n["line"], n["license"]) for n in rows[i]] for i in texts}
+    assert got[30] == [(2, "MIT")] and got[31] == [(1, "MIT")] and got[32] == [(1, "MIT")] and got[33] == [(1, "GPL-3.0")] and got[34] == [(1, "BSD-3-Clause")]
+    assert got[35] == [(1, "MIT"), (2, "CC-BY-4.0"), (2, "MIT"), (3, "CC-BY-4.0"), (3, "MIT"), (4, "CC-BY-4.0")]
+    assert got[36] == [(1, "BSD-3-Clause"), (4, "MIT"), (9, "GPL-3.0")] and got[37] == [] and got[38] == [] and got[39] == [(1, "GPL-2.0")] and got[40] == [(1, "GPL-2.0")]
+    for i, t in texts.items():
+        slow = {k: v for k, v in slow_windows(t).items() if v >= l.THRESHOLD}
+        assert abs(max((n["dice"] for n in rows[i]), default=0) - max(slow.values(), default=0)) < 1e-9, (i, slow)
+
+
 def test_licence_plan_is_native(spark):
     plan = l.scan_licenses(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
