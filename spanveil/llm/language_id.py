@@ -9,7 +9,8 @@ Long texts cost no more per word than short ones: a chain is cut into chunks, al
 chunk products of the step matrices carry the messages from chunk to chunk.
 
 The model is fitted on at most SAMPLE documents, those with the least hash of doc_id, with SNIPPET consecutive words of each.
-Scoring covers every word of every text and is narrow.
+Scoring covers every word of every text, with all of its n-grams, and is narrow. Runs of more than PIECE letters, as in scripts without
+spaces, are cut into consecutive pieces that are words of their own, in training as in scoring.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is every text if nothing was learned. Ties
 go to the language first in alphabetical order. Repeated rows get equal results; other columns are never read.
@@ -40,14 +41,16 @@ CHAIN, EPOCHS, RATE = 48, 40, 0.3
 CHUNK = 32
 BATCH_CHARS = 2_000_000
 CACHE_WORDS = 400_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters of a word: longer runs are cut into consecutive words of that many.
+PIECE = 40
+_WORD = re.compile(rf"[^\W\d_]{{1,{PIECE}}}")
 
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 _ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
+    """Runs of letters, in lower case; a run of more than PIECE letters is so many words one after the other."""
     return _WORD.findall(text.lower()) if text else []
 
 
@@ -55,7 +58,7 @@ def hashed(word: str) -> list[int]:
     """Feature numbers of a word: the word, prefixes, suffixes, and character 2- and 3-grams."""
     w = f"<{word}>"
     grams = {"w" + word, *("p" + word[:k] for k in (1, 2, 3)), *("s" + word[-k:] for k in (1, 2, 3, 4))}
-    grams |= {w[i : i + 2] for i in range(min(len(w), 40) - 1)} | {w[i : i + 3] for i in range(min(len(w), 40) - 2)}
+    grams |= {w[i : i + 2] for i in range(len(w) - 1)} | {w[i : i + 3] for i in range(len(w) - 2)}
     return sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) % FEATURES for g in grams})
 
 

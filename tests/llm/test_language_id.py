@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -62,3 +64,17 @@ def test_held_out_accuracy(spark):
     found = l.op5_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").toPandas()
     assert len(found) > 200 and (found["lang"] == found["lang_pred"]).mean() > 0.98
     assert found["score"].between(0, 1).all()
+
+
+def test_long_runs_are_scored_to_their_end():
+    run = "abcdefghij" * 5
+    assert l.words(run + " Xy") == [run[:40], run[40:], "xy"] and l.words("漢" * 4000) == ["漢" * 40] * 100 and "".join(l.words(run * 9)) == run * 9
+    word = "q" * 30 + "zx" + "q" * 8
+    assert len(l.hashed(word)) > len(l.hashed("q" * 40)) and zlib.crc32(b"yv>") % l.FEATURES in l.hashed("q" * 38 + "yv")
+    rng = np.random.default_rng(4)
+    own = {"aa": list("abcdef"), "bb": list("uvwxyz")}
+    text = lambda lang, n: "".join(rng.choice(own[lang], n))
+    crf = l.fit([(lang, l.words(text(lang, 400))) for lang in own for _ in range(40)])
+    ws = l.words(text("aa", 40) + text("bb", 800))
+    p = crf.marginals(ws, np.array([len(ws)]))
+    assert p.sum(0).argmax() == crf.langs.index("bb") and p[0].argmax() == crf.langs.index("aa")
