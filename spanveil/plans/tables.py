@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanveil import api
 from spanveil.functions.text import find_all
 from spanveil.operators import engine, jobs, lines, metrics, redact, regions, rules
 from spanveil.plans.registry import query
@@ -41,8 +42,8 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-mail addresses and card numbers, the types that the tables hold and SQL can check."""
-    return engine.rule_hits(doc_lines(spark, sf_dir), ["EMAIL", "BANK_CARD"])
+    """Hits of all rules. SQL can express two of the types, EMAIL and BANK_CARD, which are those that the tables hold."""
+    return engine.rule_hits(doc_lines(spark, sf_dir))
 
 
 @query("scan_lines", f"WITH {LINES_SQL} SELECT * FROM ln")
@@ -206,7 +207,7 @@ cut AS (SELECT doc_id, line, string_agg(text[CASE WHEN k = 1 THEN 1 ELSE hs[k -
 @query("redact_label", f"{_LABELLED_SQL} SELECT ln.doc_id, ln.line, coalesce(redacted, text) AS redacted FROM ln LEFT JOIN cut USING (doc_id, line)")
 def redact_label(spark, sf_dir):
     own = doc_lines(spark, sf_dir)
-    return redact.redact_lines(own, engine.rule_hits(own, ["EMAIL", "BANK_CARD"])).select("doc_id", "line", "redacted")
+    return redact.redact_lines(own, engine.rule_hits(own)).select("doc_id", "line", "redacted")
 
 
 @query("redact_black", f"""{HITS_SQL}, m AS (SELECT doc_id, line, list(struct_pack(s := "start", e := "end") ORDER BY "start") AS hs FROM hits GROUP BY ALL)
@@ -214,19 +215,25 @@ SELECT ln.doc_id, ln.line, CASE WHEN hs IS NULL THEN text ELSE array_to_string(l
   lambda i: CASE WHEN len(list_filter(hs, lambda h: i - 1 >= h.s AND i - 1 < h.e)) > 0 THEN '█' ELSE text[i:i] END), '') END AS redacted FROM ln LEFT JOIN m USING (doc_id, line)""")
 def redact_black(spark, sf_dir):
     own = doc_lines(spark, sf_dir)
-    return redact.redact_lines(own, engine.rule_hits(own, ["EMAIL", "BANK_CARD"]), F.lit("black")).select("doc_id", "line", "redacted")
+    return redact.redact_lines(own, engine.rule_hits(own), F.lit("black")).select("doc_id", "line", "redacted")
 
 
 @query("residual_check", f"{HITS_SQL} SELECT type, CAST(count(*) AS BIGINT) AS before, CAST(0 AS BIGINT) AS residual FROM hits GROUP BY type")
 def residual_check(spark, sf_dir):
     """Hits per type before redaction, and those that detection still finds in the redacted lines."""
     own = doc_lines(spark, sf_dir)
-    hits = engine.rule_hits(own, ["EMAIL", "BANK_CARD"])
-    again = engine.rule_hits(redact.redact_lines(own, hits, F.lit("black")).select(*engine.KEY, F.col("redacted").alias("text")), ["EMAIL", "BANK_CARD"])
+    hits = engine.rule_hits(own)
+    again = engine.rule_hits(redact.redact_lines(own, hits, F.lit("black")).select(*engine.KEY, F.col("redacted").alias("text")))
     before, after = hits.groupBy("type").agg(F.count("*").alias("before")), again.groupBy("type").agg(F.count("*").alias("residual"))
     return before.join(after, "type", "left").select("type", "before", F.coalesce("residual", F.lit(0)).alias("residual"))
 
 
+@query("redact_run")
+def redact_run(spark, sf_dir):
+    """Redacted lines of the one-call form: all rules, with confirmed values propagated through their documents."""
+    return api.run(table(spark, sf_dir, "documents").select("doc_id", "text")).lines.select("doc_id", "line", "redacted")
+
+
 @query("similar_pairs", """SELECT q.vec_id AS query_id, e.vec_id FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id AND q.vec_id % 20 = 0
   AND list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) >= 0.4""")
 def similar_pairs(spark, sf_dir):
