@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import html
+import io
+import zipfile
+import zlib
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -22,7 +25,8 @@ MAX_PIXELS = 80_000_000
 def sniff(content: Column, hint: Column) -> Column:
     """Kind of a file by its first bytes, INVALID_FILE if none fits. The extension only picks within a container, or admits text.
 
-    Containers are told by the names of their parts, which stand in their bytes uncompressed.
+    ZIP containers are told by the names of all their members; only what has no readable directory, such as the head of a file, by
+    names in its first bytes. Text is judged by its first 65,536 bytes.
     """
     head = F.hex(F.substring(content, 1, 16))
     body = F.decode(F.substring(content, 1, 65536), "ISO-8859-1")
@@ -30,14 +34,36 @@ def sniff(content: Column, hint: Column) -> Column:
     for kind, magic in MAGIC:
         out = out.when(F.startswith(head, F.lit(magic)), kind)
     out = out.when(F.startswith(head, F.lit(OLE)), F.when(hint.isin(*OLE_HINTS), hint).otherwise(F.lit("doc")))
-    for kind, mime in ODF:
-        out = out.when(F.startswith(head, F.lit(ZIP)) & F.contains(F.substring(body, 1, 300), F.lit("mimetype" + mime)), kind)
-    for kind, part in ZIP_PARTS:
-        out = out.when(F.startswith(head, F.lit(ZIP)) & F.contains(body, F.lit(part)), kind)
+    out = out.when(F.startswith(head, F.lit(ZIP)), F.coalesce(zip_kind(content), F.lit("INVALID_FILE")))
     text = hint.isin("md", "txt") & ~F.contains(body, F.lit("\x00")) & (F.is_valid_utf8(F.substring(content, 1, 65536)) | decodes_gb18030(content))
     return out.when(F.coalesce(text, F.lit(False)), hint).otherwise(F.lit("INVALID_FILE"))
 
 
+def _zip_kind(b: bytes) -> str | None:
+    try:
+        with zipfile.ZipFile(io.BytesIO(b)) as z:
+            names = z.namelist()
+            if "mimetype" in names:
+                try:
+                    with z.open("mimetype") as m:
+                        mime = m.read(128).decode("ascii", "ignore").strip()
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError):
+                    mime = ""
+                if kind := next((k for k, x in ODF if x == mime), None):
+                    return kind
+            return next((kind for kind, part in ZIP_PARTS if any(n.startswith(part) for n in names)), None)
+    except (zipfile.BadZipFile, ValueError, NotImplementedError, OSError):
+        head = b[:65536]
+        return next((k for k, x in ODF if b"mimetype" + x.encode() in head[:300]), next((k for k, x in ZIP_PARTS if x.encode() in head), None))
+
+
+@F.arrow_udf(T.StringType())
+def zip_kind(content: pa.Array) -> pa.Array:
+    """Kind of an office container by its members' names; null for other archives and other files."""
+    zips = (x.as_py() for x in content)
+    return pa.array([_zip_kind(b) if b and b[:4] == bytes.fromhex(ZIP) else None for b in zips], type=pa.string())
+
+
 @F.arrow_udf(T.BooleanType())
 def decodes_gb18030(content: pa.Array) -> pa.Array:
     def ok(b: bytes | None) -> bool:
