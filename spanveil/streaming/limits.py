@@ -1,4 +1,4 @@
-"""Streams: failure limiter with state per client, retention of jobs, and redaction of arriving documents."""
+"""Streams: failure limiter with state per client, first sight of jobs, and redaction of arriving documents."""
 
 from __future__ import annotations
 
@@ -59,7 +59,10 @@ def failures_per_window(attempts: DataFrame, width: str = "10 minutes", slide: s
 
 
 def expire(jobs: DataFrame, late: str = "1 minute") -> DataFrame:
-    """Stream of job events (job_id, ts, expires): jobs once each, while they are not older than the watermark."""
+    """Stream of job events (job_id, ts, expires): jobs once each, while they are not older than the watermark.
+
+    It does not wait for `expires`: what is due is told by `jobs.expired` in batch.
+    """
     return jobs.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id"])
 
 
