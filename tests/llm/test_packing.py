@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -15,14 +16,14 @@ def test_chunks_encode_like_whole_texts():
     enc, tokenizer = p.ChunkEncoder(PATH), Tokenizer.from_file(PATH)
     texts = ["", PROSE, "THE, the! a|b | Don't x. ... café. ÉA, <|endoftext|> Σας it's. I, a.b , .", "a\u00a0b\u2003c\x0bd\x85e\x1ff", "e\u0301 \u0301x 12,345.", "|", "||| |", "日本語 テスト。", "ß İi ﬁ", PROSE * 50]
     for _ in range(2):  # cold and warm
-        ids, sizes = enc.encode(texts)
+        ids, sizes = enc.encode(pa.array(texts))
         at = 0
         for t, n in zip(texts, sizes.tolist()):
             assert tokenizer.encode(t, add_special_tokens=False).ids == ids[at : at + n].tolist(), t
             at += n
     enc.shrink(20)
     assert len(enc.index) <= 21
-    assert enc.encode([PROSE])[0].tolist() == tokenizer.encode(PROSE, add_special_tokens=False).ids
+    assert enc.encode(pa.array([PROSE]))[0].tolist() == tokenizer.encode(PROSE, add_special_tokens=False).ids
 
 
 def slow_cost(cuts, penalties, length):
@@ -93,3 +94,21 @@ def test_little_padding_and_bounded_blocks(spark):
 
 def test_empty_table(spark):
     assert p.pack(documents(spark).where(F.lit(False)), PATH).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts_and_ids_keep_their_type(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    assert p.ChunkEncoder(path).whole and not p.ChunkEncoder(PATH).whole
+    texts = {"a": "One  two.\n\nThree", "b": None, "c": PROSE}
+    docs = spark.createDataFrame([*texts.items()], "doc_id string, text string").coalesce(1)
+    rows = p.pack(docs, path).collect()
+    assert docs.schema["doc_id"] == p.pack(docs, path).schema["doc_id"]
+    for d, t in texts.items():
+        own = sorted((r["start"], bytes(r["ids"])) for r in rows if r["doc_id"] == d)
+        assert b"".join(raw for _, raw in own) == np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, p.END], "<u4").tobytes()
+
+
+def test_slices_are_bounded():
+    texts = pa.array(["a" * 10, None, "b" * 25, "", "c" * 9, "d"])
+    assert list(p.slices(texts, 20)) == [(0, 2), (2, 1), (3, 3)] and list(p.slices(texts.slice(0, 0))) == []
