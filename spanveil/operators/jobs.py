@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FAILURES, SECONDS = 20, 600
+OPEN = ("queued", "running")
 MOVES = {"queued": ["running", "failed", "deleted"], "running": ["succeeded", "failed"], "succeeded": ["deleted"], "failed": ["deleted"]}
 
 
@@ -19,7 +20,7 @@ def states(events: DataFrame) -> DataFrame:
 
 def interrupted(jobs: DataFrame) -> DataFrame:
     """After a restart, jobs that were queued or running have failed."""
-    open_ = F.col("status").isin("queued", "running")
+    open_ = F.col("status").isin(*OPEN)
     return jobs.withColumns({"code": F.when(open_, "INTERRUPTED").otherwise(F.col("code")), "status": F.when(open_, "failed").otherwise(F.col("status"))})
 
 
@@ -28,7 +29,7 @@ def retention_hours(hours: Column) -> Column:
 
 
 def expired(jobs: DataFrame, now: Column) -> DataFrame:
-    return jobs.where((F.col("expires") < now) & ~F.col("status").isin("queued", "running"))
+    return jobs.where((F.col("expires") < now) & ~F.col("status").isin(*OPEN))
 
 
 def stale_files(files: DataFrame, now: Column, age: float = 3600.0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Streams: failure limiter with state per client, first sight of jobs, and redaction of arriving documents."""
+"""Streams: failure limiter with state per client, jobs that fall due, and redaction of arriving documents."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanveil.operators import engine, lines, redact
-from spanveil.operators.jobs import FAILURES, SECONDS
+from spanveil import api
+from spanveil.operators.jobs import FAILURES, OPEN, SECONDS
+from spanveil.session import ship
 
 DECISIONS = "client string, seq long, at double, ok boolean, decision string"
 _STATE = "times array<double>"
@@ -35,9 +36,13 @@ def decide(times: list[float], rows: list[tuple[float, bool]], seconds: float =
     return out, times
 
 
-def limiter(attempts: DataFrame, seconds: float = SECONDS, limit: int = FAILURES) -> DataFrame:
-    """Stream of attempts (client, seq, at in seconds, ok) -> the same with `decision`. State is at most `limit` times a client,
-    dropped when a client stays away for the window."""
+def limiter(attempts: DataFrame, seconds: float = SECONDS, limit: int = FAILURES, late: str = "1 minute") -> DataFrame:
+    """Stream of attempts (client, seq, at in seconds, ok) -> the same with `decision`.
+
+    State is at most `limit` times a client, dropped when the event time has passed a client's last attempt by the window. Attempts
+    that come `late` behind the newest one seen get no decision, as no order is left to judge them in.
+    """
+    ship(attempts.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -47,10 +52,11 @@ def limiter(attempts: DataFrame, seconds: float = SECONDS, limit: int = FAILURES
         rows = pd.concat(list(batches)).sort_values(["at", "seq"], kind="stable")
         decisions, times = decide(times, list(zip(rows["at"], rows["ok"])), seconds, limit)
         state.update((times,))
-        state.setTimeoutDuration(int(seconds * 1000))
+        state.setTimeoutTimestamp(max(int((rows["at"].iloc[-1] + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"client": key[0], "seq": rows["seq"], "at": rows["at"], "ok": rows["ok"], "decision": decisions})
 
-    return attempts.groupBy("client").applyInPandasWithState(step, DECISIONS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = attempts.select("client", "seq", "at", "ok", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("ts")).withWatermark("ts", late)
+    return timed.groupBy("client").applyInPandasWithState(step, DECISIONS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def failures_per_window(attempts: DataFrame, width: str = "10 minutes", slide: str = "1 minute", late: str = "5 minutes") -> DataFrame:
@@ -58,19 +64,43 @@ def failures_per_window(attempts: DataFrame, width: str = "10 minutes", slide: s
     return attempts.withWatermark("ts", late).where("NOT ok").groupBy(F.window("ts", width, slide), "client").agg(F.count("*").alias("failures"))
 
 
-def expire(jobs: DataFrame, late: str = "1 minute") -> DataFrame:
-    """Stream of job events (job_id, ts, expires): jobs once each, while they are not older than the watermark.
+def expire(events: DataFrame, late: str = "1 minute") -> DataFrame:
+    """Stream of job events (job_id, ts, status, expires) -> (job_id, expires) of each job that falls due, once.
 
-    It does not wait for `expires`: what is due is told by `jobs.expired` in batch.
+    A job is due when the event time has passed its `expires` and it is neither queued nor running; one that ends later is due then. The
+    newest event of a job counts; a deleted job is forgotten.
     """
-    return jobs.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id"])
+    ship(events.sparkSession)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            at = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"job_id": [key[0]], "expires": [pd.Timestamp(at, unit="us")]})
+            return
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        last = rows.iloc[-1]
+        micros = int(pd.Timestamp(last["expires"]).value // 1000)
+        if last["status"] == "deleted":
+            if state.exists:
+                state.remove()
+            return
+        newest = int(pd.Timestamp(last["ts"]).value // 1000)
+        if state.exists and state.get[1] > newest:
+            return
+        state.update((micros, newest))
+        if last["status"] not in OPEN:
+            state.setTimeoutTimestamp(max(micros // 1000, state.getCurrentWatermarkMs()) + 1)
+
+    timed = events.select("job_id", "ts", "status", "expires").withWatermark("ts", late)
+    return timed.groupBy("job_id").applyInPandasWithState(step, "job_id string, expires timestamp", "expires long, newest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def redact_stream(docs: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
-    """Redact whole documents (doc_id, text) as they arrive; each micro-batch goes through the batch plan."""
+def redact_stream(docs: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, options: api.Options = api.Options()):  # noqa: B008 - frozen
+    """Redact whole documents (doc_id, text) as they arrive: each micro-batch goes through `api.run`, propagation included."""
+    ship(docs.sparkSession)
 
     def batch(rows: DataFrame, number: int) -> None:
-        own = lines.text_lines(rows, "doc_id")
-        write(redact.redact_lines(own, engine.rule_hits(own)).select(*engine.KEY, "redacted"), number)
+        write(api.run(rows, options).lines, number)
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

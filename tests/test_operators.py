@@ -1,6 +1,8 @@
 """Properties that hold for any input, sources and sinks, and streams."""
 
 import json
+import time
+from datetime import datetime
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -78,23 +80,45 @@ def test_limiter_decisions():
     assert got == ["rejected"] * 3 + ["limited", "limited", "accepted"] and times == [2.0]
 
 
+def finish(query) -> None:
+    """A stream that reads what is there must end by itself."""
+    ended = query.awaitTermination(120)
+    query.stop()
+    assert ended
+
+
+def fed(spark, rows, schema, path):
+    """A stream of one file a batch, in order."""
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(path))
+        time.sleep(1.1 if i + 1 < len(rows) else 0)  # files are read in the order of their times
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(path))
+
+
 def test_limiter_stream(spark, tmp_path):
     schema = "client string, seq long, at double, ok boolean"
-    spark.createDataFrame([("a", i, float(i), False) for i in range(4)] + [("b", 9, 1.0, True)], schema).coalesce(1).write.json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
-    q = limits.limiter(stream, seconds=100, limit=3).writeStream.format("memory").queryName("decisions").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    first = [("a", i, 1000.0 + i, False) for i in range(4)] + [("b", 9, 1001.0, True)]
+    stream = fed(spark, [first, [("a", 10, 1050.0, True), ("a", 11, 1300.0, True)], [("a", 12, 1301.0, False)]], schema, tmp_path / "in")
+    limited = limits.limiter(stream, seconds=100, limit=3)
+    finish(limited.writeStream.format("memory").queryName("decisions").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
     rows = sorted((r["client"], r["seq"], r["decision"]) for r in spark.table("decisions").collect())
-    assert rows == [("a", 0, "rejected"), ("a", 1, "rejected"), ("a", 2, "rejected"), ("a", 3, "limited"), ("b", 9, "accepted")]
+    assert rows == [("a", 0, "rejected"), ("a", 1, "rejected"), ("a", 2, "rejected"), ("a", 3, "limited"), ("a", 10, "limited"), ("a", 11, "accepted"), ("a", 12, "rejected"), ("b", 9, "accepted")]
+
+
+def test_expiry_stream(spark, tmp_path):
+    at = lambda s: datetime(2025, 1, 1, 0, 0, s)
+    schema = "job_id string, ts timestamp, status string, expires timestamp"
+    first = [("due", at(0), "succeeded", at(10)), ("open", at(0), "running", at(10)), ("later", at(0), "failed", at(59)), ("gone", at(0), "failed", at(10)), ("gone", at(1), "deleted", at(10))]
+    rest = [[("clock", at(30), "queued", at(59))], [("open", at(31), "succeeded", at(10))], [("clock", at(40), "queued", at(59))]]
+    due = limits.expire(fed(spark, [first, *rest], schema, tmp_path / "in"), "1 second")
+    finish(due.writeStream.format("memory").queryName("due").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+    assert sorted((r["job_id"], r["expires"]) for r in spark.table("due").collect()) == [("due", at(10)), ("open", at(10))]
 
 
 def test_redaction_stream(spark, tmp_path):
-    spark.createDataFrame([(1, "x a@b.example y")], "doc_id int, text string").write.json(str(tmp_path / "in"))
-    stream = spark.readStream.schema("doc_id int, text string").json(str(tmp_path / "in"))
-    q = limits.redact_stream(stream, lambda df, n: df.write.mode("append").json(str(tmp_path / "out")), str(tmp_path / "c"))
-    q.awaitTermination(120)
-    assert [r["redacted"] for r in spark.read.json(str(tmp_path / "out")).collect()] == ["x [邮箱] y"]
+    stream = fed(spark, [[(1, "x a@b.example y"), (2, "card 4111111111111111")]], "doc_id int, text string", tmp_path / "in")
+    finish(limits.redact_stream(stream, lambda df, n: df.write.mode("append").json(str(tmp_path / "out")), str(tmp_path / "c")))
+    assert sorted(r["redacted"] for r in spark.read.json(str(tmp_path / "out")).collect()) == ["card [银行卡号]", "x [邮箱] y"]
 
 
 def test_empty_and_null_lines(spark):
