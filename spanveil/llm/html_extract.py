@@ -8,7 +8,8 @@ Defined cases: a null or empty page has no text. Unclosed and stray tags are tol
 nearest open container of its name, or nothing. Of a raw element such as <script> only its own end tag is read. A silent element
 that is never closed hides what comes before the next block-level tag; only <script> hides all that follows, as in browsers.
 A page's html and body are never furniture; main, article and what is around the article aren't by one part of a compound
-name, nor is a form around it. White space is what Unicode calls so. A page of furniture only has an empty text. Repeated rows each get a result.
+name, nor is a form around it; names of a state, such as no-comments, mark nothing. Quotes that never pair up end at the next `>`; a tag
+that never ends is text. The time is linear in the page. A `text` column of the input must be renamed first: extract_pages replaces it. White space is what Unicode calls so. A page of furniture only has an empty text. Repeated rows each get a result.
 """
 
 from __future__ import annotations
@@ -23,8 +24,13 @@ from pyspark.sql import types as T
 
 from spanveil.session import ship, table
 
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![A-Za-z]))[^>]*+>"
+_NAME = r"<(/?)([A-Za-z][A-Za-z0-9-]*+)"
+#: A comment, a tag with its values in quotes, text, or a sign that begins none of them.
+_PART = re.compile(rf"""{_COMMENT}|{_NAME}((?>[^>"'=]++|=\s*+(?>"[^"]*+"|'[^']*+'|)|["'])*+)>|([^<]++)|<""", re.S)
+#: The same where quotes don't pair: a tag ends at the next sign that could end one.
+_PLAIN_PART = re.compile(rf"{_COMMENT}|{_NAME}([^>]*+)>|([^<]++)|<", re.S)
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 #: Elements whose content is never text of the page.
 SILENT = frozenset("script style noscript template svg math iframe object select textarea button title canvas audio video".split())
@@ -36,12 +42,14 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that stay open until their end tag.
-CONTAINERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form head header html main menu nav ol pre section table ul".split())
+CONTAINERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form head header html li main menu nav ol pre section table ul".split())
 FURNITURE = frozenset("aside footer form head menu nav dialog header".split())
 #: Words of a class, id or role that mark furniture.
 FURNITURE_WORDS = frozenset(
-    "ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
+    "ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies discussion disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
 )
+#: Parts of a compound name that tell a state of something larger, such as has-sidebar, and mark nothing.
+STATE_WORDS = frozenset("active closed disabled enabled full has hidden hide is layout no not open page show single template theme with without wrap wrapper".split())
 ARTICLE_WORDS = frozenset("article article-body articlebody content entry entry-content main post post-body post-content story".split())
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture", "heading")
@@ -111,7 +119,8 @@ def _marks(tag: str, attributes: str, in_article: bool, around: bool) -> tuple[b
 
 
 def _split(names: set[str]) -> set[str]:
-    return {p for n in names for p in re.split(r"[-_]+", n)}
+    parts = (re.split(r"[-_]+", n) for n in names)
+    return {p for own in parts if not STATE_WORDS.intersection(own) for p in own}
 
 
 def _raw_end(html: str, at: int, tag: str) -> int | None:
@@ -125,21 +134,36 @@ def _raw_end(html: str, at: int, tag: str) -> int | None:
 
 
 def _parts(html: str) -> list[tuple[str | None, str | None, str | None, str | None]]:
-    """(closing, tag, attributes, text) of tags and texts in order, without comments and closed raw elements."""
+    """(closing, tag, attributes, text) of tags and texts in order, without comments and closed raw elements.
+
+    A tag whose quotes never pair up is read to the next `>`, and so are all tags behind it; behind the last `>` everything is text. Each
+    of the two can happen once, so the time is linear.
+    """
     out: list[tuple[str | None, str | None, str | None, str | None]] = []
-    at: int | None = 0
-    while at is not None:
-        start, at = at, None
-        for m in _PART.finditer(html, start):
+    pattern, at = _PART, 0
+    last = html.rfind(">")
+    while at < len(html):
+        for m in pattern.finditer(html, at):
+            at = m.end()
             closing, tag, attributes, chars = m.groups()
             if tag is None:
-                if chars is not None or m[0] == "<":
-                    out.append((None, None, None, unescape(chars) if chars is not None and "&" in chars else chars or "<"))
+                if chars is not None:
+                    out.append((None, None, None, unescape(chars) if "&" in chars else chars))
+                elif m[0] == "<":
+                    if html[at : at + 1].isalpha() or html[at : at + 1] in ("!", "?", "/"):
+                        if m.start() > last:
+                            out.append((None, None, None, unescape(html[m.start() :])))
+                            return out
+                        if pattern is _PART:
+                            pattern, at = _PLAIN_PART, m.start()
+                            break
+                    out.append((None, None, None, "<"))
                 continue
             tag = tag.lower()
-            if tag in RAW and not closing and not attributes.endswith("/"):
-                at = _raw_end(html, m.end(), tag)
-                if at is not None:
+            if tag in RAW and not closing and not attributes.rstrip().endswith("/"):
+                end = _raw_end(html, at, tag)
+                if end is not None:
+                    at = end
                     break
             out.append((closing, tag, attributes, None))
     return out
@@ -149,7 +173,8 @@ def _outline(parts: list[tuple[str | None, str | None, str | None, str | None]])
     """Where each closed silent element ends, by its start; and the starts of the containers around the article.
 
     The article is every article or main element whose names have no part of furniture, and whatever marks itself as
-    article and has at least half as many words as the largest of them.
+    article and has at least half as many words as the largest of them. On a page without any, what holds two thirds of the page's
+    words is around it.
     """
     silent_ends: dict[int, int] = {}
     ends: dict[int, int] = {}
@@ -173,7 +198,7 @@ def _outline(parts: list[tuple[str | None, str | None, str | None, str | None]])
                     silent_ends[start] = i
             continue
         if tag in SILENT:
-            if attributes.endswith("/"):
+            if attributes.rstrip().endswith("/"):
                 continue
             if tag not in NESTING:
                 if opened.get(tag):
@@ -184,6 +209,7 @@ def _outline(parts: list[tuple[str | None, str | None, str | None, str | None]])
         stack.append((tag, i))
     before, n, until = [], 0, -1  # words before each part
     marked: list[tuple[int, bool]] = []
+    opens: list[int] = []
     for i, (closing, tag, attributes, chars) in enumerate(parts):
         before.append(n)
         if i <= until:
@@ -192,6 +218,7 @@ def _outline(parts: list[tuple[str | None, str | None, str | None, str | None]])
         if chars is not None:
             n += len(chars.split())
         elif tag in CONTAINERS and not closing:
+            opens.append(i)
             names = _names(attributes)
             if _article(tag, names) and not names & FURNITURE_WORDS:
                 marked.append((i, tag in ("article", "main") and not _split(names) & FURNITURE_WORDS))
@@ -205,10 +232,10 @@ def _outline(parts: list[tuple[str | None, str | None, str | None, str | None]])
         held[i + 1] += 1
     for i in range(len(parts)):
         held[i + 1] += held[i]
-    if article:
-        for i, (closing, tag, _, _) in enumerate(parts):
-            if tag in CONTAINERS and not closing and held[ends.get(i, len(parts))] > held[i]:
-                around.add(i)
+    for i in opens:
+        end = ends.get(i, len(parts))
+        if held[end] > held[i] if article else 3 * (before[end] - before[i]) >= 2 * n > 0:
+            around.add(i)
     return silent_ends, around
 
 
@@ -219,6 +246,9 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     text: list[str] = []
     linked: list[str] = []
     in_link, heading, until, hidden = False, False, -1, False
+    counts: dict[str, int] = {}  # open containers of each name
+    items: list[int] = []  # places on the stack of open list items, and of the lists around them
+    lists: list[int] = []
     parts = _parts(html)
     silent_ends, around = _outline(parts)
 
@@ -231,6 +261,16 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             text.clear()
             linked.clear()
 
+    def close(tag: str) -> None:
+        while True:
+            name = stack.pop()[0]
+            counts[name] -= 1
+            if name == tag:
+                break
+        for places in (items, lists):
+            while places and places[-1] >= len(stack):
+                places.pop()
+
     for i, (closing, tag, attributes, chars) in enumerate(parts):
         if i <= until:
             continue
@@ -246,7 +286,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         elif tag == "br":
             text.append(" ")
         if tag in SILENT and not closing:
-            if not attributes.endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 until = silent_ends.get(i, until)
                 hidden = hidden or i not in silent_ends
             continue
@@ -256,12 +296,19 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
             if tag in CONTAINERS:
                 in_link = False
-                if not closing:
-                    article, furniture = _marks(tag, attributes, stack[-1][1], i in around)
-                    stack.append((tag, stack[-1][1] or article, stack[-1][2] or furniture))
-                elif any(t == tag for t, _, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                if closing:
+                    if counts.get(tag):
+                        close(tag)
+                    continue
+                if tag == "li" and items and items[-1] > (lists[-1] if lists else -1):
+                    close(tag)  # a list's next item ends the one before it
+                article, furniture = _marks(tag, attributes, stack[-1][1], i in around)
+                if tag == "li":
+                    items.append(len(stack))
+                elif tag in ("ul", "ol"):
+                    lists.append(len(stack))
+                counts[tag] = counts.get(tag, 0) + 1
+                stack.append((tag, stack[-1][1] or article, stack[-1][2] or furniture))
     end_block()
     return out
 

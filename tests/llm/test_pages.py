@@ -1,4 +1,6 @@
 import re
+import time
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
@@ -47,6 +49,63 @@ def test_compound_names_and_forms_around_the_article():
     assert x.main_text(f"{STORY}<div class='cookie-bar'><div class=content><p>we use cookies here today</p></div></div>") == STORY_TEXT
 
 
+class SlowArticle(HTMLParser):
+    """Blocks of text inside <article>, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.depth, self.silent = [""], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.silent += tag in ("script", "style")
+        self.edge(tag)
+
+    def handle_endtag(self, tag):
+        self.edge(tag)
+        self.depth -= tag == "article"
+        self.silent -= tag in ("script", "style")
+
+    def edge(self, tag):
+        if tag in x.BLOCKS:
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_data(self, data):
+        if self.depth and not self.silent:
+            self.blocks[-1] += data
+
+
+def test_whole_table_against_a_slow_parser(spark):
+    rows = x.extract_pages(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    for r in rows:
+        p = SlowArticle()
+        p.feed(r["html"] or "")
+        p.close()
+        assert r["text"] == "\n".join(" ".join(b.split()) for b in p.blocks if b.split()), r["page_id"]
+
+
+def test_hostile_pages_take_linear_time():
+    pieces = ['<a x="', "<a x='>", "<a ", "<", "<div>", "<!--", "<!", "</div>", "<script>", "<title>", "<select>", "&amp", "<object>", "<button>x", "<li><div>", "<p><b>", '<a x="><p>', "<svg/ >"]
+    for piece in [*pieces, "<div>" * 3 + "</section></nav>"]:
+        for end in ("", ">", '">'):
+            start = time.process_time()
+            x.main_text(piece * (1_000_000 // len(piece)) + end)
+            assert time.process_time() - start < 15, (piece, end)
+    assert x.main_text("x <b y z").endswith("x <b y z") or x.main_text("x <b y z") == ""
+    assert x.blocks("word <a b")[0][0] == "word <a b" and x.blocks("<p>one <a x='two>three</p>")[0][0] == "one three"
+
+
+def test_state_names_comment_ends_and_list_items():
+    words = STORY[9:-10]
+    for around in ("<div class='no-comments'>", "<div class='post tags-page'>", "<main class='menu-open'>", "<div class='ads-enabled'><div>"):
+        assert x.main_text(around + words) == STORY_TEXT, around
+    assert x.main_text(f"<!-- menu --!>{STORY}<!-->") == STORY_TEXT and x.main_text(f"<!--->{STORY}") == STORY_TEXT
+    assert x.main_text(f"<article>{words}<ul><li class=comment><p>nice words you wrote there friend<li>last point of the list here</ul></article>") == STORY_TEXT + "\nlast point of the list here"
+    assert x.main_text(f"<div id=comments>{words}</div>") == ""
+
+
 def test_tree_fits_its_table():
     assert all(x.decide(r[:-1]) == r[-1] for r in x.LABELLED)
 
