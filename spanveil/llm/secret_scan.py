@@ -6,14 +6,17 @@ still fits none is read three ways, as pieces between all of its signs, between
 pieces the one with most evidence stays, less READINGS for the choice. Parts have 16 characters at least. A candidate's encoding is inferred from its characters (hex, letters of
 one case, base32, base36, base64) and three tests are made against what text-like strings would show:
   chi-squared   how uniform the encoding's alphabet is used (text is far from uniform);
-  runs          how often neighbours differ in class - digit, lower, upper, other signs passed over (text rarely changes);
+  runs          how often neighbours differ in class - digit, lower, upper, other signs passed over; a capital and the small letter
+                behind it count as one class, as words in names such as readNextLine begin so (text rarely changes);
   serial        lag-one correlation of the characters' ranks (sequences and patterns correlate).
-Fisher's method combines the three p-values. Length strata then get their own Benjamini-Hochberg cut-off over all
-candidates of the corpus, so that the many short strings don't pay for the few long ones, nor the reverse. The only
-corpus statistic is a histogram of at most strata * buckets rows.
+Fisher's method combines the three p-values. As the tests depend on each other and text differs from corpus to corpus, a stratum's
+p-values are calibrated on the corpus itself: the evidence that its least random BULK share shows gives the rate at which a text-like string's
+evidence falls off (an empirical null), never taken as steeper than SHARPEST nor as flatter than Fisher's own. Length strata then get
+their own Benjamini-Hochberg cut-off over all candidates of the corpus, so that the many short strings don't pay for the few
+long ones, nor the reverse. The only corpus statistic is a histogram of at most strata * buckets rows.
 
 Offsets are code points, end exclusive. Defined cases: null and empty texts have no spans; the base spans of a kind don't
-overlap; a span of the method that overlaps a base span is not added. Repeated rows count as often as they occur. Extra
+overlap; base spans are cut out of a run and what is left on either side is tested. Repeated rows count as often as they occur. Extra
 columns are kept by `annotate` and not read.
 """
 
@@ -22,6 +25,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +49,9 @@ LEAST = 16
 STRATA = (16, 24, 32, 48, 64, 128)
 #: Width of the histogram's buckets of -ln(p), and their number.
 STEP, BUCKETS = 0.25, 400
-FDR = 0.001
+FDR = 0.01
+#: The empirical null: share of a stratum's candidates taken as text, fewest candidates to estimate from, and steepest fall-off.
+BULK, ENOUGH, SHARPEST = 0.8, 50, 0.5
 #: What text-like strings show: squared mass of letters, class changes per neighbouring pair, correlation of ranks.
 TEXT_MASS, TEXT_CHANGES, STRUCTURE = 0.065, 0.2, 0.5
 
@@ -93,11 +101,12 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, int, float]]:
         pieces = {x.span(): k for k, reading in reversed([*enumerate(_READINGS)]) for x in reading.finditer(text, a, b) if len(x[0]) >= LEAST}
         # A wider piece has to say clearly more than the one between all signs: a directory before a value is no part of it.
         rated = sorted((-(e := evidence(text[x:y])) + (WIDER if k else 0), x, y, e) for (x, y), k in pieces.items())
-        own: list[tuple[int, int, float]] = []
+        own: list[tuple[int, int, float]] = []  # in order and apart, so only neighbours can overlap
         for _, x, y, e in rated:
-            if not any(x < d and c < y for c, d, _ in own):
-                own.append((x, y, max(0.0, e - READINGS)))
-        out += sorted(own)
+            k = bisect(own, (x,))
+            if (k == len(own) or y <= own[k][0]) and (not k or own[k - 1][1] <= x):
+                own.insert(k, (x, y, max(0.0, e - READINGS)))
+        out += own
     return out
 
 
@@ -118,7 +127,7 @@ def evidence(s: str) -> float:
     away = n * max(0.5, size * TEXT_MASS - 1)
     p_chi = _normal_tail((x2 - (size - 1 + away)) / math.sqrt(2 * (size - 1 + 2 * away)))
     kinds = [0 if c.isdigit() else 1 if c.islower() else 2 for c in s if c.isalnum()]
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    changes = sum(a != b and (a, b) != (2, 1) for a, b in zip(kinds, kinds[1:]))
     mean, sd = (n - 1) * TEXT_CHANGES, math.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES))
     p_runs = _normal_tail(-(changes - 0.5 - mean) / sd)
     centre = sum(ranks) / n
@@ -144,11 +153,20 @@ def scan(text: str | None) -> list[tuple[str, int, int, int, int]]:
     for a, b in runs:
         if b - a >= 32:
             out += [("hex", m.start(), m.end(), -1, 0) for m in HEX.finditer(text, a, b)]
-    base = list(out)
-    for run in runs:
-        for a, b, e in candidates(text, *run):
-            if not any(a < y and x < b for _, x, y, _, _ in base):
-                out.append(("random", a, b, sum(b - a >= x for x in STRATA) - 1, min(BUCKETS - 1, int(e / STEP))))
+    base = sorted((a, b) for _, a, b, _, _ in out)
+    at = 0
+    for start, end in runs:
+        # What base spans leave of the run. They may overlap each other, but are few, and both lists ascend.
+        while at < len(base) and base[at][1] <= start:
+            at += 1
+        parts, k = [], at
+        while k < len(base) and base[k][0] < end:
+            parts.append((start, start + len(text[start : base[k][0]].rstrip("="))))  # signs before a base span part it off
+            start = max(start, base[k][1])
+            k += 1
+        for a, b in (*parts, (start, end)):
+            if b - a >= LEAST:
+                out += [("random", x, y, sum(y - x >= n for n in STRATA) - 1, min(BUCKETS - 1, int(e / STEP))) for x, y, e in candidates(text, a, b)]
     return out
 
 
@@ -160,30 +178,54 @@ def scan_spans(texts: pa.Array) -> pa.Array:
     return out
 
 
-def cut_offs(candidates: DataFrame, fdr: float = FDR) -> list[int]:
-    """For each length stratum the least bucket that Benjamini-Hochberg accepts; candidates has a column `spans`."""
-    rows = (
-        candidates.select(F.explode("spans").alias("s")).where("s.stratum >= 0").groupBy("s.stratum", "s.bucket").count().collect()
-    )  # at most strata * buckets rows
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(stratum, bucket, n) of a task's candidates, at most strata * buckets rows."""
+    n: Counter[tuple[int, int]] = Counter()
+    for batch in batches:
+        for t in batch.column(0):
+            n.update((stratum, bucket) for _, _, _, stratum, bucket in scan(t.as_py()) if stratum >= 0)
+        give_back()
+    keys = list(n)
+    yield pa.record_batch([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([n[k] for k in keys], pa.int64())], names=["stratum", "bucket", "n"])
+
+
+def fall_off(histogram: list[tuple[int, int]]) -> float:
+    """Mean evidence of a text-like candidate by a stratum's (bucket, n), were it exponential: 1 where the tests are exact."""
+    total, seen = sum(n for _, n in histogram), 0
+    if total < ENOUGH:
+        return 1.0
+    for bucket, n in sorted(histogram):
+        seen += n
+        if seen >= BULK * total:
+            return min(1.0, max(SHARPEST, (bucket + 1) * STEP / -math.log(1 - BULK)))
+    return 1.0
+
+
+def cut_offs(docs: DataFrame, fdr: float = FDR) -> list[int]:
+    """For each length stratum the least bucket that Benjamini-Hochberg accepts, over all texts of docs."""
+    ship(docs.sparkSession)
+    counts = docs.select("text").mapInArrow(tally, "stratum int, bucket int, n long")
+    rows = counts.groupBy("stratum", "bucket").agg(F.sum("n").alias("n")).collect()  # at most strata * buckets rows
     cuts = []
     for k in range(len(STRATA)):
-        own = sorted(((r["bucket"], r["count"]) for r in rows if r["stratum"] == k), reverse=True)
-        total, above, cut = sum(n for _, n in own), 0, BUCKETS
+        own = sorted(((r["bucket"], r["n"]) for r in rows if r["stratum"] == k), reverse=True)
+        total, above, cut, mean = sum(n for _, n in own), 0, BUCKETS, fall_off(own)
         for bucket, n in own:
             above += n
-            if total * math.exp(-bucket * STEP) <= fdr * above:
+            if total * math.exp(-bucket * STEP / mean) <= fdr * above:
                 cut = bucket
         cuts.append(cut)
     return cuts
 
 
 def annotate(docs: DataFrame, fdr: float = FDR, name: str = "secret_spans") -> DataFrame:
-    """docs with one more column of accepted spans, ordered by start and kind: array<struct<kind, start, end>>.
+    """docs with one more column of accepted spans, ordered by start and kind: array<struct<kind, start, end>>. It replaces a column of
+    the same name.
 
     Two passes over the texts: the first fills the histogram, the second keeps what the cut-offs accept.
     """
     ship(docs.sparkSession)
-    cuts = F.array(*[F.lit(c) for c in cut_offs(docs.select(scan_spans("text").alias("spans")), fdr)])
+    cuts = F.array(*[F.lit(c) for c in cut_offs(docs, fdr)])
     order = F.array(*[F.lit(k) for k in KINDS])
     kept = F.filter(scan_spans("text"), lambda s: (s["stratum"] < 0) | (s["bucket"] >= F.get(cuts, s["stratum"])))
     keyed = F.sort_array(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"))))
@@ -217,7 +259,7 @@ def masker(cuts: list[int]):
 def mask(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """docs with every secret in text replaced by [SECRET]; null texts stay null, n_chars follows where there is one."""
     ship(docs.sparkSession)
-    cuts = cut_offs(docs.select(scan_spans("text").alias("spans")), fdr)
+    cuts = cut_offs(docs, fdr)
     out = docs.withColumn("text", masker(cuts)("text")).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -83,3 +84,40 @@ def test_masking_keeps_rows_and_columns(spark):
 
 def test_empty_table(spark):
     assert s.annotate(documents(spark).where(F.lit(False))).count() == 0
+
+
+LETTERS = {name: letters for name, letters, _ in s.ENCODINGS}
+PLANTED = [("HEX", 32), ("HEX", 40), ("HEX", 64), ("base32", 32), ("base32", 48), ("base36", 32), ("base36", 40), ("base62", 20), ("base62", 24), ("base62", 32), ("base62", 40), ("base64", 24), ("base64", 32), ("base64", 44), ("base64", 64), ("base64url", 32), ("base64url", 43)]
+
+
+def test_recall_of_planted_secrets_and_share_of_false_ones(spark):
+    """Keys outside the base patterns, in running text, against all text-like runs of a real table and of made-up identifiers."""
+    rng = random.Random(17)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    words = [w for w in re.findall("[a-z]{2,9}", " ".join(r["text"] or "" for r in docs.limit(50).collect()))][:4000]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    names = ["_".join(some(4)) for _ in range(150)] + ["".join(w.title() for w in some(4)) for _ in range(150)] + ["/".join(some(5)) for _ in range(150)] + [str(rng.randrange(10**16, 10**18)) for _ in range(100)]
+    names += [f"{rng.choice(words)}{rng.randrange(10, 9999)}-{''.join(some(3))}-v{rng.randrange(9)}" for _ in range(150)] + [c * 30 for c in "ax0_"] + ["abcdefghijklmnopqrstuvwxyz" * 2, "0123456789" * 3]
+    rows, truth = [(10**6 + i, f"see {n} here", None) for i, n in enumerate(names)], {}
+    befores = ["", "key ", "id=", "?sig=", "path/to/", "AUTH: "]
+    for name, n in PLANTED:
+        letters = LETTERS["base64"][:62] if name == "base62" else LETTERS[name]
+        for k in range(20):
+            before, value = " ".join(some(6)) + " " + befores[k % len(befores)], "".join(rng.choice(letters) for _ in range(n))
+            truth[2 * 10**6 + len(truth)] = (name, n, len(before), len(before) + n)
+            rows.append((2 * 10**6 + len(truth) - 1, f"{before}{value} {' '.join(some(4))}", None))
+    all_docs = docs.unionByName(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"))
+    found = [(r["doc_id"], x) for r in s.annotate(all_docs).collect() for x in r["secret_spans"] if x["kind"] == "random"]
+    hit = {d for d, x in found if d in truth and x["start"] < truth[d][3] and truth[d][2] < x["end"]}
+    wrong = [d for d, x in found if d not in truth]
+    recall = {k: sum(d in hit for d, t in truth.items() if t[:2] == k) / 20 for k in PLANTED}
+    print("recall by encoding and length:", recall, "wrong:", len(wrong), "of", len(found))
+    assert len(hit) >= 0.9 * len(truth) and min(recall.values()) >= 0.6, recall
+    assert len(wrong) <= 0.02 * len(found)
+
+
+def test_scan_of_hostile_texts_is_fast():
+    for piece in ("a/b-c+d_" * 125_000, "token=abcdefgh " * 60_000, "x=" * 400_000, "aB3/" * 250_000, "-+" * 400_000, "AKIA" * 200_000):
+        start = time.process_time()
+        s.scan(piece)
+        assert time.process_time() - start < 20, piece[:20]
