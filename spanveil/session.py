@@ -53,27 +53,37 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set."""
+    """The folder that the driver and all executors share. Where none is set, a local master gets one of its own; on a cluster, a
+    machine's folder would not reach the others, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark.sparkContext, "_spanveil_shared", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spark-spanveil-")
             spark.sparkContext._spanveil_shared = base
     return base.rstrip("/")
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/spanveil-{label}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)
+    files.deleteOnExit(hadoop)
+    return path
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor. The table goes when the application ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanveil-{label}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, label) + "/t"
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
