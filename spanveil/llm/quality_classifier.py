@@ -4,8 +4,9 @@ A text's features are indicators of word and word-shape n-grams, hashed to FEATU
 log-count ratio, rows get unit length, and a linear hinge-loss model is fitted by dual coordinate descent. A logistic
 curve, fitted to margins on the fold that a model has not seen, turns margins into probabilities.
 
-The model is fitted on at most SAMPLE labelled rows, those with the least hash of doc_id; only their distinct feature numbers
-reach the driver. Scoring is narrow and covers every whole text.
+The model is fitted on at most SAMPLE labelled rows, those with the least hash of doc_id, and with at most ROW_FEATURES of the features of
+each, those with the least scrambled number; only these numbers reach the driver. Scoring is narrow and covers every whole text with all
+its features.
 
 Defined cases: null and empty texts have no features and get the probability of a zero margin. Labels that are null are ignored; of several labels
 of a document each counts. With no labels of one class every score is the smoothed share of label 1. Repeated rows get equal scores.
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from spanveil.session import ship, table
 
 FEATURES = 1 << 18
-SAMPLE = 6000
+SAMPLE, ROW_FEATURES = 6000, 8192
 COST, EPOCHS = 1.0, 12
 THRESHOLD = 0.3
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -68,10 +69,15 @@ def features(text: str | None, cache: dict[str, tuple[int, int]]) -> np.ndarray:
     return np.unique(np.concatenate((hashed, three, np.full(min(1, len(again)), _LETTERS**3))))
 
 
+def thinned(x: np.ndarray, most: int = ROW_FEATURES) -> np.ndarray:
+    """At most `most` of a row's features, in order; the same ones in every row that has them."""
+    return x if len(x) <= most else np.sort(x[np.argsort(x * 0x9E3779B1 % (1 << 32), kind="stable")[:most]])
+
+
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def feature_numbers(texts: pa.Array) -> pa.Array:
     cache: dict[str, tuple[int, int]] = {}
-    return pa.array([features(t.as_py(), cache).astype(np.int32) for t in texts], type=pa.list_(pa.int32()))
+    return pa.array([thinned(features(t.as_py(), cache)).astype(np.int32) for t in texts], type=pa.list_(pa.int32()))
 
 
 class Model:
@@ -160,12 +166,15 @@ def fit(rows: list[np.ndarray], labels: list[int]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the labelled rows (doc_id, quality) given; the sample's rows are chosen before any text is read."""
+    """Fit on the labelled rows (doc_id, quality) given, at most `sample` of them; labels are chosen before any text is read.
+
+    Where a document's id is on several rows, or a label repeats, the rows with the least hash of their text count.
+    """
     ship(docs.sparkSession)
     chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
-    rows = found.select("quality", F.xxhash64("doc_id").alias("h"), feature_numbers("text").alias("x")).toPandas()
-    rows = rows.sort_values(["h", "quality"], kind="stable")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `chosen` has at most `sample` rows
+    numbered = found.select(F.xxhash64("doc_id").alias("h"), "quality", F.xxhash64("text").alias("t"), feature_numbers("text").alias("x"))
+    rows = numbered.orderBy("h", "quality", "t").limit(sample).toPandas()
     return fit([np.asarray(x, np.int64) for x in rows["x"]], rows["quality"].tolist())
 
 
