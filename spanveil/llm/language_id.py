@@ -50,8 +50,14 @@ _ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters, in lower case; a run of more than PIECE letters is so many words one after the other."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, in lower case; a run of more than PIECE letters is so many words one after the other.
+
+    The pattern also takes signs that are numbers without being digits; words are parted at those.
+    """
+    found = _WORD.findall(text.lower()) if text else []
+    if not text or text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ((w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def hashed(word: str) -> list[int]:
@@ -305,7 +311,7 @@ def detector(model):
 
 
 def annotate(docs: DataFrame, crf: Crf, name: str = "language") -> DataFrame:
-    """docs with one more column struct<lang, score>."""
+    """docs with one more column struct<lang, score>; one of the same name is replaced."""
     ship(docs.sparkSession)
     return docs.withColumn(name, detector(docs.sparkSession.sparkContext.broadcast(crf))("text"))
 

@@ -78,3 +78,27 @@ def test_long_runs_are_scored_to_their_end():
     ws = l.words(text("aa", 40) + text("bb", 800))
     p = crf.marginals(ws, np.array([len(ws)]))
     assert p.sum(0).argmax() == crf.langs.index("bb") and p[0].argmax() == crf.langs.index("aa")
+
+
+def test_signs_that_are_no_letters():
+    assert l.words("½ ² ① Ⅷ x²y ٣ 5") == ["x", "y"] and l.words("Straße ①été½") == ["straße", "été"]
+    crf = l.fit(SNIPPETS)
+    assert [g["lang"] for g in l.detect_all(["½ ² ①", "²", "①the②"], crf)] == ["und", "und", "en"]
+
+
+def test_switched_text_word_by_word(spark):
+    """Stretches of the held-out documents of a table, one after the other: each word's language against its source's."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("lang IS NOT NULL AND text IS NOT NULL")
+    crf = l.train(docs.where(~l.held_out(F.col("doc_id"))))
+    rng = np.random.default_rng(3)
+    own = [(r["lang"], l.words(r["text"])) for r in docs.where(l.held_out(F.col("doc_id"))).orderBy("doc_id").collect()]
+    own = [(lang, ws) for lang, ws in own if len(ws) >= 30]
+    right = total = 0
+    for _ in range(60):
+        picks = [own[int(rng.integers(len(own)))] for _ in range(4)]
+        parts = [(lang, ws[a : a + 15]) for lang, ws in picks for a in [int(rng.integers(len(ws) - 15))]]
+        ws, want = [w for _, p in parts for w in p], [lang for lang, p in parts for _ in p]
+        got = [crf.langs[k] for k in crf.marginals(ws, np.array([len(ws)])).argmax(1)]
+        right, total = right + sum(a == b for a, b in zip(got, want)), total + len(ws)
+    print("words of switched text labelled right:", right / total)
+    assert right / total > 0.9
