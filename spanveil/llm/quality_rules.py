@@ -82,7 +82,7 @@ def measure(docs: DataFrame) -> DataFrame:
         _let(with_word, lambda s: F.struct(F.size(s).alias("n"), (F.size(s) - F.size(F.array_distinct(s))).alias("dup"))).alias("l"),
         (F.length(text) - F.regexp_count(text, F.lit("[ \\t-\\r]"))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.regexp_count(text, F.lit("[A-ZÀÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ]")).alias("n_capitals"),
+        F.regexp_count(text, F.lit(r"\p{Lu}")).alias("n_capitals"),
         F.regexp_count(text, F.lit("[!|]")).alias("n_marks"),
         F.regexp_count(text, F.lit("[#*$%&|<>](?![^ \\t-\\r])")).alias("n_tails"),
     )
@@ -178,3 +178,16 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
         (~failed & F.col("kept_by_votes")).alias("kept"),
         F.round("posterior", 6).alias("posterior"),
     )
+
+
+#: DuckDB SQL of the contract's counts; the fitted verdict is compared with a slow fit in tests instead.
+COUNTS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]')) AS ls FROM d),
+g AS (SELECT rid, i, array_to_string(ws[i:i+7], ' ') AS win FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+twin AS (SELECT rid, unnest(range(i, i + 8)) AS place FROM (SELECT *, count(*) OVER (PARTITION BY rid, win) AS n FROM g) WHERE n >= 2),
+rep AS (SELECT rid, count(DISTINCT place) AS n FROM twin GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+       CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+       CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(rep.n, 0) > 30 * len(ws) AS base_failed
+FROM d JOIN w USING (rid) LEFT JOIN rep USING (rid)"""

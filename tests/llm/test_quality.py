@@ -1,5 +1,7 @@
+import math
 import re
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -34,6 +36,44 @@ def test_counts_equal_brute_force(spark):
     assert all(tuple(r[c] for c in COUNTS) == slow_counts(whole[r["doc_id"]]) for r in qr.measure(docs).collect())
 
 
+def test_counts_equal_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    cols = ["doc_id", *COUNTS, "base_failed"]
+    want = sorted(con.sql(qr.COUNTS_SQL).project(", ".join(cols)).fetchall())
+    assert sorted(tuple(r) for r in qr.op8_quality_rules(spark, SF).select(*cols).collect()) == want
+
+
+def slow_verdicts(rows, rounds=50):
+    """Posterior of each row by EM over the rows themselves, one after the other."""
+    k = len(qr.RULES)
+    prior, acc, p = 0.7, [(0.8, 0.8)] * k, [0.1 if -1 in v else 0.95 for v in rows]
+    for _ in range(rounds):
+        prior = min(0.99, max(0.01, (0.7 + sum(p)) / (1 + len(rows))))
+        acc = []
+        for j in range(k):
+            voted = [(v[j], x) for v, x in zip(rows, p) if v[j]]
+            good = (1.6 + sum(x for v, x in voted if v > 0)) / (2 + sum(x for _, x in voted))
+            bad = (1.6 + sum(1 - x for v, x in voted if v < 0)) / (2 + sum(1 - x for _, x in voted))
+            acc.append(tuple(min(0.99, max(0.01, x)) for x in (good, bad)))
+        p = []
+        for v in rows:
+            x = math.log(prior / (1 - prior))
+            for (good, bad), vote in zip(acc, v):
+                if vote and good + bad > 1:
+                    x += math.log(good / (1 - bad)) if vote > 0 else math.log((1 - good) / bad)
+            p.append(1 / (1 + math.exp(-x)))
+    return p
+
+
+def test_verdicts_equal_a_slow_fit(spark):
+    measured = qr.measure(table(spark, SF, "documents").select("doc_id", "text"))
+    votes = {r["doc_id"]: tuple(r[1:]) for r in measured.select("doc_id", *[qr.vote(x).alias("v_" + x) for x in qr.RULES]).collect()}
+    want = dict(zip(votes, slow_verdicts(list(votes.values()))))
+    for r in qr.op8_quality_rules(spark, SF).collect():
+        assert abs(r["posterior"] - want[r["doc_id"]]) < 1e-4 and (r["base_failed"] or abs(want[r["doc_id"]] - 0.5) < 1e-4 or r["kept"] == (want[r["doc_id"]] > 0.5))
+
+
 def test_votes_beat_all_must_pass(spark):
     found = qr.op8_quality_rules(spark, SF).join(table(spark, SF, "labels"), "doc_id").where("NOT base_failed").toPandas()
     good, bad = found[found["quality"] == 1], found[found["quality"] == 0]
@@ -96,3 +136,18 @@ def test_classifier_defined_cases(spark):
     assert len(rows) == docs.count() and all(0 <= r["s"] <= 1 for r in rows)
     none = qc.train(docs, labels.where(F.lit(False)))
     assert none.score(qc.features("any", {})) == 0.5
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"words number {i} here") for i in range(50)] + [(2, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    sizes = []
+    fit, qc.fit = qc.fit, lambda rows, y: sizes.append(len(rows))
+    try:
+        qc.train(docs, labels, 10)
+        qc.train(docs.where(F.lit(False)), labels, 10)
+    finally:
+        qc.fit = fit
+    assert sizes == [10, 0]
+    x = np.arange(0, 200_000, 3)
+    assert len(qc.thinned(x)) == qc.ROW_FEATURES and len(qc.thinned(x[:50])) == 50 and (np.diff(qc.thinned(x)) > 0).all()
