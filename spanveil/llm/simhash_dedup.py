@@ -13,6 +13,10 @@ next level, and so on; a search carries the differences accumulated on the way d
 radius. A task emits one row per value, linking it to its component's least id in that node: connectivity is kept without
 writing all pairs. Components over all nodes come from alternating large-star and small-star joins over written tables.
 
+Three-word shingles change in threes, so that few near copies differ in three bits only. `near_groups` links by that one fingerprint.
+`drop_near_duplicates` is for finding near copies: it takes PRINTS fingerprints of a text's distinct words, of independent hashes, and links what
+any of them links. Repeated words don't count there, since long texts of one language share their frequent words' shares.
+
 Defined cases: null and empty texts have fingerprint zero, which is linked like any other. doc_id identifies a document;
 rows with a null doc_id never represent a group. An empty table gives an empty result.
 """
@@ -38,9 +42,19 @@ RADIUS = 3
 NODE = 1024
 FAN = 16
 DEPTH = 5
+PRINTS = 4
 _PIECE = 1 << 16
 
 
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), _PIECE):
+        part = hashes[k : k + _PIECE].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
     """Unsigned 64-bit SimHash of word shingles; A-Z lower-cased, words split at space and U+0009 to U+000D."""
     ws = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -51,12 +65,7 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(ws) - width + 1)
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[min(width, len(ws)) - 1 :].tolist())], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, n, _PIECE):
-        part = hashes[k : k + _PIECE].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return _majority(np.array([h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[min(width, len(ws)) - 1 :].tolist())], np.uint64))
 
 
 @F.arrow_udf(T.LongType())
@@ -66,6 +75,26 @@ def simhash(texts: pa.Array) -> pa.Array:
     return out
 
 
+def word_prints(text: str | None, prints: int = PRINTS) -> list[int]:
+    """SimHashes of the distinct words, one for each of several hashes; the words' own is spread by multiplication and shifts."""
+    ws = set(text.encode("utf-8", "surrogatepass").lower().split()) if text else ()
+    base = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in ws), np.uint64, len(ws))
+    out = []
+    for k in range(1, prints + 1):
+        x = base ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        out.append(_majority(x ^ (x >> np.uint64(31))))
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def simhashes(texts: pa.Array) -> pa.Array:
+    out = np.array([word_prints(t.as_py()) for t in texts], np.uint64).view(np.int64)
+    give_back()
+    return pa.array(list(out), type=pa.list_(pa.int64()))
+
+
 def gray_rank(fp: Column) -> Column:
     """Rank of a value in the reflected Gray sequence: each bit is the parity of the bits from it upwards."""
     for k in (1, 2, 4, 8, 16, 32):
@@ -96,13 +125,15 @@ def _signed(mask: int) -> int:
 
 
 def _below(rows: DataFrame, depth: int) -> DataFrame:
-    """Rows (fp, id) or, deeper down, (path, fp, id): one row for each node of the given depth that holds the value."""
+    """Rows (fp, id), (tag, fp, id) or, deeper down, (path, fp, id): one row for each node of the given depth that holds the value. A path
+    begins with the tag, so that values of different tags never share a node."""
     if "path" not in rows.columns:
-        nodes = [F.struct(F.lit(p).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("shared")) for p, (m, _) in masks(depth).items()]
+        tag = F.col("tag") if "tag" in rows.columns else F.lit("")
+        nodes = [F.struct(F.concat(tag, F.lit(p)).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("shared")) for p, (m, _) in masks(depth).items()]
         return rows.select(F.explode(F.array(*nodes)).alias("n"), "fp", "id").select("n.path", "n.shared", "fp", "id")
     by_path = F.create_map(*[x for p, (m, _) in masks(depth).items() for x in (F.lit(p), F.lit(_signed(m)))])
     child = rows.select(F.explode(F.array(*[F.concat("path", F.lit(str(k))) for k in range(4)])).alias("path"), "fp", "id")
-    return child.select("path", F.col("fp").bitwiseAND(F.try_element_at(by_path, F.col("path"))).alias("shared"), "fp", "id")
+    return child.select("path", F.col("fp").bitwiseAND(F.try_element_at(by_path, F.substring("path", -depth, depth))).alias("shared"), "fp", "id")
 
 
 def node_links(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +247,8 @@ def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link_edges(values: DataFrame, node: int = NODE) -> DataFrame:
-    """Edges (a, b), a > b, of ids whose fingerprints are connected within the radius; values: distinct (fp, id)."""
+    """Edges (a, b), a > b, of ids whose fingerprints are connected within the radius; values: distinct (fp, id), or (tag, fp, id) for
+    several fingerprints at once, tags being of one character."""
     parts, rows, depth = [], values, 2
     while True:
         placed = _below(rows, depth)
@@ -274,9 +306,23 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def copy_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id of every row of docs (doc_id, text), linked by any of the PRINTS fingerprints of distinct words."""
+    ship(docs.sparkSession)
+    prints = keep(docs.select("doc_id", simhashes("text").alias("fps")), "prints")
+    sets = keep(prints.where("doc_id IS NOT NULL").groupBy("fps").agg(F.min("doc_id").alias("id")), "sets")
+    each = sets.select("id", F.posexplode("fps").alias("k", "fp")).select("id", F.col("k").cast("string").alias("tag"), "fp")
+    values = keep(each.groupBy("tag", "fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "values")
+    shared = values.where("n > 1").select("tag", "fp", F.col("id").alias("b"))  # one fingerprint of different texts
+    equal = each.select(F.col("id").alias("a"), "tag", "fp").join(shared, ["tag", "fp"]).where("a <> b").select("a", "b")
+    linked = components(link_edges(values.select("tag", "fp", "id")).unionByName(equal).distinct())
+    labels = sets.join(linked.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("fps", F.coalesce("root", "id").alias("component_id"))
+    return prints.join(labels, "fps", "left").select("doc_id", "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the documents that are not the least doc_id of their group; rows with a null doc_id stay."""
-    groups = keep(near_groups(docs.select("doc_id", "text")), "groups")
+    """docs without the documents that are not the least doc_id of their group of copies; rows with a null doc_id stay."""
+    groups = keep(copy_groups(docs.select("doc_id", "text")), "groups")
     stays = groups.where("doc_id = component_id").select("doc_id")
     goes = groups.where("doc_id <> component_id").select("doc_id").join(stays, "doc_id", "left_anti").distinct()
     return docs.join(keep(goes, "goes"), "doc_id", "left_anti").select(*docs.columns)

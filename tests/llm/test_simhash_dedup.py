@@ -85,3 +85,51 @@ def test_documents_with_nulls_and_copies(spark):
 def test_empty_table(spark):
     empty = documents(spark).where(F.lit(False))
     assert d.near_groups(empty).count() == 0 and d.drop_near_duplicates(empty).count() == 0
+
+
+def slow_groups(docs):
+    """Components by all pairs of documents, for any of the fingerprints."""
+    prints = {i: d.word_prints(t) for i, t in docs}
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in prints:
+        for j in prints:
+            if i < j and any((a ^ b).bit_count() <= d.RADIUS for a, b in zip(prints[i], prints[j])):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in prints}
+
+
+def test_copies_by_distinct_words(spark):
+    rng = np.random.default_rng(12)
+    words = ["".join(chr(97 + k) for k in rng.integers(0, 26, int(rng.integers(2, 9)))) for _ in range(3000)]
+    rows, originals = [], []
+    for i in range(60):
+        text = [words[k] for k in rng.integers(0, 3000, int(rng.integers(60, 300)))]
+        originals.append(len(rows))
+        rows.append((len(rows), " ".join(text)))
+        for _ in range(2):  # near copies: one word in fifty replaced, which leaves 0.8 of the five-word shingles
+            copy = list(text)
+            for k in rng.choice(len(text), max(1, len(text) // 50), replace=False).tolist():
+                copy[k] = words[int(rng.integers(0, 3000))]
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame([*rows, (1000, rows[0][1]), (1001, ""), (1002, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in d.copy_groups(docs).collect()}
+    assert got == slow_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
+    caught = sum(got[i] == i // 3 * 3 for i, _ in rows if i % 3)
+    assert got[1000] == 0 and got[1002] == 1001 and caught >= 0.9 * 120 and all(got[i] == i for i in originals)
+    kept = {r["doc_id"] for r in d.drop_near_duplicates(docs).collect()}
+    assert kept == set(got.values())
+
+
+def test_long_texts_of_one_language_are_not_copies():
+    rng = np.random.default_rng(4)
+    words, share = [f"w{k}" for k in range(30000)], 1 / np.arange(1, 30001)
+    texts = [" ".join(rng.choice(words, 8000, p=share / share.sum())) for _ in range(12)]
+    prints = [d.word_prints(t) for t in texts]
+    assert min((a ^ b).bit_count() for i, p in enumerate(prints) for q in prints[:i] for a, b in zip(p, q)) > d.RADIUS
