@@ -6,7 +6,7 @@ through a beta prior whose strength is estimated from the over-dispersion of tha
 more than the evidence behind the parent's rate. A page
 is blocked when the lower bound of its host's posterior bad rate exceeds `block_above`.
 
-Defined cases: a null url, or one without "://", has an empty host and path; all such pages share the empty host. Hosts
+Defined cases: a null url, or one without "://", has an empty host and path; all such pages share the empty host. A page_id that is null is one like any other. Hosts
 without labelled pages take their domain's rate, and so on upwards; without any label the overall rate is one half and
 nothing is blocked. Equally long rules: the greater string wins. Repeated rows each get a result.
 """
@@ -32,6 +32,14 @@ BLOCK_ABOVE = 0.5
 STRENGTH = (1.0, 1000.0)
 #: Second-level labels that belong to the suffix when the last label has two letters.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+#: Suffixes of several labels under which unrelated owners register, beyond the rule above. Deployments pass the whole public
+#: list as `suffixes`.
+SUFFIXES = tuple(
+    "go.jp ne.jp or.jp tokyo.jp kyoto.jp osaka.jp hokkaido.jp me.uk ltd.uk plc.uk nhs.uk police.uk sch.uk gob.mx gob.ar gob.es gov.br nom.br gouv.fr asso.fr id.au asn.au govt.nz school.nz geek.nz gc.ca on.ca qc.ca "
+    "k12.ma.us pvt.k12.ma.us k12.ca.us k12.ny.us k12.tx.us state.ma.us web.za school.za idv.tw game.tw or.kr re.kr go.kr ne.kr biz.pl info.pl waw.pl in.th go.th or.th "
+    "github.io gitlab.io netlify.app vercel.app pages.dev workers.dev web.app firebaseapp.com herokuapp.com blogspot.com wordpress.com tumblr.com substack.com neocities.org readthedocs.io fly.dev onrender.com "
+    "azurewebsites.net cloudfront.net s3.amazonaws.com appspot.com r.appspot.com myshopify.com weebly.com wixsite.com altervista.org dyndns.org duckdns.org".split()
+)
 
 
 def host_of(url: Column) -> Column:
@@ -83,15 +91,27 @@ def with_rules(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFr
     return base.join(found, ["host", "path"], "left").select("page_id", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("listed"))
 
 
-def suffix_of(host: Column) -> Column:
+def _by_labels(suffixes: tuple[str, ...]) -> list[tuple[int, list[str]]]:
+    """Suffixes by their number of labels, most first."""
+    sizes = {x: x.count(".") + 1 for x in suffixes}
+    return [(m, sorted(x for x, n in sizes.items() if n == m)) for m in sorted(set(sizes.values()), reverse=True)]
+
+
+def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The longest listed suffix, else the last label, or two by the rule of SECOND_LEVEL."""
     two = F.substring_index(host, ".", -2)
     second, last = F.substring_index(two, ".", 1), F.substring_index(host, ".", -1)
-    return F.when((F.length(last) == 2) & second.isin(*SECOND_LEVEL) & (two != last), two).otherwise(last)
+    out = None
+    for m, own in _by_labels(suffixes):
+        tail = F.substring_index(host, ".", -m)
+        out = F.when(tail.isin(*own), tail) if out is None else out.when(tail.isin(*own), tail)
+    ruled = (F.length(last) == 2) & second.isin(*SECOND_LEVEL) & (two != last)
+    return F.when(ruled, two).otherwise(last) if out is None else out.when(ruled, two).otherwise(last)
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """The suffix and one more label, or the host itself if it has no more."""
-    dots = F.size(F.split(suffix_of(host), r"\."))
+    dots = F.size(F.split(suffix_of(host, suffixes), r"\."))
     return F.array_join(F.slice(F.reverse(F.slice(F.reverse(F.split(host, r"\.")), F.lit(1), dots + 1)), F.lit(1), dots + 1), ".")
 
 
@@ -106,11 +126,11 @@ def _strength(counts: DataFrame) -> float:
     return STRENGTH[1] if rho <= 1 / (STRENGTH[1] + 1) else max(STRENGTH[0], 1 / rho - 1)
 
 
-def host_posteriors(outcomes: DataFrame) -> DataFrame:
+def host_posteriors(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """outcomes: host, bad (null where unlabelled). Returns host, n, bad, rate, lower (bound of the bad rate)."""
     hosts = keep(
         outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
-        .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}),
+        .withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}),
         "hosts",
     )
     add = lambda df, key: df.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -129,10 +149,14 @@ def host_posteriors(outcomes: DataFrame) -> DataFrame:
     return hosts.select("host", "n", "bad", "rate", (rate - F.lit(Z) * F.sqrt(rate * (1 - rate) / (F.col("total") + 1))).alias("lower"))
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, block_above: float = BLOCK_ABOVE) -> DataFrame:
-    """page_id, host, path, rule, verdict. The pages that a rule decides are the labelled outcomes."""
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, block_above: float = BLOCK_ABOVE, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule, verdict. The pages that a rule decides are the labelled outcomes.
+
+    They are a biased sample: rules name what their authors looked at, so rates tell about hosts like those, and the bound
+    only about chance. With labels of judged pages `host_posteriors` takes these instead.
+    """
     listed = with_rules(pages, rules)
-    scores = host_posteriors(listed.select("host", F.when(F.col("listed").isNotNull(), F.col("listed") == "block").alias("bad")))
+    scores = host_posteriors(listed.select("host", F.when(F.col("listed").isNotNull(), F.col("listed") == "block").alias("bad")), suffixes)
     bad = scores.select("host", (F.col("lower") > block_above).alias("bad_host"))
     return listed.join(bad, "host", "left").select(
         "page_id", "host", "path", "rule",
@@ -150,6 +174,7 @@ def oracle() -> str:
     rules = ",".join(f"({len(r)},'{r}','{v}','{split_rule(r)[0]}','{split_rule(r)[1]}')" for v, r in RULES)
     low, high = STRENGTH
     second = ",".join(f"'{x}'" for x in SECOND_LEVEL)
+    listed = " ".join(f"WHEN len(labels) >= {m} AND array_to_string(labels[-{m}:], '.') IN ({','.join(repr(x) for x in own)}) THEN {m}" for m, own in _by_labels(SUFFIXES))
 
     def level(name: str, source: str) -> str:
         return f"""
@@ -167,7 +192,7 @@ m AS (SELECT rid, rule, verdict FROM p JOIN rules ON (host = rhost OR ends_with(
   QUALIFY row_number() OVER (PARTITION BY rid ORDER BY len DESC, rule DESC) = 1),
 l AS (SELECT p.*, m.rule, m.verdict AS listed FROM p LEFT JOIN m USING (rid)),
 h0 AS (SELECT host, count(listed) AS n, count(*) FILTER (listed = 'block') AS bad, string_split(host, '.') AS labels FROM l GROUP BY host),
-h1 AS (SELECT *, CASE WHEN len(labels) > 1 AND length(labels[-1]) = 2 AND labels[-2] IN ({second}) THEN 2 ELSE 1 END AS k FROM h0),
+h1 AS (SELECT *, CASE {listed} WHEN len(labels) > 1 AND length(labels[-1]) = 2 AND labels[-2] IN ({second}) THEN 2 ELSE 1 END AS k FROM h0),
 h2 AS (SELECT host, n, bad, array_to_string(labels[-k:], '.') AS suffix, array_to_string(labels[greatest(len(labels) - k, 1):], '.') AS domain FROM h1),
 tot AS (SELECT (coalesce(sum(bad),0)+1.0)/(coalesce(sum(n),0)+2.0) AS prior, coalesce(sum(n),0)+2.0 AS behind FROM h2),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(prior) AS prior, any_value(behind) AS behind FROM h2, tot GROUP BY suffix),{level("s1", "s0")},

@@ -146,10 +146,13 @@ def test_reputation_shrinks_towards_the_domain(spark):
 
 
 def test_suffixes_and_domains(spark):
-    hosts = ["a.b.example.com", "a.example.co.uk", "com", "", "x.de"]
+    hosts = ["a.b.example.com", "a.example.co.uk", "com", "", "x.de", "a.me.github.io", "github.io", "www.abc.pvt.k12.ma.us", "x.y.kyoto.jp"]
     df = spark.createDataFrame([(x,) for x in hosts], "host string")
     got = [(r["s"], r["d"]) for r in df.select(h.suffix_of(F.col("host")).alias("s"), h.domain_of(F.col("host")).alias("d")).collect()]
-    assert got == [("com", "example.com"), ("co.uk", "example.co.uk"), ("com", "com"), ("", ""), ("de", "x.de")]
+    assert got == [("com", "example.com"), ("co.uk", "example.co.uk"), ("com", "com"), ("", ""), ("de", "x.de"), ("github.io", "me.github.io"), ("github.io", "github.io"), ("pvt.k12.ma.us", "abc.pvt.k12.ma.us"), ("kyoto.jp", "y.kyoto.jp")]
+    assert df.select(h.suffix_of(F.lit("a.b.c.d"), ("b.c.d",)).alias("s")).first()["s"] == "b.c.d" and df.select(h.suffix_of(F.lit("a.github.io"), ()).alias("s")).first()["s"] == "io"
+    null = spark.createDataFrame([(None, "http://a.org/es/1"), (None, None)], "page_id int, url string")
+    assert sorted(r["verdict"] for r in h.judge_urls(null).collect()) == ["allow", "block"]
 
 
 def test_licence_notices(spark):
@@ -192,6 +195,23 @@ def test_wrapped_and_embedded_licences(spark):
         assert abs(max((n["dice"] for n in rows[i]), default=0) - max(slow.values(), default=0)) < 1e-9, (i, slow)
 
 
+FILES = {
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+    "Apache-2.0": "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0",
+    "ISC": "Copyright (c) 2004 X\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "AGPL-3.0": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU Affero General Public License as\n    published by the Free Software Foundation, either version 3 of the\n    License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "Zlib": "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:",
+    "Unlicense": "This is free and unencumbered software released into\nthe public domain.",
+}
+
+
+def test_licence_files_as_published(spark):
+    rows = spark.createDataFrame([(k, f"{PAGE}\n{t}\n{'some code or other ' * 30}") for k, t in FILES.items()], "doc_id string, text string")
+    found = {r["doc_id"]: [n["license"] for n in r["notices"]] for r in l.scan_licenses(rows).collect()}
+    assert all(set(v) == {k} for k, v in found.items()), found
+
+
 def test_licence_plan_is_native(spark):
     plan = l.scan_licenses(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
