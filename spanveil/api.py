@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanveil import catalog
 from spanveil.operators import engine, lines, redact
+from spanveil.session import keep
 
 VERSION = "0.1"
 
@@ -68,17 +69,20 @@ class Result:
 
 
 def run(docs: DataFrame, options: Options = Options()) -> Result:  # noqa: B008 - frozen
-    """docs (doc_id, text). Rules, custom words and propagation, then aliases and redaction; only `aliases` holds values."""
+    """docs (doc_id, text). Rules, custom words and propagation, then aliases and redaction; only `aliases` holds values.
+
+    Hits are few against lines: they are found once, written to the shared folder, and read by all steps behind.
+    """
+    enabled = sorted(options.entities)
     own = lines.text_lines(docs, "doc_id")
-    hits = engine.rule_hits(own, sorted(options.entities))
-    words = None
+    hits = engine.rule_hits(own, enabled)
     if options.custom_words and "CUSTOM" in options.entities:
         listed = docs.sparkSession.createDataFrame([(w,) for w in options.custom_words], "word string")  # at most 500 rows
-        words = docs.select("doc_id").distinct().join(F.broadcast(listed), F.lit(True))
-        hits = hits.unionByName(engine.custom_hits(own, words))
-    ranked = engine.ranked(hits).withColumn("seed", F.lit(True))
-    seeds = engine.collect_seeds(ranked, custom=words, enabled=sorted(options.entities))
-    hits = hits.unionByName(engine.propagate(own, seeds, hits))
+        hits = hits.unionByName(engine.listed_hits(own, listed))
+    hits = keep(hits, "hits")
+    # Custom words need no seeds: all their occurrences are hits already.
+    seeds = engine.collect_seeds(engine.ranked(hits).withColumn("seed", F.col("source") != "custom"), enabled=enabled)
+    hits = hits.unionByName(keep(engine.propagate(own, seeds, hits), "further"))
     names = engine.aliases(engine.ranked(hits))
     with_alias = hits.join(names, ["doc_id", "type", "value"], "left")
     chosen = F.try_element_at(F.create_map(*[F.lit(x) for kv in options.styles.items() for x in kv]), F.col("type")) if options.styles else F.lit(None).cast("string")

@@ -57,26 +57,32 @@ def _starts_with_any(v: Column, words: list[str]) -> Column:
     return F.rlike(v, F.lit(r"\A(?:" + "|".join(words) + ")"))
 
 
+# Shapes of names with a dot, of Latin names, and of military documents.
+DOT_NAME = r"[一-龥]{1,8}(?:[·•][一-龥]{1,8}){1,3}"
+LATIN_NAME = r"[A-Z][a-z]+(?: ?[A-Z][a-z]+){1,2}"
+MILITARY_ID = r"[军士兵警文]{1,2}字?第?[0-9]{6,9}号?"
+
+
 def valid(kind: Column, v: Column) -> Column:
     """Whether a value is plausible for its type; types without a test accept every value that is not empty."""
     bare = F.regexp_replace(v, "[·•]", "")
     stops = lexicon.stop_words()
     heads = sorted({w[:n] for w in stops for n in range(2, len(w))})
-    name = F.when(F.rlike(v, F.lit(r"\A(?:[一-龥]{2,8}[·•][一-龥]{2,10}|[A-Za-z]{2,20}(?: ?[A-Za-z]{1,20}){0,3})\z")), True).otherwise(
+    name = F.when(F.rlike(v, F.lit(rf"\A(?:{DOT_NAME}|{LATIN_NAME})\z")), True).otherwise(
         F.rlike(v, F.lit(r"\A[一-龥·•]{2,5}\z"))
         & ~v.isin(*stops)
         & ~_starts_with_any(v, lexicon.NOT_NAME)
         & ~v.isin(*heads)
         & ~((F.length(bare) >= 5) & ~F.substring(v, 1, 2).isin(*lexicon.COMPOUND_SURNAMES) & (bare == v))
     )
-    odd = lambda: count_chars(v, "[^0-9A-Za-z]")
+    odd = lambda: count_chars(v, "[^0-9A-Za-z-]")
     alnum = count_chars(v, r"[\p{L}\p{N}]")
-    digits = count_chars(v, "[0-9]")
+    digits = count_chars(v, r"\p{Nd}")
     real = F.length(F.translate(v, lexicon.TEMPLATE_CHARS, ""))
     place = (F.length(v) >= 4) & (real >= 3)
     return F.when(F.coalesce(v, F.lit("")) == "", False).otherwise(
         F.when(kind.isin("PERSON", "STAFF"), name)
-        .when(kind == "ID_CARD", F.rlike(v, F.lit(r"\A[一-龥]{1,4}字?第?\d{5,10}号?\z")) | ((odd() <= 2) & (alnum >= 6)))
+        .when(kind == "ID_CARD", F.rlike(v, F.lit(rf"\A{MILITARY_ID}\z")) | ((odd() <= 2) & (alnum >= 6)))
         .when(kind == "PHONE", (digits >= 7) | F.rlike(v, F.lit(r"\A[A-Za-z][A-Za-z0-9_-]{4,29}\z")))
         .when(kind == "BANK_CARD", digits >= 12)
         .when(kind == "PLATE", (F.length(v) >= 6) & (alnum >= 5))
@@ -90,8 +96,7 @@ def valid(kind: Column, v: Column) -> Column:
 def is_name(v: Column, surnames: list[str] | None = None) -> Column:
     """A model's finding that looks like a name: 2 to 4 characters, a surname first, no common word."""
     core = F.regexp_replace(v, "[·•]", "")
-    long = [w for w in lexicon.NOT_NAME if len(w) >= 2]
-    return F.rlike(core, F.lit(r"\A[一-龥]{2,4}\z")) & surname_start(v, surnames) & ~v.isin(*lexicon.stop_words()) & ~_starts_with_any(v, long)
+    return F.rlike(core, F.lit(r"\A[一-龥]{2,4}\z")) & surname_start(v, surnames) & ~v.isin(*lexicon.stop_words()) & ~_starts_with_any(v, lexicon.NOT_NAME_START)
 
 
 def names_only(text: Column, surnames: list[str] | None = None) -> Column:

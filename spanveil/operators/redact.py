@@ -25,21 +25,25 @@ def replacement(style: Column, kind: Column, alias: Column, n: Column) -> Column
 def redact_lines(lines: DataFrame, hits: DataFrame, style: Column | None = None) -> DataFrame:
     """lines with `redacted`. hits (KEY, start, end, type[, alias]) may overlap: a span starts where the one before it ended.
 
-    Lines without hits pass unchanged.
+    Lines without hits pass unchanged. Spans are taken in order of their starts, in one pass.
     """
     with_alias = hits if "alias" in hits.columns else hits.withColumn("alias", F.lit(None).cast("string"))
     put = replacement(style if style is not None else F.lit("label"), F.col("type"), F.col("alias"), F.col("end") - F.col("start"))
     spans = with_alias.select(*KEY, F.struct(F.col("start").alias("start"), F.col("end").alias("end"), put.alias("put")).alias("s"))
     per_line = spans.groupBy(*KEY).agg(F.sort_array(F.collect_list("s")).alias("spans"))
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text, piece = F.col("text"), "struct<a:int,b:int,put:string>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{piece}>").alias("out")).cast(f"struct<at:int,out:array<{piece}>>")
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        added = F.concat(a["out"], F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.when(fresh, s["put"]).otherwise(F.lit("")))
-        return F.struct(F.greatest(a["at"], s["end"]).cast("int").alias("at"), added.alias("out"))
+    def step(s: Column, x: Column) -> Column:
+        kept = F.struct(s["at"].alias("a"), F.greatest(x["start"], s["at"]).alias("b"), F.when(x["start"] >= s["at"], x["put"]).otherwise(F.lit("")).alias("put"))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.array_append(s["out"], kept.cast(piece)).alias("out")).cast(f"struct<at:int,out:array<{piece}>>")
 
-    made = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    def put_together(s: Column) -> Column:
+        """What is kept before each span and what the span becomes, then the rest."""
+        parts = F.transform(s["out"], lambda p: F.concat(F.substring(text, p["a"] + 1, p["b"] - p["a"]), p["put"]))
+        return F.array_join(F.array_append(parts, F.substring(text, s["at"] + 1, F.length(text))), "")
+
+    made = F.aggregate("spans", start, step, put_together)
     return lines.join(per_line, KEY, "left").withColumn("redacted", F.coalesce(made, text)).drop("spans")
 
 
@@ -67,6 +71,20 @@ def report_json(items: DataFrame) -> DataFrame:
     return totals.join(listed, "doc_id").select("doc_id", F.to_json(F.struct("counts", "items")).alias("report"))
 
 
+def report_summary(reports: DataFrame) -> DataFrame:
+    """What listings carry of reports (job_id, pages, counts, elapsed_sec, output, verification, visual_verification struct<status, pages, findings,
+    model_version>, visual_concerns): states and counts, no coordinates."""
+    check = F.col("visual_verification")
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    short = F.when(check.isNotNull(), F.struct(check["status"].alias("status"), check["pages"].alias("pages"), check["model_version"].alias("model_version"), size(check["findings"]).alias("findings_count")))
+    return reports.select("job_id", "pages", "counts", "elapsed_sec", "output", "verification", short.alias("visual_verification"), size(F.col("visual_concerns")).alias("visual_concerns_count"))
+
+
+def audit(entries: DataFrame, path: str) -> None:
+    """Append export records (event, job_id, pages, boxes) to a log of JSON lines, with the time and nothing of any content."""
+    entries.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssZ").alias("time"), "event", "job_id", "pages", "boxes").write.mode("append").json(path)
+
+
 def evidence_status(enabled: Column, applicable: Column, pages_in: Column, pages_out: Column, residual: Column) -> Column:
     """Outcome of checking the output with a model: disabled, not_applicable, error on a page mismatch, review, passed."""
     return (

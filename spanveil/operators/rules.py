@@ -20,7 +20,8 @@ BANK_GROUPED = r"(?<![\d ])\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,4})?(?!\d)"
 TRAVEL_CUE = r"(?:护照|通行证|台胞证|回乡证|证件)(?:号码|号)?[^\dA-Za-z]{0,6}"
 TRAVEL = r"[A-Z]{1,2}\d{7,9}(?![\dA-Za-z])"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PLATE = r"[京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁琼][A-HJ-NP-Z][·•.\s]?[A-HJ-NP-Z0-9]{4}[A-HJ-NP-Z0-9挂学警港澳]{1,2}"
+PLATE_HEAD = r"[京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁琼][A-HJ-NP-Z]"
+PLATE = PLATE_HEAD + r"[·•.\s]?[A-HJ-NP-Z0-9]{4}[A-HJ-NP-Z0-9挂学警港澳]{1,2}"
 DATE = r"(?:(?:19|20)\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}|(?:19|20)\d{6}(?:\d{4,6})?)"
 HOSPITAL_SUFFIX = "(?:医院|卫生院|卫生服务中心|卫生服务站|保健院|医疗中心|医学中心|诊所|门诊部|急救中心|疾病预防控制中心|体检中心|血站|医科大学|医学院)"
 ORG_SUFFIX = "(?:有限责任公司|股份有限公司|有限公司|集团|银行|保险公司|事务所|委员会|管理局|人民政府)"
@@ -29,8 +30,8 @@ BOUNDARY_WORDS = "患者 本人 家属 同意 告知 须知 住院 入院 出院
 BOUNDARY_CHARS = "在到于往至经由从的是请对"
 
 HIT = "array<struct<prio:int,start:int,end:int,type:string,value:string>>"
-#: A line without a trait below has no match of these priorities.
-GATES = {"number": r"\d{4}", "mail": "@", "plate": "[京-龥][A-HJ-NP-Z]", "org": HOSPITAL_SUFFIX + "|" + ORG_SUFFIX}
+#: A line without a trait below has no match of these priorities: each is part of all their patterns.
+GATES = {"number": r"\d{4}", "mail": "@", "chinese": "[一-龥]", "plate": PLATE_HEAD, "org": HOSPITAL_SUFFIX + "|" + ORG_SUFFIX}
 
 
 def _hits(prio: int, kind: str, found: Column, ok=None) -> Column:
@@ -86,12 +87,11 @@ def candidates(text: Column) -> Column:
         _hits(7, "BANK_CARD", find_all(text, BANK_GROUPED), lambda x: F.length(_digits(x["value"])).between(16, 19) & luhn_ok(_digits(x["value"]))),
         _hits(8, "ID_CARD", find_all(text, TRAVEL, TRAVEL_CUE)),
     )
-    return F.concat(
-        numbers,
-        gated("mail", _hits(9, "EMAIL", find_all(text, EMAIL))),
+    chinese = F.concat(
         gated("plate", _hits(10, "PLATE", find_all(text, PLATE))),
         gated("org", _hits(11, "ORG", _hospitals(text)), _hits(12, "ORG", _companies(text))),
     )
+    return F.concat(numbers, gated("mail", _hits(9, "EMAIL", find_all(text, EMAIL))), gated("chinese", chinese))
 
 
 def find(text: Column) -> Column:

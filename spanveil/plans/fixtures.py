@@ -498,7 +498,7 @@ def seed_rules(spark):
     return engine.collect_seeds(spark.createDataFrame(SEED_HITS, HITS), own, custom).select("doc_id", "value", "type", "ord")
 
 
-@case("propagate_rules", "line start end type value", [(0, 0, 3, "PERSON", "王小明"), (0, 4, 7, "PERSON", "王小朋"), (1, 0, 8, "ORG", "澄岚市第二人民院"), (2, 2, 5, "PERSON", "王小明")])
+@case("propagate_rules", "line start end type value", [(0, 0, 3, "PERSON", "王小明"), (0, 4, 7, "PERSON", "王小明"), (1, 0, 8, "ORG", "澄岚市第一人民院"), (2, 2, 5, "PERSON", "王小明")])
 def propagate_rules(spark):
     own = [(1, 0, 0, "王小明和王小朋、李小明"), (1, 0, 1, "澄岚市第二人民院，王大明天来"), (1, 0, 2, "患者王小明王小明")]
     df = spark.createDataFrame(own, "doc_id int, page int, line int, text string")

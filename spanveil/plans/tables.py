@@ -9,7 +9,7 @@ from spanveil import api
 from spanveil.functions.text import find_all
 from spanveil.operators import engine, jobs, lines, metrics, redact, regions, rules
 from spanveil.plans.registry import query
-from spanveil.session import table
+from spanveil.session import keep, table
 
 EMAIL_SQL = rules.EMAIL.replace("'", "''")
 
@@ -222,8 +222,9 @@ def redact_black(spark, sf_dir):
 def residual_check(spark, sf_dir):
     """Hits per type before redaction, and those that detection still finds in the redacted lines."""
     own = doc_lines(spark, sf_dir)
-    hits = engine.rule_hits(own)
-    again = engine.rule_hits(redact.redact_lines(own, hits, F.lit("black")).select(*engine.KEY, F.col("redacted").alias("text")))
+    hits = keep(engine.rule_hits(own), "hits")
+    touched = own.join(hits.select(*engine.KEY).distinct(), engine.KEY, "left_semi")  # no other line has changed
+    again = engine.rule_hits(redact.redact_lines(touched, hits, F.lit("black")).select(*engine.KEY, F.col("redacted").alias("text")))
     before, after = hits.groupBy("type").agg(F.count("*").alias("before")), again.groupBy("type").agg(F.count("*").alias("residual"))
     return before.join(after, "type", "left").select("type", "before", F.coalesce("residual", F.lit(0)).alias("residual"))
 
