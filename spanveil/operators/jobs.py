@@ -57,10 +57,57 @@ def verify_keys(requests: DataFrame, keys: DataFrame) -> DataFrame:
     return requests.withColumn("key_hash", hash_key(F.col("key"))).join(live, "key_hash", "left").select("request_id", "key_id")
 
 
+def new_keys(requests: DataFrame, existing: DataFrame, prefix: str = "key_") -> DataFrame:
+    """requests (id, name, secret, created) -> rows of the key table: id, name, prefix, key_hash, created, last_used, revoked.
+
+    Of the secret only the hash is kept, and its first characters for display; names keep 64 characters. A secret whose hash exists, be it of a revoked key,
+    gives no row and must be drawn again.
+    """
+    name = F.coalesce(F.nullif(F.substring(F.trim("name"), 1, 64), F.lit("")), F.lit("unnamed"))
+    made = requests.select("id", name.alias("name"), F.substring("secret", 1, len(prefix) + 5).alias("prefix"), hash_key(F.col("secret")).alias("key_hash"), F.col("created").cast("double").alias("created"))
+    fresh = made.join(existing.select("key_hash"), "key_hash", "left_anti").dropDuplicates(["key_hash"])
+    none = F.lit(None).cast("double")
+    return fresh.select("id", "name", "prefix", "key_hash", "created", none.alias("last_used"), none.alias("revoked"))
+
+
+def revoke(keys: DataFrame, ids: list[str], now: float) -> DataFrame:
+    """The key table with some keys revoked; those that were keep their time."""
+    return keys.withColumn("revoked", F.when(F.col("id").isin(*ids) & F.col("revoked").isNull(), F.lit(float(now))).otherwise(F.col("revoked")))
+
+
+def last_used(keys: DataFrame, uses: DataFrame, seconds: float = 60.0) -> DataFrame:
+    """The key table with `last_used` after uses (key_id, at): written at most once in so many seconds, so a use counts only if it comes later than
+    that after the one written before it. Folded over a key's uses by the second."""
+    entry = F.sort_array(F.collect_set(F.col("at").cast("double")))
+    own = uses.groupBy(F.col("key_id").alias("id")).agg(entry.alias("__at"))
+    step = lambda last, at: F.when(last.isNull() | (at - last > seconds), at).otherwise(last)
+    return keys.join(own, "id", "left").withColumn("last_used", F.aggregate(F.coalesce("__at", F.array().cast("array<double>")), F.col("last_used").cast("double"), step)).drop("__at")
+
+
+def usage(keys: DataFrame, jobs: DataFrame) -> DataFrame:
+    """id, active, jobs: whether each key is live, and how many jobs it owns."""
+    per = jobs.groupBy(F.col("owner").alias("id")).agg(F.count("*").alias("jobs"))
+    return keys.join(per, "id", "left").select("id", F.col("revoked").isNull().alias("active"), F.coalesce("jobs", F.lit(0)).alias("jobs"))
+
+
+#: Columns that job tables of earlier versions lack.
+ADDED = {"owner": "string", "name": "string"}
+
+
+def migrate(old: DataFrame, new: DataFrame | None = None) -> DataFrame:
+    """A job table of an earlier version with the columns it lacks, null for its rows, and the rows of a newer one behind it."""
+    full = old.withColumns({c: F.lit(None).cast(t) for c, t in ADDED.items() if c not in old.columns})
+    return full if new is None else full.unionByName(new, allowMissingColumns=True)
+
+
 def over_limit(failures: DataFrame, client: str, at: str, seconds: int = SECONDS, limit: int = FAILURES) -> DataFrame:
-    """Failures that find `limit` or more failures of their client in the seconds before: the batch form of the limiter.
+    """Failures that find `limit` or more failures of their client in the seconds before: the batch form of the limiter. `at` is in microseconds.
 
-    It counts blocked attempts too, so after a client's first block it may report more than the stateful form.
+    It counts blocked attempts too, so after a client's first block it may report more than the stateful form. Rows are windowed by client and slice of that
+    many seconds, each also standing in the next slice as one of those before: a client with many failures spreads over its slices.
     """
-    by = Window.partitionBy(client).orderBy(at).rangeBetween(-seconds * 1_000_000, -1)
-    return failures.withColumn("before", F.count("*").over(by)).where(F.col("before") >= limit)
+    width = seconds * 1_000_000
+    own = F.floor(F.col(at) / width)
+    spread = failures.withColumn("__s", F.explode(F.array(F.struct(own.alias("slice"), F.lit(True).alias("own")), F.struct((own + 1).alias("slice"), F.lit(False).alias("own")))))
+    by = Window.partitionBy(client, "__s.slice").orderBy(at).rangeBetween(-width, -1)
+    return spread.withColumn("before", F.count("*").over(by)).where(F.col("__s.own") & (F.col("before") >= limit)).drop("__s")

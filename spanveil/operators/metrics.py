@@ -95,6 +95,12 @@ def summarise_sets(scored: DataFrame, sets: list[list[str]]) -> DataFrame:
     return scored.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(*_counts())
 
 
+def variant_costs(docs: DataFrame) -> DataFrame:
+    """variant, extras, sec_per_page of documents (doc_id, variant, pages, elapsed, extras): what is painted too much, and time."""
+    per = F.sum("elapsed") / F.greatest(F.sum("pages"), F.lit(1))
+    return docs.groupBy("variant").agg(F.sum("extras").alias("extras"), F.round(per, 1).alias("sec_per_page"))
+
+
 def score_prose(names: DataFrame, hits: DataFrame) -> DataFrame:
     """names (doc_id, start, end, role) with `covered` and `got`: whether the union of hits holds every character of a name, and the
     type found at its first. hits: doc_id, start, end, type.

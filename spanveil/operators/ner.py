@@ -55,34 +55,45 @@ def decode(tags: DataFrame) -> DataFrame:
     return runs.groupBy("id", "run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.avg(F.col("b") + F.col("i")).alias("score")).drop("run")
 
 
-def accepted(found: DataFrame) -> DataFrame:
-    """Names (value, score, after) of sufficient score that look like names and are not the start of a drug's."""
-    drug = F.rlike("after", F.lit("^(?:霉素|沙星|西林|他汀|地平|普利|洛尔|唑|片|胶囊|注射)"))
-    return found.where((F.col("score") >= LEAST_SCORE) & is_name(F.col("value")) & ~drug)
+# Words that follow a name and may be taken into it, ends of drugs' names, and words near a name that tell its bearer's role.
+AFTER_NAME = "主任 代为 护士 医师 医生 大夫 教授 表示 要求".split()
+DRUG_TAILS = "霉素 沙星 西林 他汀 洛尔 地平 普利 沙坦 替丁 拉唑 咪唑 硝唑 韦林 卡因 松片 片 胶囊 注射液 颗粒 口服液".split()
+STAFF_CUES = "医师 医生 主任 护士长 护士 护师 教授 大夫 术者 助手 麻醉 主刀 查房 会诊 院长 药师 技师 治疗师".split()
+PERSON_CUES = "患者 病人 家属 之女 之子 女儿 儿子 妻子 丈夫 母亲 父亲 配偶 陪护 陪同 亲属 监护人 代为 本人 女婿 儿媳 孙女 孙子 外甥 联系".split()
+CUE_WINDOW = 8
+SEED_SCORE = 0.97
 
 
-# Words near a name that tell its bearer's role.
-STAFF_CUES = "医师 医生 主任 护士 教授 术者 助手 查房 会诊 讨论".split()
-PERSON_CUES = "患者 家属 患儿 病人 之女 之子 配偶 陪同 代理".split()
+def accepted(found: DataFrame, surnames: list[str] | None = None) -> DataFrame:
+    """Findings (id, text, start, end, score) that are names, with `value` and `seed`.
 
-
-def roles(names: DataFrame) -> DataFrame:
+    Ends that begin a word of AFTER_NAME are cut off; what is left must score enough, look like a name, and not be the start of a drug's.
+    """
+    rest = lambda e: F.substring("text", e + 1, F.length("text"))
+    begins = F.lit("^(?:" + "|".join(AFTER_NAME) + ")")
+    # The longest end from which on every shorter one begins such a word; at least one character stays.
+    cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.col("end") - F.col("start") - 1, F.lit(1))), lambda n: (F.col("end") - F.col("start") > n) & F.rlike(rest(F.col("end") - n), begins))
+    whole = F.aggregate(cuts, F.lit(0), lambda a, n: F.when(n == a + 1, n).otherwise(a))
+    cut = found.withColumn("end", (F.col("end") - whole).cast("int"))
+    named = cut.withColumn("value", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
+    drug = F.rlike(rest(F.col("end")), F.lit("^(?:" + "|".join(DRUG_TAILS) + ")"))
+    return named.where((F.col("score") >= LEAST_SCORE) & is_name(F.col("value"), surnames) & ~drug).withColumn("seed", F.col("score") >= SEED_SCORE)
+
+
+def roles(names: DataFrame, enabled: list[str] | None = None) -> DataFrame:
     """names (id, start, end, text) with `type`: the nearer cue within eight characters decides, names joined by a comma or "and" share
-    the nearest cue of their group; without a cue, or at equal distance, a person."""
+    the nearest cue of their group; without a cue, or at equal distance, a person. A type that is not enabled becomes the other."""
 
     def distance(words: list[str]) -> Column:
-        hits = [
-            F.array_min(F.filter(F.array(*cand), lambda d: d.isNotNull()))
-            for w in words
-            for cand in [[
-                F.when(F.instr(F.substring("text", F.col("end") + 1, F.lit(8)), w) > 0, F.instr(F.substring("text", F.col("end") + 1, F.lit(8)), w) - 1),
-                _before(w),
-            ]]
-        ]
-        return F.coalesce(F.least(*hits), F.lit(99))
+        return F.coalesce(F.least(*[d for w in words for d in (_behind(w), _before(w))]), F.lit(99))
+
+    def _behind(w: str) -> Column:
+        at = F.instr(F.substring("text", F.col("end") + 1, F.lit(CUE_WINDOW + len(w))), w)
+        return F.when(at > 0, at - 1)
 
     def _before(w: str) -> Column:
-        head = F.substring("text", F.greatest(F.col("start") - 7, F.lit(1)), F.least(F.col("start"), F.lit(8)))
+        n = CUE_WINDOW + len(w)
+        head = F.substring("text", F.greatest(F.col("start") - n + 1, F.lit(1)), F.least(F.col("start"), F.lit(n)))
         at = F.instr(F.reverse(head), w[::-1])
         return F.when((F.col("start") > 0) & (at > 0), at - 1)
 
@@ -93,6 +104,8 @@ def roles(names: DataFrame) -> DataFrame:
     grouped = grouped.withColumn("g", F.sum("fresh").over(order))
     by = Window.partitionBy("id", "g")
     kind = F.when(F.min("s").over(by) < F.min("p").over(by), "STAFF").otherwise("PERSON")
+    if enabled is not None:
+        kind = F.when(kind.isin(*enabled), kind).otherwise(F.lit("PERSON" if "PERSON" in enabled else "STAFF"))
     return grouped.withColumn("type", kind).drop("s", "p", "fresh", "g")
 
 

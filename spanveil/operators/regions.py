@@ -12,26 +12,35 @@ PAGE = ["doc_id", "page"]
 
 
 def span_rects(hits: DataFrame, chars: DataFrame) -> DataFrame:
-    """hits (doc_id, page, line, start, end, ocr, strict) with `rect`: the box of their characters, padded by shares of the text height.
+    """hits (doc_id, page, line, start, end, source, ocr, strict) with `rect`: the box of their characters, padded by shares of the text height.
 
-    chars: doc_id, page, line, place, box. Padding stops half way to neighbours on the line. An equi-join on the line with a range
-    condition; a hit that covers no character has no row.
+    chars: doc_id, page, line, place, box. Padding never reaches neighbours on the line, nor characters of the lines above and below, which
+    it meets half way at most. A hit that covers no character has no row.
     """
-    c = chars.select(*PAGE, "line", F.col("place").alias("c_place"), F.col("box").alias("c_box"))
-    near = hits.join(c, [*PAGE, "line"]).where((F.col("c_place") >= F.col("start") - 1) & (F.col("c_place") <= F.col("end")))
+    c = chars.select(*PAGE, F.col("line").alias("c_line"), F.col("place").alias("c_place"), F.col("box").alias("c_box"))
+    own_line = hits.join(c, PAGE).where((F.col("c_line") == F.col("line")) & (F.col("c_place") >= F.col("start") - 1) & (F.col("c_place") <= F.col("end")))
     inside = (F.col("c_place") >= F.col("start")) & (F.col("c_place") < F.col("end"))
-    b, keys = F.col("c_box"), [k for k in hits.columns]
-    boxes = near.groupBy(*keys).agg(
+    b, keys = F.col("c_box"), list(hits.columns)
+    boxes = own_line.groupBy(*keys).agg(
         *[f(F.when(inside, b[k])).alias(k) for f, k in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))],
         F.max(F.when(F.col("c_place") == F.col("start") - 1, b["x1"])).alias("left"),
         F.min(F.when(F.col("c_place") == F.col("end"), b["x0"])).alias("right"),
     ).where("x0 IS NOT NULL")
     h = F.greatest(F.col("y1") - F.col("y0"), F.lit(4.0))
-    px = h * F.when(F.col("ocr"), F.when(F.col("strict"), 0.2).otherwise(0.12)).otherwise(0.12)
-    py = h * F.when(F.col("ocr"), F.when(F.col("strict"), 0.2).otherwise(0.14)).otherwise(0.12)
-    x0 = F.greatest(F.col("x0") - px, F.coalesce((F.col("left") + F.col("x0")) / 2, F.col("x0") - px))
-    x1 = F.least(F.col("x1") + px, F.coalesce((F.col("right") + F.col("x1")) / 2, F.col("x1") + px))
-    return boxes.select(*keys, rect(x0, F.col("y0") - py, x1, F.col("y1") + py).alias("rect"))
+    more = F.when(F.col("ocr") & (F.col("source") == "anchor"), 0.1).otherwise(0.0)
+    px = h * (F.when(F.col("ocr") & F.col("strict"), 0.2).otherwise(0.12) + more)
+    py = h * (F.when(F.col("ocr"), F.when(F.col("strict"), 0.2).otherwise(0.14)).otherwise(0.12) + more)
+    padded = boxes.withColumns({
+        "h": h, "px0": F.greatest(F.col("x0") - px, F.coalesce(F.col("left") + 1, F.col("x0") - px)), "px1": F.least(F.col("x1") + px, F.coalesce(F.col("right") - 1, F.col("x1") + px)),
+        "top": F.col("y0") - py, "bottom": F.col("y1") + py, "mid": (F.col("y0") + F.col("y1")) / 2,
+    })
+    near = (F.col("p.doc_id") == F.col("c.doc_id")) & (F.col("p.page") == F.col("c.page")) & (F.col("c_line") != F.col("p.line")) & (b["x1"] > F.col("px0")) & (b["x0"] < F.col("px1"))
+    joined = padded.alias("p").join(c.alias("c"), near & (b["y1"] > F.col("top")) & (b["y0"] < F.col("bottom")), "left")
+    cy = (b["y0"] + b["y1"]) / 2
+    above, under = cy < F.col("y0") + 0.3 * F.col("h"), cy > F.col("y1") - 0.3 * F.col("h")
+    group = [F.col("p." + k).alias(k) for k in (*keys, "x0", "x1", "px0", "px1", "top", "bottom", "mid")]
+    cut = joined.groupBy(*group).agg(F.max(F.when(above, F.least(b["y1"] + 1, F.col("mid")))).alias("up"), F.min(F.when(~above & under, F.greatest(b["y0"] - 1, F.col("mid")))).alias("down"))
+    return cut.select(*keys, rect(F.least("px0", "x0"), F.greatest("top", F.coalesce("up", "top")), F.greatest("px1", "x1"), F.least("bottom", F.coalesce("down", "bottom"))).alias("rect"))
 
 
 def _together(a: Column, b: Column) -> Column:
@@ -102,6 +111,39 @@ def suppress(boxes: DataFrame, same: float = 0.45, cross: float = 0.8) -> DataFr
     return out.select(*PAGE, F.col("b.type").alias("type"), (-F.col("b.minus")).alias("score"), F.col("b.r").alias("rect"))
 
 
+def tiles(pages: DataFrame, share: float = 0.65, least: int = 1000) -> DataFrame:
+    """doc_id, page, x0, y0, x1, y1: what a model sees of each page (doc_id, page, width, height) - the whole, and of pages with a longer side than
+    `least` also four overlapping corners of `share` of each side."""
+    w, h = F.col("width"), F.col("height")
+    cw, ch = F.floor(w * share).cast("double"), F.floor(h * share).cast("double")
+    corner = lambda x, y: rect(x, y, x + cw, y + ch)
+    corners = [corner(x, y) for y in (F.lit(0.0), h - ch) for x in (F.lit(0.0), w - cw)]
+    whole = rect(F.lit(0.0), F.lit(0.0), w, h)
+    return pages.select(*PAGE, F.explode(F.when(F.greatest(w, h) > least, F.array(whole, *corners)).otherwise(F.array(whole))).alias("t")).select(*PAGE, "t.*")
+
+
+def stamp_parts(boxes: DataFrame, stamps: DataFrame) -> DataFrame:
+    """Model boxes (doc_id, page, type, score, rect) where those that are a stamp's (doc_id, page, seal), or an arc at its rim, are of type SEAL."""
+    s, r = F.col("seal"), F.col("rect")
+    dx = (r["x0"] + r["x1"] - s["x0"] - s["x1"]) / F.greatest(s["x1"] - s["x0"], F.lit(1.0))
+    dy = (r["y0"] + r["y1"] - s["y0"] - s["y1"]) / F.greatest(s["y1"] - s["y0"], F.lit(1.0))
+    rim = (F.coalesce(F.try_divide(intersection(r, s), area(r)), F.lit(0.0)) > 0.85) & (dx * dx + dy * dy > 0.55)
+    numbered = boxes.withColumn("__id", F.monotonically_increasing_id())
+    part = numbered.join(stamps.select(*PAGE, "seal"), PAGE).where((overlap(r, s) > 0.8) | rim).select("__id", F.lit(True).alias("__seal")).distinct()
+    out = numbered.join(part, "__id", "left")
+    return out.withColumn("type", F.when(F.col("__seal"), "SEAL").otherwise(F.col("type"))).drop("__id", "__seal")
+
+
+def too_many(boxes: DataFrame, most: int = 100) -> DataFrame:
+    """doc_id, page of the pages with more boxes than a model may find without review."""
+    return boxes.groupBy(*PAGE).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*PAGE)
+
+
+def effective_bands(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, bands: over how many bands (keys, band, n) pixels really spread, (sum n)^2 / sum n^2; the lower, the more concentrated."""
+    return pixels.groupBy(*keys).agg((F.pow(F.sum("n").cast("double"), F.lit(2)) / F.greatest(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(1.0))).alias("bands"))
+
+
 def pick_class(logits: Column, names: list[str], least: float) -> Column:
     """struct<type, score>: the greatest logit's class and its logistic, null if too weak or not one of the wanted names."""
     best = F.array_position(logits, F.array_max(logits)).cast("int")

@@ -12,6 +12,7 @@ from spanveil.functions import geometry as g
 from spanveil.functions import text as tx
 from spanveil.functions import validators as v
 from spanveil.operators import anchors, engine, jobs, lines, metrics, ner, regions, review, rules, templates
+from spanveil.plans.case_sql import CASE_SQL
 from spanveil.plans.registry import query
 from spanveil.sources import files
 
@@ -28,10 +29,15 @@ def _sql(x) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+#: The stated rows of each case, by name.
+EXPECTED: dict[str, tuple[list[str], list[tuple]]] = {}
+
+
 def case(name: str, columns: str, expected: list[tuple]):
-    """Register f(spark) under a name with its expected rows; integers are compared as BIGINT."""
+    """Register f(spark) under a name with its expected rows, as SQL that works them out where there is some; integers are compared as BIGINT."""
     names = columns.split()
-    oracle = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in expected) + ") t(" + ", ".join(f'"{n}"' for n in names) + ")"
+    EXPECTED[name] = names, expected
+    oracle = CASE_SQL.get(name) or "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in expected) + ") t(" + ", ".join(f'"{n}"' for n in names) + ")"
 
     def register(f: Callable[[SparkSession], DataFrame]):
         @query(name, oracle)
@@ -389,7 +395,7 @@ def review_checks(spark):
     return review.check_items(df, F.lit(1)).select("id", "problem", F.get("box", F.lit(0)).alias("x0"))
 
 
-@case("coco_export", "image_id category_id x y w h", [(1, 2, 20.0, 40.0, 60.0, 20.0), (1, 1, 0.0, 0.0, 100.0, 150.0)])
+@case("coco_export", "image_id category_id x y w h", [(1, 10, 20.0, 40.0, 60.0, 20.0), (1, 9, 0.0, 0.0, 100.0, 150.0)])
 def coco_export(spark):
     items = spark.createDataFrame([(1, "PERSON", [0.1, 0.1333, 0.4, 0.2], "black"), (1, "ORG", [0.0, 0.0, 0.5, 0.5], "label"), (1, "WATERMARK", [0.0, 0.0, 1.0, 1.0], "label")], ITEM)
     pages = spark.createDataFrame([(1, 200.0, 300.0)], "page int, width double, height double")
@@ -442,33 +448,81 @@ def ner_roles(spark):
 
 
 def _form_lines(spark, rows: list[tuple]) -> DataFrame:
-    """(doc_id, text, source, {index: extra gap}): characters ten pixels wide and high, on one line each."""
+    """(doc_id, text, source, {index: extra gap}[, {index: score}[, {index: height}]]): characters ten pixels wide and high, on one line each."""
     out = []
-    for doc, text, source, gaps in rows:
+    for doc, text, source, gaps, *more in rows:
         x, x0s = 0.0, []
         for k in range(len(text)):
             x += gaps.get(k, 0)
             x0s.append(x)
             x += 10.0
-        out.append((doc, 0, 0, text, source, x0s, [a + 10.0 for a in x0s], 0.0, 10.0))
-    return spark.createDataFrame(out, "doc_id int, page int, line int, text string, source string, x0s array<double>, x1s array<double>, y0 double, y1 double")
+        scores, heights = (more[k] if len(more) > k else {} for k in (0, 1))
+        sure, high = [scores.get(k, 1.0) for k in range(len(text))], [heights.get(k, 10.0) for k in range(len(text))]
+        out.append((doc, 0, 0, text, source, x0s, [a + 10.0 for a in x0s], 0.0, 10.0, sure, high))
+    return spark.createDataFrame(out, "doc_id int, page int, line int, text string, source string, x0s array<double>, x1s array<double>, y0 double, y1 double, scores array<double>, hs array<double>")
 
 
 ALL = ["PERSON", "STAFF", "ORG", "ADDRESS", "ID_CARD", "PHONE", "BANK_CARD", "USCC", "PLATE", "MEDICAL_ID", "SIGNATURE"]
 FORMS = [
     (1, "姓名：张小明性别：女", "text", {6: 20}), (2, "主治医师王一住院医师李二", "text", {4: 12, 6: 30, 10: 12}), (3, "患者无腹痛，大便正常", "text", {}), (4, "由家属陪同就诊（患者", "text", {}),
     (5, "签名", "text", {}), (6, "医生：郑杰雪", "ocr", {}), (7, "主管医师☑主管护士☑", "text", {}), (8, "定点医疗机构代码：H12345678901", "text", {}), (9, "经办机构经办人：王小明", "text", {}), (10, "联系电话：13912345678某某省某某市", "text", {}),
+    # Common words with handwriting behind them: sure or tall names, unsure ones without a surname, and prose.
+    (11, "医生钱学真", "ocr", {}), (12, "患者高远山", "ocr", {}, {}, {2: 16.0, 3: 16.0, 4: 16.0}), (13, "患者壹远羲山", "ocr", {}, {2: 0.4, 3: 0.7, 4: 0.9, 5: 0.9}), (14, "患者壹远羲山", "ocr", {}),
+    (15, "患者平稳", "ocr", {}), (16, "患者病情平稳，医生建议明日出院。", "ocr", {}), (17, "医生钱学真", "text", {}),
+    # Values away from their labels.
+    (18, "患者已阅读并理解以上内容。", "text", {2: 120}), (19, "上级医师 仉督", "text", {5: 60}), (20, "麻醉医师签名 护理", "text", {7: 150}), (21, "上级医师 执行时间", "text", {5: 60}),
+    # Words that are no names, long and dotted names, and codes behind roles.
+    (22, "医师：查看患者后", "text", {}), (23, "医师：司马光明子", "text", {}), (24, "医师：阿依·古丽", "text", {}), (25, "责任护士代码：N8678381085", "text", {}), (26, "床位费315.00", "text", {}),
+    # Chains of labels and notes in brackets.
+    (27, "受委托人/亲属（或监护人）：", "text", {}), (28, "见证人（签字）：", "text", {}), (29, "可由直系亲属/近亲属/委托代理人(代理律师等)签署。", "ocr", {}),
+    (30, "上级医师签名：", "ocr", {}), (31, "谈话医生：", "ocr", {}), (32, "我已了解以上风险，自愿接受。签名", "ocr", {}), (33, "由谈话医生告知病情", "ocr", {}),
+    (34, "病案质量：甲乙丙质控医师质检护士陈小梅质检日期2023年10月29日", "ocr", {8: 30, 12: 30, 16: 30, 19: 30}), (35, "地址：某某省某某市某某镇长青街8号", "text", {}), (36, "患者已阅读并理解以上内容。", "text", {2: 50}),
 ]
 
 
-@case("anchor_hits", "doc_id type start end value seed", [(1, "PERSON", 3, 6, "张小明", True), (2, "STAFF", 4, 6, "王一", True), (2, "STAFF", 10, 12, "李二", True), (6, "STAFF", 3, 6, "郑杰雪", True), (8, "USCC", 9, 21, "H12345678901", True), (9, "STAFF", 8, 11, "王小明", True), (10, "PHONE", 5, 16, "13912345678", True)])
+@case("anchor_hits", "doc_id type start end value seed", [
+    (1, "PERSON", 3, 6, "张小明", True), (2, "STAFF", 4, 6, "王一", True), (2, "STAFF", 10, 12, "李二", True), (6, "STAFF", 3, 6, "郑杰雪", True), (8, "USCC", 9, 21, "H12345678901", True),
+    (9, "STAFF", 8, 11, "王小明", True), (10, "PHONE", 5, 16, "13912345678", True), (11, "STAFF", 2, 5, "钱学真", False), (12, "PERSON", 2, 5, "高远山", False), (13, "PERSON", 2, 6, "壹远羲山", False),
+    (19, "STAFF", 5, 7, "仉督", True), (23, "STAFF", 3, 8, "司马光明子", True), (24, "STAFF", 3, 8, "阿依·古丽", False), (25, "MEDICAL_ID", 7, 18, "N8678381085", True), (34, "STAFF", 16, 19, "陈小梅", True), (35, "ADDRESS", 3, 17, "某某省某某市某某镇长青街8号", True),
+])
 def anchor_hits(spark):
     return anchors.anchor(_form_lines(spark, FORMS), ALL)[0].select("doc_id", "type", "start", "end", "value", "seed")
 
 
-@case("anchor_fields", "doc_id type label", [(5, "SIGNATURE", "签名")])
+@case("anchor_fields", "doc_id type label", [
+    (5, "SIGNATURE", "签名"), (18, "HANDWRITTEN_FIELD", "患者"), (20, "SIGNATURE", "麻醉医师签名"), (21, "HANDWRITTEN_FIELD", "上级医师"), (27, "HANDWRITTEN_FIELD", "受委托人"), (28, "HANDWRITTEN_FIELD", "见证人"),
+    (30, "SIGNATURE", "上级医师签名"), (31, "HANDWRITTEN_FIELD", "医生"), (32, "SIGNATURE", "签名"),
+])
 def anchor_fields(spark):
-    return anchors.anchor(_form_lines(spark, [r for r in FORMS if r[0] in (3, 4, 5, 7)]), ALL)[1].select("doc_id", "type", "label")
+    return anchors.anchor(_form_lines(spark, [r for r in FORMS if r[0] in (3, 4, 5, 7, 18, 20, 21, *range(26, 34))]), ALL)[1].select("doc_id", "type", "label")
+
+
+@case("field_areas", "doc_id x0 x1", [(5, 21.5, 260.0), (18, 21.5, 80.0), (27, 141.5, 200.0), (30, 61.5, 300.0), (36, 21.5, 67.0)])
+def field_areas(spark):
+    """Right areas: to the width of their kind, or to printed text that is no value."""
+    found = anchors.anchor(_form_lines(spark, [r for r in FORMS if r[0] in (5, 18, 27, 30, 36)]), ALL)[1]
+    return found.select("doc_id", F.round("right_rect.x0", 4).alias("x0"), F.round("right_rect.x1", 4).alias("x1"))
+
+
+def _table_lines(spark):
+    """A table with its signature column last: texts at x and y, ten pixels a character."""
+    cells = [("日期", 100, 400), ("时间", 300, 400), ("护理措施", 500, 400), ("护士签名", 950, 400), ("护士长签名：", 700, 1000), ("第七页", 1400, 2200)]
+    for r in range(4):
+        cells += [("08:00", 300, 500 + 100 * r), ("夜间睡眠尚可，没有什么不适。" if r % 2 else "体温正常。", 500, 500 + 100 * r)]
+    rows = [(1, 0, i, t, "ocr", [x + 30.0 * k for k in range(len(t))], [x + 30.0 * k + 28 for k in range(len(t))], float(y), y + 30.0) for i, (t, x, y) in enumerate(cells)]
+    return spark.createDataFrame(rows, "doc_id int, page int, line int, text string, source string, x0s array<double>, x1s array<double>, y0 double, y1 double")
+
+
+@case("table_signatures", "label x0 y0 y1", [("护士签名", 784.0, 489.5, 540.5), ("护士签名", 927.0, 589.5, 640.5), ("护士签名", 784.0, 689.5, 740.5), ("护士签名", 927.0, 789.5, 840.5)])
+def table_signatures(spark):
+    pages = spark.createDataFrame([(1, 0, 1654.0)], "doc_id int, page int, width double")
+    return anchors.table_signatures(_table_lines(spark), pages).select("label", F.round("rect.x0", 4).alias("x0"), F.round("rect.y0", 4).alias("y0"), F.round("rect.y1", 4).alias("y1"))
+
+
+@case("row_stops", "s_x", [(0.0,), (40.0,), (60.0,), (200.0,)])
+def row_stops(spark):
+    """Stop words, a sign of a printed form, and printed text behind a blank."""
+    return anchors.row_stops(_form_lines(spark, [(1, "姓名甲乙性别口内外上下左右", "text", {7: 130})])).select("s_x")
 
 
 @case("date_signatures", "doc_id label", [(1, "日期"), (2, "日期"), (3, "日期缺日")])

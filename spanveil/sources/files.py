@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanveil.session import ship
+
 # First bytes of file kinds, in hexadecimal, and the extensions of the old office container.
 MAGIC = [("pdf", "255044462D"), ("jpg", "FFD8FF"), ("png", "89504E470D0A1A0A"), ("tif", "49492A00"), ("tif", "4D4D002A"), ("bmp", "424D"), ("rtf", "7B5C727466")]
 OLE, ZIP = "D0CF11E0A1B11AE1", "504B0304"
@@ -57,6 +59,18 @@ def _zip_kind(b: bytes) -> str | None:
         return next((k for k, x in ODF if b"mimetype" + x.encode() in head[:300]), next((k for k, x in ZIP_PARTS if x.encode() in head), None))
 
 
+def _shipped(f):
+    """The Arrow function f, for executors that get the package from the session that is active when it is used."""
+
+    def used(*columns) -> Column:
+        ship(SparkSession.active())
+        return f(*columns)
+
+    used.__doc__ = f.__doc__
+    return used
+
+
+@_shipped
 @F.arrow_udf(T.StringType())
 def zip_kind(content: pa.Array) -> pa.Array:
     """Kind of an office container by its members' names; null for other archives and other files."""
@@ -64,6 +78,7 @@ def zip_kind(content: pa.Array) -> pa.Array:
     return pa.array([_zip_kind(b) if b and b[:4] == bytes.fromhex(ZIP) else None for b in zips], type=pa.string())
 
 
+@_shipped
 @F.arrow_udf(T.BooleanType())
 def decodes_gb18030(content: pa.Array) -> pa.Array:
     def ok(b: bytes | None) -> bool:
@@ -78,6 +93,7 @@ def decodes_gb18030(content: pa.Array) -> pa.Array:
     return pa.array([ok(x.as_py()) for x in content], type=pa.bool_())
 
 
+@_shipped
 @F.arrow_udf(T.StringType())
 def decode_text(content: pa.Array) -> pa.Array:
     """UTF-8 with or without a mark, else GB 18030, else UTF-16; null if nothing fits."""
@@ -95,11 +111,17 @@ def decode_text(content: pa.Array) -> pa.Array:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """path, length, kind, content of every file under a folder."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     hint = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     return files.select("path", "length", sniff(F.col("content"), hint).alias("kind"), "content")
 
 
+def image_digest(content: Column) -> Column:
+    """What tells an embedded image's bytes: the first 16 digits of their SHA-1."""
+    return F.substring(F.sha1(content), 1, 16)
+
+
 def too_large(width: Column, height: Column) -> Column:
     return width.cast("long") * height.cast("long") > MAX_PIXELS
 
@@ -153,6 +175,7 @@ def clean_html(source: str | None) -> str | None:
     return "".join(c.out)
 
 
+@_shipped
 @F.arrow_udf(T.StringType())
 def sanitise(source: pa.Array) -> pa.Array:
     return pa.array([clean_html(x.as_py()) for x in source], type=pa.string())
