@@ -34,7 +34,7 @@ from spanveil.session import keep, shared_path, ship, table
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 #: Bytes of UTF-8 that belong to words; A-Z fall to lower case, all others to a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -166,29 +166,30 @@ def _result(text: str | None, n: int, items: list[str], hit) -> dict:
 
 
 def searcher(phrases):
-    """Arrow function text -> RESULT for one block of phrases; a shard may take several batches."""
+    """Arrow function text -> RESULT for one block of phrases; a batch is one shard, or several if it is larger."""
 
     @F.arrow_udf(RESULT)
-    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        p = phrases.value
+    def search(texts: pa.Array) -> pa.Array:
+        p, rows = phrases.value, []
         shard: list[str | None] = []
         size = 0
 
-        def found() -> pa.Array:
-            out = pa.array([_result(t, *r) for t, r in zip(shard, search_shard(shard, p))], type=_ARROW)
+        def flush() -> None:
+            rows.extend(_result(t, *r) for t, r in zip(shard, search_shard(shard, p)))
             shard.clear()
-            give_back()
-            return out
 
-        for texts in batches:
-            for t in texts:
-                s = t.as_py()
-                shard.append(s)
-                size += len(s) if s else 0
-                if size >= SHARD_BYTES:
-                    yield found()
-                    size = 0
-        yield found()
+        for t in texts:
+            s = t.as_py()
+            shard.append(s)
+            size += len(s) if s else 0
+            if size >= SHARD_BYTES:
+                flush()
+                size = 0
+        flush()
+        out = pa.array(rows, type=_ARROW)
+        del rows
+        give_back()
+        return out
 
     return search
 
@@ -254,7 +255,7 @@ def shard_builder(shortest: int):
                 rows.append(r.as_py())
                 texts.append(s)
                 size += len(s) if s else 0
-                if size >= SHARD_BYTES // 2:
+                if size >= SHARD_BYTES:
                     yield shard()
                     size = 0
         if rows:

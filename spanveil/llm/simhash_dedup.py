@@ -42,7 +42,7 @@ RADIUS = 3
 NODE = 1024
 FAN = 16
 DEPTH = 5
-PRINTS = 4
+PRINTS = 3
 _PIECE = 1 << 16
 
 
@@ -244,6 +244,8 @@ def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(batch)
     if held:
         yield solve(held)
+    held.clear()
+    give_back()
 
 
 def link_edges(values: DataFrame, node: int = NODE) -> DataFrame:
@@ -251,19 +253,19 @@ def link_edges(values: DataFrame, node: int = NODE) -> DataFrame:
     several fingerprints at once, tags being of one character."""
     parts, rows, depth = [], values, 2
     while True:
-        placed = _below(rows, depth)
-        sizes = placed.groupBy("path", "shared").count().where("count > 1")
+        # A node is told by a hash of its path and bits: rows stay short, and nodes that collide only compare more values.
+        placed = _below(rows, depth).select(F.xxhash64("path", "shared").alias("key"), "path", "fp", "id")
+        sizes = placed.groupBy("key").count().where("count > 1")
         if depth < DEPTH:
             sizes = keep(sizes, f"nodes{depth}")
-        small = placed.join(sizes.where(F.col("count") <= node) if depth < DEPTH else sizes, ["path", "shared"])
-        key = F.xxhash64("path", "shared")
+        small = placed.join(sizes.where(F.col("count") <= node) if depth < DEPTH else sizes, "key")
         # One task gets whole nodes of bounded size; rows of a node are in Gray order.
-        ordered = small.select(key.alias("key"), "fp", "id", "path", "shared").repartition("path", "shared").sortWithinPartitions("path", "shared", gray_rank(F.col("fp")))
-        parts.append(ordered.select("key", "fp", "id").mapInArrow(links_of, EDGE))
+        ordered = small.select("key", "fp", "id").repartition("key").sortWithinPartitions("key", gray_rank(F.col("fp")))
+        parts.append(ordered.mapInArrow(links_of, EDGE))
         large = sizes.where(F.col("count") > node) if depth < DEPTH else None
         if large is None or large.isEmpty():
             break
-        rows = keep(placed.join(large, ["path", "shared"]).select("path", "fp", "id"), f"large{depth}")
+        rows = keep(placed.join(large, "key").select("path", "fp", "id"), f"large{depth}")
         depth += 1
     edges = parts[0]
     for p in parts[1:]:
