@@ -1,10 +1,10 @@
 """SimHash near-duplicates: all links within a Hamming radius, found exactly, and their connected components.
 
 Fingerprints are reduced to distinct values first, so exact copies cost nothing further. The index is hierarchical: an
-upper node is a masked bit pattern that all its fingerprints share. The first two levels are laid out by Spark: by the pigeonhole
-principle two values that differ in at most 3 bits agree on one of four blocks, and on one of four blocks of the remaining bits, so
-every link lies inside one of 16 nodes (path, shared bits) of each value. Counting nodes first, with partial aggregation, tells
-three cases apart: single values are dropped, nodes of at most NODE values go to a task, and larger nodes are
+upper node is a masked bit pattern that all its fingerprints share. Spark lays out the upper levels: by the pigeonhole
+principle two values that differ in at most 3 bits agree on one of four blocks, and on one of four blocks of the remaining bits, and so on, so
+every link lies inside one of the four nodes (path, shared bits) of each value on the first level. Counting nodes first, with partial aggregation,
+tells two cases apart: nodes of at most NODE values go to a task, and larger nodes are
 split by the same principle on their remaining bits. Five levels fix 49 of 64 bits, so a node has at most 2 ** 15 distinct
 values however skewed the data: no cap on candidates is needed.
 
@@ -251,19 +251,20 @@ def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link_edges(values: DataFrame, node: int = NODE) -> DataFrame:
     """Edges (a, b), a > b, of ids whose fingerprints are connected within the radius; values: distinct (fp, id), or (tag, fp, id) for
     several fingerprints at once, tags being of one character."""
-    parts, rows, depth = [], values, 2
+    parts, rows, depth = [], values, 1
     while True:
         # A node is told by a hash of its path and bits: rows stay short, and nodes that collide only compare more values.
         placed = _below(rows, depth).select(F.xxhash64("path", "shared").alias("key"), "path", "fp", "id")
-        sizes = placed.groupBy("key").count().where("count > 1")
+        small, large = placed, None
         if depth < DEPTH:
-            sizes = keep(sizes, f"nodes{depth}")
-        small = placed.join(sizes.where(F.col("count") <= node) if depth < DEPTH else sizes, "key")
+            large = keep(placed.groupBy("key").count().where(F.col("count") > node).select("key"), f"nodes{depth}")
+            large = None if large.isEmpty() else large
+        if large is not None:
+            small = placed.join(large, "key", "left_anti")
         # One task gets whole nodes of bounded size; rows of a node are in Gray order.
         ordered = small.select("key", "fp", "id").repartition("key").sortWithinPartitions("key", gray_rank(F.col("fp")))
         parts.append(ordered.mapInArrow(links_of, EDGE))
-        large = sizes.where(F.col("count") > node) if depth < DEPTH else None
-        if large is None or large.isEmpty():
+        if large is None:
             break
         rows = keep(placed.join(large, "key").select("path", "fp", "id"), f"large{depth}")
         depth += 1
@@ -311,15 +312,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def copy_groups(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of every row of docs (doc_id, text), linked by any of the PRINTS fingerprints of distinct words."""
     ship(docs.sparkSession)
-    prints = keep(docs.select("doc_id", simhashes("text").alias("fps")), "prints")
-    sets = keep(prints.where("doc_id IS NOT NULL").groupBy("fps").agg(F.min("doc_id").alias("id")), "sets")
-    each = sets.select("id", F.posexplode("fps").alias("k", "fp")).select("id", F.col("k").cast("string").alias("tag"), "fp")
+    fps = [f"fp{k}" for k in range(PRINTS)]
+    made = docs.select("doc_id", simhashes("text").alias("fps"))
+    prints = keep(made.select("doc_id", *[F.get("fps", F.lit(k)).alias(c) for k, c in enumerate(fps)]), "prints")
+    sets = keep(prints.where("doc_id IS NOT NULL").groupBy(*fps).agg(F.min("doc_id").alias("id")), "sets")
+    each = sets.select("id", F.explode(F.array(*[F.struct(F.lit(str(k)).alias("tag"), F.col(c).alias("fp")) for k, c in enumerate(fps)])).alias("t")).select("id", "t.*")
     values = keep(each.groupBy("tag", "fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "values")
     shared = values.where("n > 1").select("tag", "fp", F.col("id").alias("b"))  # one fingerprint of different texts
     equal = each.select(F.col("id").alias("a"), "tag", "fp").join(shared, ["tag", "fp"]).where("a <> b").select("a", "b")
     linked = components(link_edges(values.select("tag", "fp", "id")).unionByName(equal).distinct())
-    labels = sets.join(linked.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("fps", F.coalesce("root", "id").alias("component_id"))
-    return prints.join(labels, "fps", "left").select("doc_id", "component_id")
+    labels = sets.join(linked.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select(*fps, F.coalesce("root", "id").alias("component_id"))
+    return prints.join(labels, fps, "left").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
