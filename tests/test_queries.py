@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from spanveil.plans import registry
+from spanveil.plans.case_sql import CASE_SQL
+from spanveil.plans.fixtures import EXPECTED
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,6 +23,13 @@ def plain(x):
     return "null" if x is None else f"{x:.6g}" if isinstance(x, float) else str(x).lower()
 
 
+def test_case_sql_works_out_the_stated_rows(con):
+    for name, sql in CASE_SQL.items():
+        columns, rows = EXPECTED[name]
+        found = con.sql(sql).project(", ".join(f'"{c}"' for c in columns)).fetchall()
+        assert sorted(tuple(map(plain, r)) for r in found) == sorted(tuple(map(plain, r)) for r in rows), name
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, con, name):
     df = registry.queries()[name](spark, SF)
