@@ -6,6 +6,7 @@ The others are tested against brute force, an exact round trip, or held-out accu
 from __future__ import annotations
 
 from spanveil.llm import (
+    conversation_trie,
     decontaminate,
     host_reputation,
     html_extract,
@@ -29,10 +30,12 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_conversation_trie": conversation_trie.op11_conversation_trie,
 }
 
 ORACLE_SQL = {
     "op3_host_reputation": host_reputation.oracle(),
     "op6_decontamination": decontaminate.ORACLE,
     "op9_license_scan": license_scan.oracle(),
+    "op11_conversation_trie": conversation_trie.ORACLE,
 }
