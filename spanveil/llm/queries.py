@@ -11,6 +11,7 @@ from spanveil.llm import (
     host_reputation,
     html_extract,
     language_id,
+    lexical_search,
     license_scan,
     packing,
     quality_classifier,
@@ -31,6 +32,7 @@ QUERIES = {
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_html_extract": html_extract.op10_html_extract,
     "op11_conversation_trie": conversation_trie.op11_conversation_trie,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
 }
 
 ORACLE_SQL = {
@@ -38,4 +40,5 @@ ORACLE_SQL = {
     "op6_decontamination": decontaminate.ORACLE,
     "op9_license_scan": license_scan.oracle(),
     "op11_conversation_trie": conversation_trie.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
 }
