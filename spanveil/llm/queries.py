@@ -14,6 +14,7 @@ from spanveil.llm import (
     lexical_search,
     license_scan,
     packing,
+    pii_crf,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -33,6 +34,7 @@ QUERIES = {
     "op10_html_extract": html_extract.op10_html_extract,
     "op11_conversation_trie": conversation_trie.op11_conversation_trie,
     "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_pii": pii_crf.op13_pii,
 }
 
 ORACLE_SQL = {
