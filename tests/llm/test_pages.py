@@ -91,10 +91,10 @@ def test_hostile_pages_take_linear_time():
     for piece in [*pieces, "<div>" * 3 + "</section></nav>"]:
         for end in ("", ">", '">'):
             start = time.process_time()
-            x.main_text(piece * (1_000_000 // len(piece)) + end)
-            assert time.process_time() - start < 15, (piece, end)
+            x.main_text(piece * (300_000 // len(piece)) + end)
+            assert time.process_time() - start < 3, (piece, end)
     assert x.main_text("x <b y z").endswith("x <b y z") or x.main_text("x <b y z") == ""
-    assert x.blocks("word <a b")[0][0] == "word <a b" and x.blocks("<p>one <a x='two>three</p>")[0][0] == "one three"
+    assert x.blocks("word <a b")[0].text == "word <a b" and x.blocks("<p>one <a x='two>three</p>")[0].text == "one three"
 
 
 def test_state_names_comment_ends_and_list_items():
@@ -107,7 +107,73 @@ def test_state_names_comment_ends_and_list_items():
 
 
 def test_tree_fits_its_table():
-    assert all(x.decide(r[:-1]) == r[-1] for r in x.LABELLED)
+    rows = x.labelled()
+    assert sum(x.decide(r[:-1]) == r[-1] for r in rows) >= 0.98 * len(rows)
+    used, todo = set(), [x.TREE]
+    while todo:
+        tree = todo.pop()
+        if isinstance(tree, tuple):
+            used.add(x.FEATURES[tree[0]])
+            todo += tree[2:]
+    assert {"words", "links", "words_before", "links_before", "words_after", "links_after", "share", "article", "elsewhere"} - used in (set(), {"links_before"}, {"links_after"}, {"words_before"}, {"words_after"}), used
+
+
+TEN = [f"Sentence number {k} of the story has quite a few words to read, hasn't it." for k in range(10)]
+BODY = "".join(f"<p>{t}</p>" for t in TEN)
+TEN_TEXT = "\n".join(TEN)
+
+
+def test_articles_are_whole():
+    """Wrappers, own headers, links and short ends inside an article."""
+    for name in ("related-work", "post-tags-content", "article-banner-text", "comments-free-text", "siteFooterStory"):
+        for outer in ("main", "article"):
+            assert x.main_text(f"<{outer}><div class='{name}'>{BODY}</div></{outer}>") == TEN_TEXT, (outer, name)
+    for head in ("<header><h1>Title</h1></header>", "<header class='entry-header'><h1>Title</h1></header>", "<div class='post-header'><h1>Title</h1></div>"):
+        assert x.main_text(f"<article>{head}{BODY}</article>") == "Title\n" + TEN_TEXT, head
+    assert x.main_text(f"<header class='site-header'><h1>Site name</h1></header><article>{BODY}</article>") == TEN_TEXT
+    assert x.main_text(f"<article><p><a href=x>A first paragraph that is a link</a></p>{BODY}</article>") == "A first paragraph that is a link\n" + TEN_TEXT
+    links = "".join(f"<li><a href=x>Author {k}, a paper</a></li>" for k in range(4))
+    assert x.main_text(f"<article>{BODY}<ol>{links}</ol></article>") == TEN_TEXT + "".join(f"\nAuthor {k}, a paper" for k in range(4))
+    nav = "<nav><a href=a>One</a><a href=b>Two</a></nav>"
+    assert x.main_text(f"{nav}<article>{BODY}<p>That is where the story ends for now.</p></article>{nav}") == TEN_TEXT + "\nThat is where the story ends for now."
+    assert x.main_text(f"<article><h1>A longer title of the story</h1><p><a href=x>By Jane Doe</a></p>{BODY}</article>") == "A longer title of the story\nBy Jane Doe\n" + TEN_TEXT
+    assert x.main_text(f"<article>{BODY}<pre>a <span class=comment># note</span> <code><span class=ad>x</span></code></pre><p>see the <span class=menu>File</span> entry</p></article>") == TEN_TEXT + "\na # note x\nsee the File entry"
+
+
+def test_marked_blocks_go():
+    """Furniture on paragraphs, cells, headings, inline and hidden elements, in the article as outside."""
+    for mark in ("<p class='cookie-notice'>We use cookies here.</p>", "<p class=advert>Buy this now.</p>", "<h2 class=newsletter>Our letter for you</h2>", "<p>", "<span class=advert>Buy more things</span>", "<div style='color:red; display: none'>Not to be seen</div>", "<p hidden>Not to be seen</p>", "<footer>Filed under things</footer>", "<div class=cookieBanner>We use cookies</div>", "<div class='author-social'>Find me</div>"):
+        assert x.main_text(f"<article>{BODY[:-4]} {mark if 'span' in mark else ''}</p>{'' if 'span' in mark else mark}</article>") == TEN_TEXT, mark
+    assert x.main_text(f"<table><tr><td class=nav><a href=a>One</a> <a href=b>Two</a><td class=content>{BODY}</td><td class=sidebar>Some other words that are not part of this story at all.</td></tr></table>") == TEN_TEXT
+    assert x.main_text(f"<article>{BODY}<h2>3 comments</h2><div><p>I liked this a lot, thank you very much for it.</p></div></article>") == TEN_TEXT
+    assert x.main_text(f"<div hidden><article>{BODY}</article></div>") == TEN_TEXT
+
+
+NAV = "<div><a href=a>Home</a></div><div><ul><li><a href=b>News</a><li><a href=c>About us</a><li><a href=d>Contact</a></ul></div>"
+LINE = "<div>Copyright 2024 All rights reserved</div>"
+LEAD, LAST = "<h1>The title of the story</h1>", "<p>So it ends.</p>"
+WANT = f"The title of the story\n{TEN_TEXT}\nSo it ends."
+#: Pages without article or main, each with the whole story and nothing else to find.
+PLAIN_PAGES = {
+    "divs": f"<body>{NAV}<div>{LEAD}{BODY}{LAST}</div>{LINE}",
+    "nested": f"<body><div>{NAV}<div><div>{LEAD}{BODY}{LAST}</div></div>{LINE}</div>",
+    "footer": f"<body>{NAV}<div>{LEAD}{BODY}{LAST}</div><footer><p>Copyright 2024 All rights reserved</p></footer>",
+    "comments": f"<body>{NAV}<div>{LEAD}{BODY}{LAST}</div><div><h3>2 Comments</h3><p>I liked this one very much, thank you for writing all of it.</p><p>Me too, and so did everyone else that I know.</p></div>{LINE}",
+    "sidebar": f"<body>{NAV}<div class=sidebar><p>Some words about the author that are long enough to look like a story of its own, aren't they.</p></div><div>{LEAD}{BODY}{LAST}</div>{LINE}",
+    "links": f"<body>{NAV}<div>{LEAD}{BODY}{LAST}</div><div><h3>Other stories</h3><ul><li><a href=a>The cat that came back home</a><li><a href=b>A dog in the rain</a></ul></div>{LINE}",
+    "table": f"<body><table><tr><td><a href=a>Home</a><br><a href=b>News</a></td><td>{LEAD}{BODY}{LAST}</td></tr><tr><td>Copyright 2024 All rights reserved</td></tr></table>",
+    "breaks": f"<body>{NAV}<div>{LEAD}{'<hr>'.join(TEN)}<hr>So it ends.</div>{LINE}",
+    "wrapped": f"<body>{NAV}<div>{LEAD}<div>{BODY}{LAST}</div></div>{LINE}",
+    "content": f"<body>{NAV}<div id=content>{LEAD}{BODY}{LAST}</div><div>Subscribe to our newsletter</div>{LINE}",
+    "search": f"<body><form><input> <p>Search this site</p></form>{NAV}<section>{LEAD}{BODY}{LAST}</section>{LINE}",
+    "bare": f"<body><nav><a href=a>Home</a></nav>{LEAD}{BODY}{LAST}<footer>Copyright 2024</footer>",
+    "cookies": f"<body><div>This site uses cookies. <a href=x>Privacy policy</a></div>{NAV}<div>{LEAD}{BODY}{LAST}</div>{LINE}",
+}
+
+
+def test_pages_without_an_article_element():
+    wrong = {k: x.main_text(page) for k, page in PLAIN_PAGES.items() if x.main_text(page) != WANT}
+    assert not wrong, wrong
 
 
 def test_pages_table(spark):
