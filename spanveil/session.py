@@ -53,7 +53,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Where none is set, a local master gets one of its own; on a cluster, a
+    """The folder that the driver and all executors share: what spark.checkpoint.dir names, a mounted file: path included. Where none is set, a local master gets one of its own; on a cluster, a
     machine's folder would not reach the others, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -83,7 +83,18 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, label) + "/t"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._spanveil_kept = path
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete tables that `keep` wrote and nothing reads any more: those of an iteration's finished rounds."""
+    for df in kept:
+        path = getattr(df, "_spanveil_kept", None)
+        if path:
+            hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
