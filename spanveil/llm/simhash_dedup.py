@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from spanveil.llm.fm_index import ranges
 from spanveil.llm.memory import give_back
-from spanveil.session import keep, ship, table
+from spanveil.session import discard, keep, ship, table
 
 SHINGLE = 3
 SEED = 42
@@ -42,7 +42,7 @@ RADIUS = 3
 NODE = 1024
 FAN = 16
 DEPTH = 5
-PRINTS = 3
+PRINTS = 6
 _PIECE = 1 << 16
 
 
@@ -286,12 +286,14 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        m = least(both).withColumn("m", F.least("a", "m"))
+        lows = least(both)
+        m = lows.withColumn("m", F.least("a", "m"))
         large = both.join(m, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         large = keep(large, "large")
         m = least(large)
         small = large.join(m, "a").select("b", "m").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         fresh = keep(small.unionByName(m.select("a", F.col("m").alias("b"))).distinct(), "small")
+        discard(now, lows, large, m)  # nothing reads a finished round's tables
         after = state(fresh)
         if after == seen:
             return fresh
@@ -299,13 +301,28 @@ def components(edges: DataFrame) -> DataFrame:
     return now
 
 
+def _numbered(firsts: DataFrame, id_type: T.DataType) -> DataFrame:
+    """firsts (..., name: least doc_id of its row) with `id`, a long in the order of the names: the name itself, or a number given along a sort."""
+    if isinstance(id_type, T.IntegralType):
+        return firsts.withColumn("id", F.col("name").cast("long"))
+    return firsts.orderBy("name").withColumn("id", F.monotonically_increasing_id())  # partitions of a sort ascend, and so do their numbers
+
+
+def _rooted(firsts: DataFrame, linked: DataFrame, id_type: T.DataType) -> DataFrame:
+    """firsts with component_id, the name of the least id that each reaches."""
+    roots = firsts.join(linked.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    if isinstance(id_type, T.IntegralType):
+        return roots.withColumn("component_id", F.col("root").cast(id_type))
+    return roots.join(firsts.select(F.col("id").alias("root"), F.col("name").alias("component_id")), "root")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp (signed 64-bit), component_id of every row of docs (doc_id, text)."""
     ship(docs.sparkSession)
+    id_type = docs.schema["doc_id"].dataType
     prints = keep(docs.select("doc_id", simhash("text").alias("fp")), "prints")
-    values = keep(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")), "values")
-    linked = components(link_edges(values)).select(F.col("a").alias("id"), F.col("b").alias("root"))
-    labels = values.join(linked, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+    values = keep(_numbered(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("name")), id_type), "values")
+    labels = _rooted(values, components(link_edges(values.select("fp", "id"))), id_type).select("fp", "component_id")
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -313,15 +330,16 @@ def copy_groups(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of every row of docs (doc_id, text), linked by any of the PRINTS fingerprints of distinct words."""
     ship(docs.sparkSession)
     fps = [f"fp{k}" for k in range(PRINTS)]
+    id_type = docs.schema["doc_id"].dataType
     made = docs.select("doc_id", simhashes("text").alias("fps"))
     prints = keep(made.select("doc_id", *[F.get("fps", F.lit(k)).alias(c) for k, c in enumerate(fps)]), "prints")
-    sets = keep(prints.where("doc_id IS NOT NULL").groupBy(*fps).agg(F.min("doc_id").alias("id")), "sets")
+    sets = keep(_numbered(prints.where("doc_id IS NOT NULL").groupBy(*fps).agg(F.min("doc_id").alias("name")), id_type), "sets")
     each = sets.select("id", F.explode(F.array(*[F.struct(F.lit(str(k)).alias("tag"), F.col(c).alias("fp")) for k, c in enumerate(fps)])).alias("t")).select("id", "t.*")
     values = keep(each.groupBy("tag", "fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "values")
     shared = values.where("n > 1").select("tag", "fp", F.col("id").alias("b"))  # one fingerprint of different texts
     equal = each.select(F.col("id").alias("a"), "tag", "fp").join(shared, ["tag", "fp"]).where("a <> b").select("a", "b")
     linked = components(link_edges(values.select("tag", "fp", "id")).unionByName(equal).distinct())
-    labels = sets.join(linked.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select(*fps, F.coalesce("root", "id").alias("component_id"))
+    labels = _rooted(sets, linked, id_type).select(*fps, "component_id")
     return prints.join(labels, fps, "left").select("doc_id", "component_id")
 
 

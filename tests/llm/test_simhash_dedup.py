@@ -82,6 +82,61 @@ def test_documents_with_nulls_and_copies(spark):
     assert kept.count(1) == 1 and 2 not in kept and 3 in kept and 4 not in kept
 
 
+def test_ids_of_any_type(spark):
+    """Text ids give the groups of numbers that sort alike; so do small integers."""
+    docs = documents(spark, [(20 + k, PROSE * 3 + (" x" if k % 2 else ""), "en", "a", None) for k in range(6)])
+    want = {(r["doc_id"], r["component_id"]) for r in d.near_groups(docs).collect()}
+    kept = sorted(str(r["doc_id"]) for r in d.drop_near_duplicates(docs).collect())
+    name = lambda x: None if x is None else f"id-{x:05d}"
+    texts = docs.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.concat(F.lit("id-"), F.lpad(F.col("doc_id").cast("string"), 5, "0"))))
+    assert {(r["doc_id"], r["component_id"]) for r in d.near_groups(texts).collect()} == {(name(a), name(b)) for a, b in want}
+    assert sorted(str(r["doc_id"]) for r in d.drop_near_duplicates(texts).collect()) == sorted(str(name(int(x))) if x != "None" else "None" for x in kept)
+    ints = docs.withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert {(r["doc_id"], r["component_id"]) for r in d.near_groups(ints).collect()} == want
+
+
+def near_pairs(docs):
+    """Pairs of different texts with 0.8 or more of their five-word shingles in common, one row a text, by all shared shingles."""
+    texts = {}
+    for i, t in sorted(docs):
+        if t:
+            texts.setdefault(" ".join(t.lower().split()), i)
+    shingles = {i: {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} for t, i in texts.items() for ws in [t.split()] if len(ws) >= 5}
+    where, shared = {}, {}
+    for i, own in shingles.items():
+        for x in own:
+            for j in where.setdefault(x, []):
+                shared[j, i] = shared.get((j, i), 0) + 1
+            where[x].append(i)
+    return [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(shingles[a]) + len(shingles[b]) - n)]
+
+
+def test_lone_edited_copies_have_links_of_their_own():
+    """Direct links of the table's pairs, and of texts with one to three words in a hundred changed, without any copy between."""
+    import duckdb
+
+    caught = []
+    for sf in ("sf0.01", "sf0.1"):
+        docs = duckdb.sql(f"SELECT doc_id, text FROM '/root/testdata/{sf}/documents.parquet' WHERE text IS NOT NULL").fetchall()
+        text = dict(docs)
+        pairs = near_pairs(docs)
+        linked = [any((x ^ y).bit_count() <= d.RADIUS for x, y in zip(d.word_prints(text[a]), d.word_prints(text[b]))) for a, b in pairs]
+        print(sf, "pairs with a link of their own:", sum(linked), "of", len(linked))
+        caught += linked
+    assert sum(caught) >= 0.9 * len(caught)
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + k) for k in rng.integers(0, 26, 6)) for _ in range(4000)]
+    hits = []
+    for _ in range(200):
+        own = [words[k] for k in rng.integers(0, 4000, int(rng.integers(60, 400)))]
+        copy = list(own)
+        for k in rng.choice(len(own), max(1, int(len(own) * rng.uniform(0.01, 0.02))), replace=False).tolist():
+            copy[k] = words[int(rng.integers(0, 4000))]
+        hits.append(any((x ^ y).bit_count() <= d.RADIUS for x, y in zip(d.word_prints(" ".join(own)), d.word_prints(" ".join(copy)))))
+    print("edited copies with a link of their own:", sum(hits) / len(hits))
+    assert sum(hits) >= 0.9 * len(hits)
+
+
 def test_empty_table(spark):
     empty = documents(spark).where(F.lit(False))
     assert d.near_groups(empty).count() == 0 and d.drop_near_duplicates(empty).count() == 0
