@@ -1,11 +1,12 @@
-"""Streams: failure limiter with state per client, jobs that fall due, and redaction of arriving documents."""
+"""Failure limiter with state per client, as a stream and over a table; jobs that fall due; redaction of arriving documents."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -59,6 +60,55 @@ def limiter(attempts: DataFrame, seconds: float = SECONDS, limit: int = FAILURES
     return timed.groupBy("client").applyInPandasWithState(step, DECISIONS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def history_pieces(attempts: DataFrame, seconds: float = SECONDS) -> DataFrame:
+    """attempts (client, seq, at, ok) with `piece`, the parts of a client's history between which nothing is remembered; null where nothing is remembered at all.
+
+    Time is cut into slices as long as the window. A slice without failures parts those before it from those behind it, so runs of slices with
+    failures are pieces; the slice behind a run still looks back into it. The window over slices has one row a slice with failures.
+    """
+    sliced = attempts.withColumn("__slice", F.floor(F.col("at") / F.lit(float(seconds))).cast("long"))
+    active = sliced.where("NOT ok").select("client", "__slice").distinct()
+    by = Window.partitionBy("client").orderBy("__slice")
+    fresh = F.coalesce(F.col("__slice") - F.lag("__slice").over(by) > 1, F.lit(True))
+    runs = active.withColumn("__fresh", fresh).withColumn("piece", F.max(F.when(F.col("__fresh"), F.col("__slice"))).over(by))
+    reach = runs.select("client", F.explode(F.array(F.col("__slice"), F.col("__slice") + 1)).alias("__slice"), "piece")
+    reach = reach.groupBy("client", "__slice").agg(F.max("piece").alias("piece"))
+    return sliced.join(reach, ["client", "__slice"], "left").drop("__slice")
+
+
+def _fold(seconds: float, limit: int):
+    """Arrow function over rows (client, piece, seq, at, ok) in order -> decisions; `limit` times are remembered."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, times = None, []
+        for batch in batches:
+            client, piece, seq, at, ok = (batch.column(k).to_pylist() for k in range(5))
+            out: list[str] = []
+            for c, p, t, good in zip(client, piece, at, ok):
+                if (c, p) != now:
+                    now, times = (c, p), []
+                decision, times = decide(times, [(t, good)], seconds, limit)
+                out += decision
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(out, pa.string())], names=["client", "seq", "at", "ok", "decision"])
+
+    return fold
+
+
+def decisions(attempts: DataFrame, seconds: float = SECONDS, limit: int = FAILURES) -> DataFrame:
+    """attempts (client, seq, at in seconds, ok) of a table with `decision`, as the stream decides them.
+
+    Refused attempts are not recorded, so a count depends on the decisions before it. Histories are cut where nothing is remembered, and their pieces
+    folded in parallel, each streamed in order with `limit` times in memory. A null `ok` is a failure; a client's attempts are ordered by (at, seq).
+    """
+    ship(attempts.sparkSession)
+    own = attempts.select("client", "seq", F.col("at").cast("double").alias("at"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    pieces = history_pieces(own, seconds)
+    schema = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in ("client", "seq", "at", "ok")) + ", decision string"
+    free = pieces.where("piece IS NULL").select("client", "seq", "at", "ok", F.lit("accepted").alias("decision"))  # no failure is near, nor are they one
+    rest = pieces.where("piece IS NOT NULL").repartition("client", "piece").sortWithinPartitions("client", "piece", "at", "seq")
+    return free.unionByName(rest.select("client", "piece", "seq", "at", "ok").mapInArrow(_fold(seconds, limit), schema))
+
+
 def failures_per_window(attempts: DataFrame, width: str = "10 minutes", slide: str = "1 minute", late: str = "5 minutes") -> DataFrame:
     """Failures of each client in sliding windows of event time; later rows than the watermark allows are dropped."""
     return attempts.withWatermark("ts", late).where("NOT ok").groupBy(F.window("ts", width, slide), "client").agg(F.count("*").alias("failures"))

@@ -1,4 +1,4 @@
-"""Queries over literal cases whose right results are stated as rows; all values are invented."""
+"""Literal cases whose right results are stated as rows; all values are invented."""
 
 from __future__ import annotations
 
@@ -12,39 +12,24 @@ from spanveil.functions import geometry as g
 from spanveil.functions import text as tx
 from spanveil.functions import validators as v
 from spanveil.operators import anchors, engine, jobs, lines, metrics, ner, regions, review, rules, templates
-from spanveil.plans.case_sql import CASE_SQL
-from spanveil.plans.registry import query
 from spanveil.sources import files
 
 
-def _sql(x) -> str:
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return "TRUE" if x else "FALSE"
-    if isinstance(x, float):
-        return f"CAST({x!r} AS DOUBLE)"
-    if isinstance(x, int):
-        return f"CAST({x} AS BIGINT)"
-    return "'" + x.replace("'", "''") + "'"
-
-
 #: The stated rows of each case, by name.
 EXPECTED: dict[str, tuple[list[str], list[tuple]]] = {}
 
 
+#: Cases by name.
+CASES: dict[str, Callable[[SparkSession], DataFrame]] = {}
+
+
 def case(name: str, columns: str, expected: list[tuple]):
-    """Register f(spark) under a name with its expected rows, as SQL that works them out where there is some; integers are compared as BIGINT."""
+    """Register f(spark) under a name with its expected rows."""
     names = columns.split()
     EXPECTED[name] = names, expected
-    oracle = CASE_SQL.get(name) or "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in expected) + ") t(" + ", ".join(f'"{n}"' for n in names) + ")"
 
     def register(f: Callable[[SparkSession], DataFrame]):
-        @query(name, oracle)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(spark)
-            return df.select(*[F.col(c).cast("long").alias(c) if df.schema[c].dataType.typeName() in ("integer", "short", "byte") else F.col(c) for c in names])
-
+        CASES[name] = f
         return f
 
     return register

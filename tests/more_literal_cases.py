@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions import geometry as g
 from spanveil.operators import fields, jobs, metrics, ner, redact, regions, review, templates
-from spanveil.plans.fixtures import TEMPLATE, _form_lines, _template_page, case
+from tests.literal_cases import TEMPLATE, _form_lines, _template_page, case
 from spanveil.sources import files
 
 

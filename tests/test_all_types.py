@@ -1,7 +1,7 @@
 """The general queries over a table that holds all rule types, against the hits of the literal cases."""
 
 from spanveil.plans import registry
-from spanveil.plans.fixtures import RULE_HITS, RULE_LINES
+from tests.literal_cases import RULE_HITS, RULE_LINES
 
 
 def test_general_queries_cover_all_rules(spark, tmp_path):

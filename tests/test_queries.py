@@ -4,8 +4,9 @@ import duckdb
 import pytest
 
 from spanveil.plans import registry
-from spanveil.plans.case_sql import CASE_SQL
-from spanveil.plans.fixtures import EXPECTED
+from tests import more_literal_cases  # noqa: F401  registers its cases
+from tests.case_sql import CASE_SQL
+from tests.literal_cases import CASES, EXPECTED
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,6 +31,13 @@ def test_case_sql_works_out_the_stated_rows(con):
         assert sorted(tuple(map(plain, r)) for r in found) == sorted(tuple(map(plain, r)) for r in rows), name
 
 
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_literal_case(spark, name):
+    columns, rows = EXPECTED[name]
+    found = CASES[name](spark).select(*columns).collect()
+    assert sorted(tuple(map(plain, r)) for r in found) == sorted(tuple(map(plain, r)) for r in rows)
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, con, name):
     df = registry.queries()[name](spark, SF)
