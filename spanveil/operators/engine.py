@@ -15,6 +15,7 @@ from spanveil.catalog import label_of
 from spanveil.functions.text import MARK, first_come, hamming, occurrences, places, quoted
 from spanveil.functions.validators import surname_start
 from spanveil.operators import rules
+from spanveil.operators.dictionary import find_words
 
 KEY = ["doc_id", "page", "line"]
 SOURCES = {"rule": 0, "custom": 1, "anchor": 2, "template": 3, "ner": 4, "propagate": 5}
@@ -56,12 +57,10 @@ def custom_hits(lines: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def listed_hits(lines: DataFrame, words: DataFrame) -> DataFrame:
-    """Literal occurrences of the words (word) of one short list for all documents: one row that every line's task gets and
-    tests in place, so that only pairs with a match become rows."""
-    listed = words.where(F.length("word") >= 2).agg(F.array_sort(F.collect_set("word")).alias("ws"))
-    with_list = lines.select(*KEY, "text", listed.scalar().alias("ws"))
-    there = F.filter("ws", lambda w: F.contains(F.col("text"), w))
-    return _word_hits(with_list.select(*KEY, "text", F.explode(there).alias("word")))
+    """Literal occurrences of the words (word) of one list for all documents, of any length, found by one automaton in one pass; per word
+    non-overlapping. Words of fewer than two characters don't count."""
+    found = find_words(lines, words.where(F.length("word") >= 2), KEY, "each")
+    return found.select(*KEY, F.lit("CUSTOM").alias("type"), F.lit("custom").alias("source"), F.lit(0).alias("prio"), "start", "end", "value")
 
 
 def without_overlaps(hits: DataFrame, taken: DataFrame) -> DataFrame:

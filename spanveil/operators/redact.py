@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spanveil.catalog import label_of
 from spanveil.functions.geometry import normalised
+from spanveil.functions.text import bind
+from spanveil.operators import rules
 from spanveil.operators.engine import KEY
 from spanveil.operators.lines import synthetic_box
 
@@ -22,29 +24,58 @@ def replacement(style: Column, kind: Column, alias: Column, n: Column) -> Column
     return out.otherwise(F.concat(F.lit("["), label_of(kind), F.lit("]")))
 
 
-def redact_lines(lines: DataFrame, hits: DataFrame, style: Column | None = None) -> DataFrame:
-    """lines with `redacted`. hits (KEY, start, end, type[, alias]) may overlap: a span starts where the one before it ended.
+_PIECE = "struct<a:int,b:int,put:string>"
 
-    Lines without hits pass unchanged. Spans are taken in order of their starts, in one pass.
-    """
-    with_alias = hits if "alias" in hits.columns else hits.withColumn("alias", F.lit(None).cast("string"))
-    put = replacement(style if style is not None else F.lit("label"), F.col("type"), F.col("alias"), F.col("end") - F.col("start"))
-    spans = with_alias.select(*KEY, F.struct(F.col("start").alias("start"), F.col("end").alias("end"), put.alias("put")).alias("s"))
-    per_line = spans.groupBy(*KEY).agg(F.sort_array(F.collect_list("s")).alias("spans"))
-    text, piece = F.col("text"), "struct<a:int,b:int,put:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{piece}>").alias("out")).cast(f"struct<at:int,out:array<{piece}>>")
+
+def put_into(text: Column, spans: Column) -> Column:
+    """text with spans (struct<start, end, put>, ordered by start, possibly overlapping) replaced: a span starts where the one before it ended."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PIECE}>").alias("out")).cast(f"struct<at:int,out:array<{_PIECE}>>")
 
     def step(s: Column, x: Column) -> Column:
         kept = F.struct(s["at"].alias("a"), F.greatest(x["start"], s["at"]).alias("b"), F.when(x["start"] >= s["at"], x["put"]).otherwise(F.lit("")).alias("put"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.array_append(s["out"], kept.cast(piece)).alias("out")).cast(f"struct<at:int,out:array<{piece}>>")
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.array_append(s["out"], kept.cast(_PIECE)).alias("out")).cast(f"struct<at:int,out:array<{_PIECE}>>")
 
     def put_together(s: Column) -> Column:
         """What is kept before each span and what the span becomes, then the rest."""
         parts = F.transform(s["out"], lambda p: F.concat(F.substring(text, p["a"] + 1, p["b"] - p["a"]), p["put"]))
         return F.array_join(F.array_append(parts, F.substring(text, s["at"] + 1, F.length(text))), "")
 
-    made = F.aggregate("spans", start, step, put_together)
-    return lines.join(per_line, KEY, "left").withColumn("redacted", F.coalesce(made, text)).drop("spans")
+    return F.aggregate(spans, start, step, put_together)
+
+
+def redact_lines(lines: DataFrame, hits: DataFrame, style: Column | None = None) -> DataFrame:
+    """lines with `redacted`. hits (KEY, start, end, type[, alias]) may overlap. Lines without hits pass unchanged.
+
+    For hits that come from elsewhere than the line itself, such as propagated ones; `redact_own` needs no join.
+    """
+    with_alias = hits if "alias" in hits.columns else hits.withColumn("alias", F.lit(None).cast("string"))
+    put = replacement(style if style is not None else F.lit("label"), F.col("type"), F.col("alias"), F.col("end") - F.col("start"))
+    spans = with_alias.select(*KEY, F.struct(F.col("start").alias("start"), F.col("end").alias("end"), put.alias("put")).alias("s"))
+    per_line = spans.groupBy(*KEY).agg(F.sort_array(F.collect_list("s")).alias("spans"))
+    text = F.col("text")
+    return lines.join(per_line, KEY, "left").withColumn("redacted", F.coalesce(put_into(text, F.col("spans")), text)).drop("spans")
+
+
+def redacted_by_rules(text: Column, hits: Column, style: Column | None = None) -> Column:
+    """text with the hits of `rules.find` replaced, in the row itself; hits of a line don't overlap."""
+    put = lambda h: replacement(style if style is not None else F.lit("label"), h["type"], F.lit(None).cast("string"), h["end"] - h["start"])
+    spans = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), put(h).alias("put"))))
+    return F.when(F.size(hits) > 0, put_into(text, spans)).otherwise(text)
+
+
+def redact_own(lines: DataFrame, style: Column | None = None) -> DataFrame:
+    """lines with `redacted`: what the rules find in a line is replaced in its own row; no shuffle."""
+    found = bind(lines, "__hits", rules.find(F.col("text")))
+    return found.withColumn("redacted", redacted_by_rules(F.col("text"), F.col("__hits"), style)).drop("__hits")
+
+
+def residual(lines: DataFrame, style: Column | None = None) -> DataFrame:
+    """type, before, residual: hits of each type, and those that the rules find in the redacted lines; both in a line's own row."""
+    found = bind(lines, "__hits", rules.find(F.col("text"))).where(F.size("__hits") > 0)
+    again = rules.find(redacted_by_rules(F.col("text"), F.col("__hits"), style if style is not None else F.lit("black")))
+    kinds = lambda hits, left: F.transform(hits, lambda h: F.struct(h["type"].alias("type"), F.lit(left).alias("left")))
+    each = found.select(F.explode(F.concat(kinds(F.col("__hits"), 0), kinds(again, 1))).alias("h"))
+    return each.groupBy(F.col("h.type").alias("type")).agg(F.count_if(F.col("h.left") == 0).alias("before"), F.count_if(F.col("h.left") == 1).alias("residual"))
 
 
 def report_items(hits: DataFrame, width: float = 1200.0, height: float = 1700.0) -> DataFrame:
