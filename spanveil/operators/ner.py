@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.functions.text import let
 from spanveil.functions.validators import is_name
+from spanveil.operators import quantiles
 from spanveil.operators.engine import KEY
 
 WINDOW, STRIDE = 200, 160
@@ -18,11 +18,10 @@ def segments(lines: DataFrame) -> DataFrame:
 
     A line goes on in the next if it reaches 85 % of the page's 80th percentile width and does not end a sentence.
     """
-    page = Window.partitionBy("doc_id", "page")
-    widths = F.sort_array(F.collect_list("width").over(page))
-    p80 = let(widths, lambda w: F.get(w, (F.size(w) * 0.8).cast("int")))
-    order = page.orderBy("line")
-    full = (F.col("width") >= 0.85 * p80) & ~F.rlike("text", F.lit("[。；！？]$"))
+    order = Window.partitionBy("doc_id", "page").orderBy("line")
+    p80 = quantiles.exact(lines, ["doc_id", "page"], "width", {"p80": 0.8}).drop("n")  # one value a page
+    lines = lines.join(p80, ["doc_id", "page"])
+    full = (F.col("width") >= 0.85 * F.col("p80")) & ~F.rlike("text", F.lit("[。；！？]$"))
     goes_on = lines.withColumn("full", full)
     fresh = goes_on.withColumn("fresh", F.coalesce((~F.lag("full").over(order)).cast("int"), F.lit(1)))
     runs = fresh.withColumn("segment", F.sum("fresh").over(order))

@@ -35,7 +35,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from spanveil.plans import derived, searches, tables  # noqa: F401
+    from spanveil.plans import derived, mechanisms, searches, tables  # noqa: F401
 
 
 _load()

@@ -199,8 +199,8 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
 def bio_tags(sentences: DataFrame) -> DataFrame:
     """id, text, entities [[start, end, label]] -> id, pos, ch, tag: B- at an entity's first character, I- inside, else O."""
     chars = sentences.select("id", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("pos", "ch"))
-    spans = sentences.select("id", F.explode("entities").alias("e")).select("id", F.col("e.start").alias("s"), F.col("e.end").alias("t"), F.col("e.label").alias("label"))
-    joined = chars.join(spans, (chars["id"] == spans["id"]) & (chars["pos"] >= spans["s"]) & (chars["pos"] < spans["t"]), "left").drop(spans["id"])
+    spans = sentences.select(F.col("id").alias("sid"), F.explode("entities").alias("e")).select("sid", F.col("e.start").alias("s"), F.col("e.end").alias("t"), F.col("e.label").alias("label"))
+    joined = chars.join(spans, (F.col("id") == F.col("sid")) & (F.col("pos") >= F.col("s")) & (F.col("pos") < F.col("t")), "left").drop("sid")
     tag = F.when(F.col("label").isNull(), "O").otherwise(F.concat(F.when(F.col("pos") == F.col("s"), "B-").otherwise("I-"), F.col("label")))
     one = joined.withColumn("tag", tag).withColumn("rn", F.row_number().over(Window.partitionBy("id", "pos").orderBy("s", "t", "label")))
     return one.where("rn = 1").select("id", "pos", "ch", "tag")
