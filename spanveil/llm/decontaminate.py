@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -56,21 +56,25 @@ def words(text: str | None) -> list[bytes]:
 class Phrases:
     """The windows of one block of items: vocabulary, distinct windows, and the items that have each."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], set[int]] = {}
-        self.items = sorted({i for i, _ in items})
-        number = {i: k for k, i in enumerate(self.items)}
+        number: dict[str, int] = {}
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for item, ws in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in ws]  # 0 ends, 1 separates
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                seen.setdefault(tuple(ids[k : k + window]), set()).add(number[item])
-        self.lengths = np.array([len(w) for w in seen], np.int64)
-        self.phrases = np.zeros((len(seen), window), np.int32)
-        for k, w in enumerate(seen):
-            self.phrases[k, : len(w)] = w
-        self.owner_start = np.concatenate(([0], np.cumsum([len(v) for v in seen.values()]))).astype(np.int64)
-        self.owners = np.array([i for v in seen.values() for i in sorted(v)], np.int64)
+            k = number.setdefault(item, len(number))
+            ids = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in ws), np.int32, len(ws))  # 0 ends, 1 separates
+            if 0 < len(ids) < window:
+                rows.append(np.pad(ids, (0, window - len(ids)))[None, :])
+            elif len(ids):
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+            owners.append(np.full(max(1, len(ids) - window + 1) if len(ids) else 0, k, np.int64))
+        # Rows of numbers throughout: a window is never an object of its own.
+        self.items = list(number)
+        self.phrases, at = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        pairs = np.unique(at.reshape(-1) * max(1, len(number)) + np.concatenate(owners))
+        self.owners = pairs % max(1, len(number))
+        self.owner_start = np.searchsorted(pairs // max(1, len(number)), np.arange(len(self.phrases) + 1)).astype(np.int64)
+        self.lengths = (self.phrases > 0).sum(1).astype(np.int64)
         self.shortest = int(self.lengths.min(initial=window))
         self.size = len(self.vocabulary) + 2
 
@@ -227,8 +231,8 @@ def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLO
 
 
 def phrases_of(pieces: DataFrame, window: int) -> Phrases:
-    """The windows of one block, whose words the driver may hold: at most BLOCK_WORDS."""
-    return Phrases([(r["item"], r["piece"].encode("utf-8", "surrogatepass").split(b" ")) for r in pieces.select("item", "piece").collect()], window)
+    """The windows of one block, whose words the driver may hold: at most BLOCK_WORDS. They come one by one and leave as arrays."""
+    return Phrases(((r["item"], r["piece"].encode("utf-8", "surrogatepass").split(b" ")) for r in pieces.select("item", "piece").toLocalIterator()), window)
 
 
 def shard_builder(shortest: int):
@@ -298,6 +302,13 @@ def _united(texts: pa.Array, items: pa.Array, hits: pa.Array) -> pa.Array:
     return pa.array([_result(t.as_py(), len(words(t.as_py())), i.as_py() or [], h.as_py() or []) for t, i, h in zip(texts, items, hits)], type=_ARROW)
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that docs has not."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
+
+
 def annotate(docs: DataFrame, benchmark: DataFrame, name: str = "contamination", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with one more column RESULT: words, hit words, items and removal spans of each text."""
     spark = docs.sparkSession
@@ -306,18 +317,19 @@ def annotate(docs: DataFrame, benchmark: DataFrame, name: str = "contamination",
     sc = spark.sparkContext
     if blocks == 1:
         return docs.withColumn(name, searcher(sc.broadcast(phrases_of(pieces, window)))("text"))
-    own = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
+    row, items, hits = (_free(c, docs) for c in ("row", "items", "hits"))
+    own = keep(docs.withColumn(row, F.monotonically_increasing_id()), "docs")
     shortest = min(window, pieces.agg(F.min(F.size(F.split("piece", " ")))).first()[0])
-    shards = keep(own.select("__row", "text").mapInArrow(shard_builder(shortest), "rows array<long>, shard binary"), "shards")
+    shards = keep(own.select(row, "text").mapInArrow(shard_builder(shortest), "rows array<long>, shard binary"), "shards")
     schema, path = "__row long, items array<string>, hits array<int>", shared_path(spark, "found")
     for k in range(blocks):
         block = sc.broadcast(phrases_of(pieces.where(F.col("block") == k), window))
         shards.mapInArrow(block_searcher(block), schema).write.parquet(f"{path}/block={k}")
         block.destroy()
     found = spark.read.schema(schema + ", block int").parquet(path)
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias("__" + c)
-    merged = found.groupBy("__row").agg(union("items"), union("hits"))
-    joined = own.join(merged, "__row", "left").withColumn(name, _united("text", "__items", "__hits"))
+    union = lambda c, to: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(to)
+    merged = found.groupBy(F.col("__row").alias(row)).agg(union("items", items), union("hits", hits))
+    joined = own.join(merged, row, "left").withColumn(name, _united("text", items, hits))
     return joined.select(*[c for c in docs.columns if c != name], name)
 
 
@@ -345,17 +357,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     By the one-in-twenty rule a document with less overlap is clean, and clean text is not altered; who wants its passages gone as
     well cuts them out by `without_spans`.
     """
-    return annotate(docs, benchmark, "__contamination").where(~contaminated(F.col("__contamination"))).drop("__contamination")
+    name = _free("contamination", docs)
+    return annotate(docs, benchmark, name).where(~contaminated(F.col(name))).drop(name)
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
-    """Counts, items and the contamination flag of every document."""
+    """Counts, items, the contamination flag and the spans to be removed (code points, end exclusive) of every document."""
     found = annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     r = F.col("contamination")
     return found.select(
         "doc_id", r["n_words"].alias("n_words"), r["n_hit"].alias("n_hit"), F.size(r["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array(r["items"]), ","), 256).alias("items_sha256"),
-        contaminated(r).alias("contaminated"),
+        contaminated(r).alias("contaminated"), F.array_join(F.transform(r["spans"], lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"),
     )
 
 
@@ -383,8 +396,14 @@ bw AS (SELECT DISTINCT item_id, array_to_string(w[i:i+{WINDOW - 1}], ' ') AS g,
 sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT rid, i, n, array_to_string(w[i:i+n-1], ' ') AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 hits AS (SELECT rid, i, dw.n, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
-pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT rid, i, n FROM hits)) GROUP BY rid),
+hp AS (SELECT DISTINCT rid, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT rid, i, n FROM hits)),
+pos AS (SELECT rid, count(*) AS n_hit FROM hp GROUP BY rid),
+runs AS (SELECT rid, min(p) AS a, max(p) AS b FROM (SELECT rid, p, p - row_number() OVER (PARTITION BY rid ORDER BY p) AS g FROM hp) GROUP BY rid, g),
+gaps AS (SELECT rid, w, string_split_regex(documents.text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS g FROM d JOIN (SELECT row_number() OVER () AS rid, text FROM documents) documents USING (rid) WHERE rid IN (SELECT rid FROM pos)),
+sp AS (SELECT rid, string_agg(CAST(lead AS VARCHAR) || ':' || CAST(lead + size AS VARCHAR), ',' ORDER BY a) AS spans FROM (
+  SELECT rid, a, list_sum(list_transform(g[1:a], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:a - 1], lambda x: length(x))), 0) AS lead,
+    list_sum(list_transform(w[a:b], lambda x: length(x))) + coalesce(list_sum(list_transform(g[a + 1:b], lambda x: length(x))), 0) AS size FROM runs JOIN gaps USING (rid)) GROUP BY rid),
 it AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN pos USING (rid) LEFT JOIN it USING (rid)"""
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN pos USING (rid) LEFT JOIN it USING (rid) LEFT JOIN sp USING (rid)"""

@@ -318,8 +318,11 @@ def annotate(docs: DataFrame, crf: Crf, name: str = "language") -> DataFrame:
 
 def keep_identified(docs: DataFrame, crf: Crf, least_score: float = 0.4) -> DataFrame:
     """docs without rows of unknown language, or whose best language holds less than `least_score` of the words."""
-    found = annotate(docs, crf, "__language")
-    return found.where((F.col("__language.lang") != UNKNOWN) & (F.col("__language.score") >= least_score)).drop("__language")
+    name = "language"
+    while name in docs.columns:
+        name = "_" + name
+    found = annotate(docs, crf, name)
+    return found.where((F.col(name)["lang"] != UNKNOWN) & (F.col(name)["score"] >= least_score)).drop(name)
 
 
 def held_out(doc_id):

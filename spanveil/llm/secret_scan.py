@@ -13,7 +13,8 @@ Fisher's method combines the three p-values. As the tests depend on each other a
 p-values are calibrated on the corpus itself: the evidence that its least random BULK share shows gives the rate at which a text-like string's
 evidence falls off (an empirical null), never taken as steeper than SHARPEST nor as flatter than Fisher's own. Length strata then get
 their own Benjamini-Hochberg cut-off over all candidates of the corpus, so that the many short strings don't pay for the few
-long ones, nor the reverse. The only corpus statistic is a histogram of at most strata * buckets rows.
+long ones, nor the reverse. The only corpus statistic is a histogram of at most strata * buckets rows. The query reads texts once: it writes the
+candidates, which are narrow, and filters them; `annotate` and `mask`, which return the texts, scan twice instead of writing them.
 
 Offsets are code points, end exclusive. Defined cases: null and empty texts have no spans; the base spans of a kind don't
 overlap; base spans are cut out of a run and what is left on either side is tested. Repeated rows count as often as they occur. Extra
@@ -30,12 +31,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanveil.llm.memory import give_back
-from spanveil.session import ship, table
+from spanveil.session import keep, ship, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -206,16 +207,33 @@ def cut_offs(docs: DataFrame, fdr: float = FDR) -> list[int]:
     ship(docs.sparkSession)
     counts = docs.select("text").mapInArrow(tally, "stratum int, bucket int, n long")
     rows = counts.groupBy("stratum", "bucket").agg(F.sum("n").alias("n")).collect()  # at most strata * buckets rows
-    cuts = []
-    for k in range(len(STRATA)):
-        own = sorted(((r["bucket"], r["n"]) for r in rows if r["stratum"] == k), reverse=True)
-        total, above, cut, mean = sum(n for _, n in own), 0, BUCKETS, fall_off(own)
-        for bucket, n in own:
-            above += n
-            if total * math.exp(-bucket * STEP / mean) <= fdr * above:
-                cut = bucket
-        cuts.append(cut)
-    return cuts
+    return [_cut([(r["bucket"], r["n"]) for r in rows if r["stratum"] == k], fdr) for k in range(len(STRATA))]
+
+
+def _cut(histogram: list[tuple[int, int]], fdr: float) -> int:
+    """The least bucket of a stratum that Benjamini-Hochberg accepts."""
+    total, above, cut, mean = sum(n for _, n in histogram), 0, BUCKETS, fall_off(histogram)
+    for bucket, n in sorted(histogram, reverse=True):
+        above += n
+        if total * math.exp(-bucket * STEP / mean) <= fdr * above:
+            cut = bucket
+    return cut
+
+
+def accepted(candidates: DataFrame, fdr: float = FDR, name: str = "secret_spans") -> DataFrame:
+    """A table whose column `name` holds what scan_spans found, with the accepted spans in its place: cut-offs come from the table itself, so texts
+    are read once."""
+    each = candidates.select(F.explode(F.filter(name, lambda s: s["stratum"] >= 0)).alias("s")).select("s.stratum", "s.bucket")
+    rows = each.groupBy("stratum", "bucket").agg(F.count("*").alias("n")).collect()  # at most strata * buckets rows
+    cuts = [_cut([(r["bucket"], r["n"]) for r in rows if r["stratum"] == k], fdr) for k in range(len(STRATA))]
+    return candidates.withColumn(name, _kept(F.col(name), cuts))
+
+
+def _kept(spans: Column, cuts: list[int]) -> Column:
+    limits, order = F.array(*[F.lit(c) for c in cuts]), F.array(*[F.lit(k) for k in KINDS])
+    kept = F.filter(spans, lambda s: (s["stratum"] < 0) | (s["bucket"] >= F.get(limits, s["stratum"])))
+    keyed = F.sort_array(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
 def annotate(docs: DataFrame, fdr: float = FDR, name: str = "secret_spans") -> DataFrame:
@@ -225,11 +243,7 @@ def annotate(docs: DataFrame, fdr: float = FDR, name: str = "secret_spans") -> D
     Two passes over the texts: the first fills the histogram, the second keeps what the cut-offs accept.
     """
     ship(docs.sparkSession)
-    cuts = F.array(*[F.lit(c) for c in cut_offs(docs, fdr)])
-    order = F.array(*[F.lit(k) for k in KINDS])
-    kept = F.filter(scan_spans("text"), lambda s: (s["stratum"] < 0) | (s["bucket"] >= F.get(cuts, s["stratum"])))
-    keyed = F.sort_array(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return docs.withColumn(name, F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    return docs.withColumn(name, _kept(scan_spans("text"), cut_offs(docs, fdr)))
 
 
 def masker(cuts: list[int]):
@@ -266,7 +280,9 @@ def mask(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Counts and spans of every document."""
-    found = annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = accepted(keep(docs.select("doc_id", scan_spans("text").alias("secret_spans")), "secrets"))
     s = F.col("secret_spans")
     text = lambda arr: F.array_join(F.transform(arr, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter(s, lambda x: x["kind"] == kind)).cast("long")
