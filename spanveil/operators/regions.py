@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.functions.geometry import KEYS, area, intersection, overlap, overlapping, rect
+from spanveil.session import keep
 
 RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
 PAGE = ["doc_id", "page"]
@@ -216,16 +217,21 @@ def repeated_graphics(graphics: DataFrame, least: float = 0.6) -> DataFrame:
 def similar_to(vectors: DataFrame, queries: DataFrame, least: float, block: int = 2000) -> DataFrame:
     """Pairs (query_id, vec_id) of unit vectors whose dot product is at least `least`; a vector is not its own partner.
 
-    The query set is stated by the caller and meets all rows in blocks of at most `block` queries, so what is broadcast
-    stays within block times the vector's size however large the set.
+    The query set is stated by the caller and meets all rows in blocks of at most `block` queries, which is counted: what is broadcast
+    stays within block times the vector's size however large the set. Several blocks read one written projection of the vectors.
     """
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    blocks = max(1, -(-q.count() // block))
-    numbered = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks if blocks > 1 else 1)))
+    n = q.count()
+    blocks = 1 if n <= block else 2 * -(-n // block)
+    number = lambda: F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    while blocks > 1 and q.groupBy(number().alias("b")).count().agg(F.max("count")).first()[0] > block:
+        blocks *= 2
+    own = vectors.select("vec_id", "embedding") if blocks == 1 else keep(vectors.select("vec_id", "embedding"), "vectors")
+    numbered = q.withColumn("b", number())
     dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
     out = None
-    for b in range(2 * blocks if blocks > 1 else 1):
-        part = vectors.join(F.broadcast(numbered.where(F.col("b") == b)), (F.col("vec_id") != F.col("query_id")) & (dot >= least)).select("query_id", "vec_id")
+    for b in range(blocks):
+        part = own.join(F.broadcast(numbered.where(F.col("b") == b)), (F.col("vec_id") != F.col("query_id")) & (dot >= least)).select("query_id", "vec_id")
         out = part if out is None else out.unionByName(part)
     return out
 

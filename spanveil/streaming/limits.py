@@ -41,7 +41,8 @@ def limiter(attempts: DataFrame, seconds: float = SECONDS, limit: int = FAILURES
     """Stream of attempts (client, seq, at in seconds, ok) -> the same with `decision`.
 
     State is at most `limit` times a client, dropped when the event time has passed a client's last attempt by the window. Attempts
-    that come `late` behind the newest one seen get no decision, as no order is left to judge them in.
+    that come `late` behind the newest one seen get no decision, as no order is left to judge them in. A task holds one client's attempts of one
+    micro-batch; maxFilesPerTrigger, or the source's like, bounds them. Over a table `decisions` streams a client's history instead.
     """
     ship(attempts.sparkSession)
 
