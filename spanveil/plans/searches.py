@@ -101,7 +101,7 @@ _SHARES = {"p40": 0.4, "p80": 0.8, "p90": 0.9}
 def line_quantiles(spark, sf_dir):
     """Lengths of the lines of each language at shares of their ranks."""
     docs = table(spark, sf_dir, "documents").where("lang IS NOT NULL")
-    own = docs.select("lang", F.explode(F.split("text", "\n")).alias("text")).select("lang", F.length("text").alias("size"))
+    own = docs.select("lang", F.explode(F.split("text", "\n")).alias("text")).select("lang", F.length("text").cast("long").alias("size"))
     return quantiles.exact(own, ["lang"], "size", _SHARES)
 
 
