@@ -99,10 +99,12 @@ def _organisations(line: str) -> Iterator[tuple[int, int, int]]:
             yield prio, start, m.end()
 
 
-def entities(line: str) -> list[tuple[int, str, int, int]]:
-    """(priority, type, start, end) of a line: candidates by priority and start, each kept if it overlaps none before it."""
-    found = [(prio, m.start(group), m.end(group), kind) for prio, kind, pattern, group, check in _NUMBERS for m in pattern.finditer(line) if not check or _ANY_CHECK[check](m[group])]
-    found += [(prio, a, b, "ORG") for prio, a, b in _organisations(line)]
+def entities(line: str, only: frozenset[int] | None = None) -> list[tuple[int, str, int, int]]:
+    """(priority, type, start, end) of a line: candidates by priority and start, each kept if it overlaps none before it. Rules outside `only` (priorities) don't run."""
+    own = [r for r in _NUMBERS if only is None or r[0] in only]
+    found = [(prio, m.start(group), m.end(group), kind) for prio, kind, pattern, group, check in own for m in pattern.finditer(line) if not check or _ANY_CHECK[check](m[group])]
+    if only is None or only & {11, 12}:
+        found += [(prio, a, b, "ORG") for prio, a, b in _organisations(line) if only is None or prio in only]
     kept: list[tuple[int, int, int, str]] = []
     for c in sorted(found):
         if not any(c[1] < k[2] and k[1] < c[2] for k in kept):
@@ -112,11 +114,12 @@ def entities(line: str) -> list[tuple[int, str, int, int]]:
 
 @F.udtf(returnType="line int, type string, start int, end int, value string", useArrow=True)
 class DetectEntities:
-    """Rows (line, type, start, end, value) of a text; batches travel as Arrow."""
+    """Rows (line, type, start, end, value) of a text, of all rules or of the priorities in an array; batches travel as Arrow."""
 
-    def eval(self, text: str):
+    def eval(self, text: str, only: list[int] | None = None):
+        chosen = None if only is None else frozenset(int(p) for p in only)
         for k, line in enumerate((text or "").split("\n")):
-            for _, kind, a, b in sorted(entities(line), key=lambda e: e[2]):
+            for _, kind, a, b in sorted(entities(line, chosen), key=lambda e: e[2]):
                 yield k, kind, a, b, line[a:b]
 
 
