@@ -43,3 +43,8 @@ def test_hits_are_those_of_the_sql(spark, small, name):
 
 def test_observed_hits_are_those_of_the_sql(spark, small):
     equals_sql(spark, small, "observed_counts")
+
+
+@pytest.mark.parametrize("name", ["redact_black", "redact_label", "residual_check"])
+def test_redaction_is_that_of_the_sql(spark, small, name):
+    equals_sql(spark, small, name)
