@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,6 +114,22 @@ class Automaton:
         return t, e - (np.cumsum(sizes) - sizes)[t], w
 
 
+#: Signs of the texts that are scanned at once: what a task holds beside its batch grows with this, not with the batch.
+PORTION = 500_000
+
+
+def portions(sizes: list[int], signs: int = PORTION) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of these sizes, in order, of at most so many signs each, or of one text."""
+    first, size = 0, 0
+    for k, n in enumerate(sizes):
+        if k > first and size + n > signs:
+            yield first, k
+            first, size = k, 0
+        size += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 def resolve(spans: list[tuple[int, int, str]], overlaps: str) -> list[tuple[int, int, str]]:
     """Occurrences of a text (start, end, word) by the rule for overlaps, in order of start and end."""
     if overlaps == "all":
@@ -126,15 +143,26 @@ def resolve(spans: list[tuple[int, int, str]], overlaps: str) -> list[tuple[int,
     return sorted(out)
 
 
+def _spans(automaton: Automaton, texts: list[str | None], overlaps: str) -> pa.Array:
+    """What stands in some texts, as Arrow."""
+    rows = [t or "" for t in texts]
+    spans: list[list[tuple[int, int, str]]] = [[] for _ in rows]
+    for t, e, w in zip(*(x.tolist() for x in automaton.scan(rows))):
+        word = automaton.words[w]
+        spans[t].append((e - len(word), e, word))
+    own = [resolve(s, overlaps) for s in spans]
+    flat = [s for o in own for s in o]
+    offsets = np.concatenate([[0], np.cumsum([len(o) for o in own])]).astype(np.int32)
+    ends = [pa.array([s[k] for s in flat], pa.int32()) for k in range(2)]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([*ends, pa.array([s[2] for s in flat], pa.string())], fields=list(_ARROW.value_type)), type=_ARROW)
+
+
 def _finder(model, overlaps: str):
     @F.arrow_udf(SPANS)
     def find(texts: pa.Array) -> pa.Array:
-        automaton, rows = model.value, [t.as_py() or "" for t in texts]
-        spans: list[list[tuple[int, int, str]]] = [[] for _ in rows]
-        for t, e, w in zip(*(x.tolist() for x in automaton.scan(rows))):
-            word = automaton.words[w]
-            spans[t].append((e - len(word), e, word))
-        return pa.array([[{"start": a, "end": b, "value": w} for a, b, w in resolve(s, overlaps)] for s in spans], type=_ARROW)
+        automaton = model.value
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        return pa.chunked_array([_spans(automaton, texts.slice(a, b - a).to_pylist(), overlaps) for a, b in portions(sizes)], _ARROW).combine_chunks()
 
     return find
 
