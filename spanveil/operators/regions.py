@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.functions.geometry import KEYS, area, intersection, overlap, overlapping, rect
-from spanveil.session import keep
+from spanveil.session import keep, ship
 
 RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
 PAGE = ["doc_id", "page"]
@@ -214,12 +219,65 @@ def repeated_graphics(graphics: DataFrame, least: float = 0.6) -> DataFrame:
     return pairs.where(ratio("w") & ratio("h") & (dot >= least)).select("doc_id", "id").distinct()
 
 
+#: Rows that meet a block of queries at once: what a task holds is so many rows times the block.
+ROWS = 512
+
+
+def _by_size(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(size, ids, matrix of doubles) of the vectors of each size; those that are null or hold a null are none."""
+    sizes = pc.list_value_length(vectors)
+    for size in pc.unique(sizes.drop_null()).to_pylist():
+        own = pc.fill_null(pc.equal(sizes, size), False)
+        some, flat = ids.filter(own), vectors.filter(own).flatten()
+        matrix = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), size)
+        if flat.null_count:
+            whole = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(len(some), size).any(axis=1)
+            some, matrix = some.filter(pa.array(whole)), matrix[whole]
+        yield size, some, matrix
+
+
+def _close(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and of b whose dot product, summed from the first place on, is `least` or more. A matrix product sums in another order, so what it puts
+    within its rounding error of `least` is summed again."""
+    dots = a @ b.T
+    error = 1e-15 * (a.shape[1] + 1) * (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :] + abs(least))
+    i, j = np.nonzero(~(dots < least - error))  # what is not a number counts as greater, as in SQL
+    exact = dots[i, j]
+    near = np.flatnonzero(~(exact > least + error[i, j]))
+    again = np.zeros(len(near))
+    for k in range(a.shape[1]):
+        again += a[i[near], k] * b[j[near], k]
+    exact[near] = again
+    ok = ~(exact < least)
+    return i[ok], j[ok]
+
+
+def _meets(model, least: float):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = model.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                for size, ids, matrix in _by_size(part.column(0), part.column(1)):
+                    if size in queries:
+                        their, other = queries[size]
+                        i, j = _close(other, matrix, least)
+                        q, v = their.take(pa.array(i)), ids.take(pa.array(j))
+                        found = pa.RecordBatch.from_arrays([q, v], names=["query_id", "vec_id"])
+                        yield found.filter(pc.fill_null(pc.not_equal(q, v), False))
+
+    return meet
+
+
 def similar_to(vectors: DataFrame, queries: DataFrame, least: float, block: int = 2000) -> DataFrame:
     """Pairs (query_id, vec_id) of unit vectors whose dot product is at least `least`; a vector is not its own partner.
 
     The query set is stated by the caller and meets all rows in blocks of at most `block` queries, which is counted: what is broadcast
-    stays within block times the vector's size however large the set. Several blocks read one written projection of the vectors.
+    stays within block times the vector's size however large the set. Several blocks read one written projection of the vectors. All pairs are
+    compared, as products of a block and of ROWS rows; the work is the product of both numbers.
     """
+    spark = vectors.sparkSession
+    ship(spark)
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     n = q.count()
     blocks = 1 if n <= block else 2 * -(-n // block)
@@ -227,11 +285,13 @@ def similar_to(vectors: DataFrame, queries: DataFrame, least: float, block: int
     while blocks > 1 and q.groupBy(number().alias("b")).count().agg(F.max("count")).first()[0] > block:
         blocks *= 2
     own = vectors.select("vec_id", "embedding") if blocks == 1 else keep(vectors.select("vec_id", "embedding"), "vectors")
-    numbered = q.withColumn("b", number())
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
+    numbered = (q if blocks == 1 else keep(q, "queries")).withColumn("b", number())
+    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, vec_id {own.schema['vec_id'].dataType.simpleString()}"
     out = None
     for b in range(blocks):
-        part = own.join(F.broadcast(numbered.where(F.col("b") == b)), (F.col("vec_id") != F.col("query_id")) & (dot >= least)).select("query_id", "vec_id")
+        rows = numbered.where(F.col("b") == b).select("query_id", "q").toArrow()
+        model = {size: (ids, matrix) for size, ids, matrix in _by_size(*(rows.column(k).combine_chunks() for k in range(2)))}
+        part = own.mapInArrow(_meets(spark.sparkContext.broadcast(model), least), kinds)
         out = part if out is None else out.unionByName(part)
     return out
 
