@@ -78,11 +78,12 @@ def merge(regions: DataFrame) -> DataFrame:
 
 
 def interval_union(spans: DataFrame, keys: list[str], low: str = "lo", high: str = "hi") -> DataFrame:
-    """Union of intervals per key; touching ones join."""
-    by = Window.partitionBy(*keys).orderBy(low, high)
-    before = F.max(high).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    """Union of intervals per key; touching ones join. Those without a low end come last, each by itself."""
+    order = [F.asc_nulls_last(low), F.asc_nulls_last(high)]
+    before = F.max(high).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce((F.col(low) > before).cast("int"), F.lit(1))
-    runs = spans.select(*keys, low, high, fresh.alias("fresh")).withColumn("run", F.sum("fresh").over(by))
+    by = Window.partitionBy(*keys).orderBy(*order, F.desc("fresh"))  # of equal intervals the one that opens a run stands first
+    runs = spans.select(*keys, low, high, fresh.alias("fresh")).withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(*keys, "run").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("run")
 
 

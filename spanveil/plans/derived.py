@@ -108,8 +108,9 @@ f AS (SELECT *, coalesce(lo > max(hi) OVER (PARTITION BY l_suppkey ORDER BY lo,
 r AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM f) SELECT l_suppkey, min(lo) AS lo, max(hi) AS hi FROM r GROUP BY l_suppkey, run""")
 def shipping_union(spark, sf_dir):
     """Spans of days on which something of a supplier is on its way."""
-    day = F.floor(F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 86_400_000_000).cast("long")
-    own = table(spark, sf_dir, "lineitem").select("l_suppkey", day.alias("lo"), (day + F.floor(F.col("l_quantity") / 10).cast("long")).alias("hi"))
+    whole = lambda x, n: F.call_function("div", x, F.lit(n))  # noqa: E731  towards zero, as // in SQL
+    day = whole(F.unix_micros(F.col("l_shipdate").cast("timestamp")), 86_400_000_000)
+    own = table(spark, sf_dir, "lineitem").select("l_suppkey", day.alias("lo"), (day + whole(F.rint("l_quantity").cast("long"), 10)).alias("hi"))
     return regions.interval_union(own, ["l_suppkey"])
 
 
