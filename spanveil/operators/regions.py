@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.functions.geometry import KEYS, area, intersection, overlap, overlapping, rect
-from spanveil.session import keep, ship
+from spanveil.session import ship
 
 RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
 PAGE = ["doc_id", "page"]
@@ -220,8 +221,8 @@ def repeated_graphics(graphics: DataFrame, least: float = 0.6) -> DataFrame:
     return pairs.where(ratio("w") & ratio("h") & (dot >= least)).select("doc_id", "id").distinct()
 
 
-#: Rows that meet a block of queries at once: what a task holds is so many rows times the block.
-ROWS = 512
+#: Values of the vectors of a block; what a task holds are two blocks. Rows and columns of the products that it holds at once.
+BLOCK, ROWS, COLUMNS = 1 << 22, 512, 2048
 
 
 def _by_size(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
@@ -239,12 +240,16 @@ def _by_size(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, pa.Array,
 
 def _close(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a and of b whose dot product, summed from the first place on, is `least` or more. A matrix product sums in another order, so what it puts
-    within its rounding error of `least` is summed again."""
-    dots = a @ b.T
-    error = 1e-15 * (a.shape[1] + 1) * (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :] + abs(least))
-    i, j = np.nonzero(~(dots < least - error))  # what is not a number counts as greater, as in SQL
+    within its rounding error of `least` is summed again, as is what belongs to a vector without a finite length."""
+    dots, x, y = a @ b.T, np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    error = lambda x, y: 1e-15 * (a.shape[1] + 1) * (x * y + abs(least))
+    most = lambda n: n.max(initial=0.0, where=np.isfinite(n))
+    maybe = ~(dots < least - error(most(x), most(y)))  # what is not a number counts as greater, as in SQL
+    maybe[~np.isfinite(x)] = True
+    maybe[:, ~np.isfinite(y)] = True
+    i, j = np.divmod(np.flatnonzero(maybe), max(1, len(b)))
     exact = dots[i, j]
-    near = np.flatnonzero(~(exact > least + error[i, j]))
+    near = np.flatnonzero(~(exact > least + error(x[i], y[j])))
     again = np.zeros(len(near))
     for k in range(a.shape[1]):
         again += a[i[near], k] * b[j[near], k]
@@ -253,48 +258,61 @@ def _close(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.n
     return i[ok], j[ok]
 
 
-def _meets(model, least: float):
+def _pairs(a: tuple[pa.Array, np.ndarray], b: tuple[pa.Array, np.ndarray] | None, least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of a row of a and one of b, or of two rows of a where b is None, in both orders."""
+    (ids, left), (others, right) = a, b or a
+    for r in range(0, len(left), ROWS):
+        for c in range(r if b is None else 0, len(right), COLUMNS):
+            i, j = _close(left[r : r + ROWS], right[c : c + COLUMNS], least)
+            i, j = i + r, j + c
+            if b is None:  # products of the same rows are met once
+                i, j = i[i < j], j[i < j]
+            q, v = ids.take(pa.array(i)), others.take(pa.array(j))
+            other = pc.not_equal(q, v)
+            q, v = q.filter(other), v.filter(other)
+            for columns in ([q, v], [v, q]):
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id"])
+
+
+def _blocks_meet(least: float):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = model.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                for size, ids, matrix in _by_size(part.column(0), part.column(1)):
-                    if size in queries:
-                        their, other = queries[size]
-                        i, j = _close(other, matrix, least)
-                        q, v = their.take(pa.array(i)), ids.take(pa.array(j))
-                        found = pa.RecordBatch.from_arrays([q, v], names=["query_id", "vec_id"])
-                        yield found.filter(pc.fill_null(pc.not_equal(q, v), False))
+        whole = [b for b in batches if b.num_rows]
+        rows = pa.Table.from_batches(whole) if whole else None
+        for p in pc.unique(rows["pair"]).to_pylist() if whole else []:
+            own = rows.filter(pc.equal(rows["pair"], p))
+            sides = {}
+            for side in pc.unique(own["side"]).to_pylist():
+                part = own.filter(pc.equal(own["side"], side))
+                sides[side] = {size: (ids, matrix) for size, ids, matrix in _by_size(*(part[c].combine_chunks() for c in ("vec_id", "embedding")))}
+            for size, a in sides.get("both", {}).items():
+                yield from _pairs(a, None, least)
+            for size, a in sides.get("low", {}).items():
+                if size in sides.get("high", {}):
+                    yield from _pairs(a, sides["high"][size], least)
 
     return meet
 
 
-def similar_to(vectors: DataFrame, queries: DataFrame, least: float, block: int = 2000) -> DataFrame:
-    """Pairs (query_id, vec_id) of unit vectors whose dot product is at least `least`; a vector is not its own partner.
+def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """Pairs (query_id, vec_id) of vectors whose dot product is at least `least`, in both orders; a vector is not its own partner.
 
-    The query set is stated by the caller and meets all rows in blocks of at most `block` queries, which is counted: what is broadcast
-    stays within block times the vector's size however large the set. Several blocks read one written projection of the vectors. All pairs are
-    compared, as products of a block and of ROWS rows; the work is the product of both numbers.
+    All pairs are compared, each once: rows are dealt to blocks by a hash, and each pair of blocks is a task that multiplies them as matrices. A task holds two
+    blocks, of a counted size; each row is sent to as many tasks as there are blocks. The work grows with the square of the rows.
     """
     spark = vectors.sparkSession
     ship(spark)
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    n = q.count()
-    blocks = 1 if n <= block else 2 * -(-n // block)
-    number = lambda: F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    while blocks > 1 and q.groupBy(number().alias("b")).count().agg(F.max("count")).first()[0] > block:
-        blocks *= 2
-    own = vectors.select("vec_id", "embedding") if blocks == 1 else keep(vectors.select("vec_id", "embedding"), "vectors")
-    numbered = (q if blocks == 1 else keep(q, "queries")).withColumn("b", number())
-    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, vec_id {own.schema['vec_id'].dataType.simpleString()}"
-    out = None
-    for b in range(blocks):
-        rows = numbered.where(F.col("b") == b).select("query_id", "q").toArrow()
-        model = {size: (ids, matrix) for size, ids, matrix in _by_size(*(rows.column(k).combine_chunks() for k in range(2)))}
-        part = own.mapInArrow(_meets(spark.sparkContext.broadcast(model), least), kinds)
-        out = part if out is None else out.unionByName(part)
-    return out
+    own = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding")
+    n, values = own.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0))).first()
+    busy = math.isqrt(6 * spark.sparkContext.defaultParallelism) + 1  # blocks whose pairs are three tasks a core
+    blocks = max(-(-values // BLOCK), min(busy, -(-n // ROWS)), 1)
+    b, k = F.col("b"), F.col("k")
+    met = own.withColumn("b", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    low, high = F.least(b, k).cast("long"), F.greatest(b, k).cast("long")
+    pair = (F.call_function("div", high * (high + 1), F.lit(2)) + low).cast("int")
+    side = F.when(b == k, "both").when(b < k, "low").otherwise("high")
+    dealt = met.select("vec_id", "embedding", pair.alias("pair"), side.alias("side")).repartitionById(blocks * (blocks + 1) // 2, "pair")
+    kind = own.schema["vec_id"].dataType.simpleString()
+    return dealt.mapInArrow(_blocks_meet(least), f"query_id {kind}, vec_id {kind}")
 
 
 def rect_key(r: Column, digits: int = 4) -> Column:
